@@ -95,3 +95,51 @@ def readability_sql(src: str, key: str, text: str, extra: str = "") -> str:
         CASE WHEN {short} THEN 0 ELSE {r('(wc / 238.0::DOUBLE) * 60.0::DOUBLE', 0)} END::BIGINT AS reading_time_seconds,
         CASE WHEN {short} THEN 0.0 ELSE {r('wc / 238.0::DOUBLE', 1)} END AS reading_time_minutes
     FROM r_f)"""
+
+
+def stopword_list() -> str:
+    from pagewise.operators.terms import STOPWORDS
+    return ", ".join(sq(w) for w in STOPWORDS)
+
+
+def tf_ctes(texts: str, id_col: str = "text_id", text_col: str = "text") -> str:
+    """CTEs ``tf_w`` (exploded words) and ``tf`` (id, term, tf, first_pos)."""
+    return f"""tf_w AS (
+        SELECT {id_col} AS text_id, unnest(w) AS term, unnest(range(len(w))) AS pos
+        FROM (SELECT {id_col}, regexp_extract_all({text_col}, {WORD}) AS w FROM {texts})),
+    tf AS (SELECT text_id, term, count(*)::BIGINT AS tf, min(pos)::INTEGER AS first_pos
+           FROM tf_w GROUP BY text_id, term)"""
+
+
+def kw_ctes() -> str:
+    """CTEs ``kw`` (text_id, term, tf, kw_rank) and ``kwset`` (text_id, keywords) over ``tf``."""
+    return f"""kw_cand AS (
+        SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY tf DESC, first_pos) AS freq_rank
+        FROM tf QUALIFY freq_rank <= 60),
+    kw AS (
+        SELECT text_id, term, tf, row_number() OVER (PARTITION BY text_id ORDER BY freq_rank) AS kw_rank
+        FROM kw_cand WHERE term NOT IN ({stopword_list()}) AND length(term) >= 3
+        QUALIFY kw_rank <= 20),
+    kwset AS (SELECT text_id, list_sort(list(term)) AS keywords FROM kw GROUP BY text_id)"""
+
+
+def norms_cte() -> str:
+    return """norms AS (SELECT text_id, sum(tf)::BIGINT AS n_words, count(*)::BIGINT AS n_terms,
+                               sum(tf * tf)::BIGINT AS sum_sq FROM tf GROUP BY text_id)"""
+
+
+def dot_cte(pairs: str = "pairs") -> str:
+    return f"""dots AS (
+        SELECT p.pair_id, sum(l.tf * r.tf)::BIGINT AS dot
+        FROM {pairs} p JOIN tf l ON l.text_id = p.left_id
+                       JOIN tf r ON r.text_id = p.right_id AND r.term = l.term
+        GROUP BY p.pair_id)"""
+
+
+def cosine_sql(dot: str, l: str, r_: str) -> str:
+    return (f"CASE WHEN coalesce({l}, 0) = 0 OR coalesce({r_}, 0) = 0 THEN 0.0 "
+            f"ELSE {r(f'coalesce({dot}, 0)::DOUBLE / (sqrt({l}::DOUBLE) * sqrt({r_}::DOUBLE))', 4)} END")
+
+
+def list_minus(a: str, b: str) -> str:
+    return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"

@@ -19,6 +19,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -60,3 +61,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (shared-storage) checkpoint; survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin redistribute a scan that came out with too few splits.
+
+    CPU-heavy per-row text work needs at least one partition per core. At
+    scale the scan already has thousands of splits and this is a no-op (no
+    shuffle); it only fires for small inputs stored as one row group.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
