@@ -42,5 +42,6 @@ def load_all() -> dict[str, Entry]:
         q_quality,
         q_terms,
         q_text,
+        q_usage,
     )
     return REGISTRY
