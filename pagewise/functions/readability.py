@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewise.functions.text import (
+    VOWEL_GROUP_RE,
     round_half_even as rnd,
     sentence_count,
-    syllables_of,
     words,
 )
 
@@ -51,27 +51,57 @@ def reading_level(score: Column) -> Column:
     return expr.otherwise(F.lit(HARDEST_LEVEL))
 
 
+# Whole-text syllable arithmetic. Over the lower-cased words joined by single
+# spaces: a word of <= 3 letters is 1 syllable; a longer word drops one
+# trailing "e" and counts its vowel groups, at least 1. So the total is
+#   (#short words) + (#vowel groups in long words) + (#long words left
+#   without a vowel),
+# and a complex word (>= 3 syllables) is a long word with >= 3 vowel groups.
+# All four are compiled regex counts per row — no per-word lambda.
+SHORT_WORD_RE = r"\b[a-z]{1,3}\b"
+TRAILING_E_RE = r"e\b"
+NO_VOWEL_WORD_RE = r"\b[b-df-hj-np-tv-xz]+\b"
+COMPLEX_WORD_RE = r"\b[b-df-hj-np-tv-xz]*[aeiouy]+(?:[b-df-hj-np-tv-xz]+[aeiouy]+){2}"
+LONG_WORD_RE = r"[a-z]{4,}"
+
+
 def with_text_stats(df: DataFrame, text_col: str, p: str = "_r_") -> DataFrame:
-    """Stage 1+2: words, syllables per word, sentence count (internal cols)."""
+    """Stages 1-3 (internal columns): words; their lower-cased join and the
+    long words with the trailing e dropped; then the base counts. Each stage
+    is its own projection and every regex result is referenced by attribute,
+    so each regex runs once per row."""
     staged = df.withColumns({
         f"{p}words": words(F.col(text_col)),
         f"{p}sent_raw": sentence_count(F.col(text_col)),
     })
-    return staged.withColumns({
-        f"{p}syl": F.transform(F.col(f"{p}words"), syllables_of),
+    staged = staged.withColumns({f"{p}lw": F.lower(F.array_join(F.col(f"{p}words"), " "))})
+    staged = staged.withColumns({
+        f"{p}stripped": F.regexp_replace(
+            F.regexp_replace(F.col(f"{p}lw"), F.lit(SHORT_WORD_RE), F.lit("")),
+            F.lit(TRAILING_E_RE), F.lit("")),
     })
+    w, lw, stripped = F.col(f"{p}words"), F.col(f"{p}lw"), F.col(f"{p}stripped")
+    wc = F.size(w).cast("long")
+    n_long = F.regexp_count(lw, F.lit(LONG_WORD_RE)).cast("long")
+    return staged.withColumns({
+        f"{p}wc": wc,
+        f"{p}sc": F.greatest(F.col(f"{p}sent_raw"), F.lit(1)).cast("long"),
+        f"{p}chars": F.length(F.array_join(w, "")).cast("long"),
+        f"{p}syl_n": ((wc - n_long) + F.regexp_count(stripped, F.lit(VOWEL_GROUP_RE))
+                      + F.regexp_count(stripped, F.lit(NO_VOWEL_WORD_RE))).cast("long"),
+        f"{p}uniq": F.when(wc == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.split(lw, " ")))).cast("long"),
+        f"{p}cx": F.regexp_count(stripped, F.lit(COMPLEX_WORD_RE)).cast("long"),
+    }).drop(f"{p}words", f"{p}lw", f"{p}stripped", f"{p}sent_raw")
 
 
 def readability_metrics(p: str = "_r_") -> dict[str, Column]:
-    """Stage 3: the 19 readability fields from the staged columns."""
-    w = F.col(f"{p}words")
-    syl = F.col(f"{p}syl")
-    wc = F.size(w).cast("long")
-    sc = F.greatest(F.col(f"{p}sent_raw"), F.lit(1)).cast("long")
-    chars = F.length(F.array_join(w, "")).cast("long")
-    syllables = F.aggregate(syl, F.lit(0).cast("long"), lambda a, s: a + s)
-    unique = F.size(F.array_distinct(F.transform(w, F.lower))).cast("long")
-    complex_n = F.size(F.filter(syl, lambda s: s >= 3)).cast("long")
+    """Stage 4: the 19 readability fields from the staged counts."""
+    wc = F.col(f"{p}wc")
+    sc = F.col(f"{p}sc")
+    chars = F.col(f"{p}chars")
+    syllables = F.col(f"{p}syl_n")
+    unique = F.col(f"{p}uniq")
+    complex_n = F.col(f"{p}cx")
 
     # Denominators are kept >= 1 so no branch can divide by zero (the short
     # branch, wc < 10, never uses these values).

@@ -66,8 +66,14 @@ def sentence_pieces(c: Column) -> Column:
     return F.filter(F.split(c, SENTENCE_SPLIT_RE, -1), lambda s: s.rlike(NON_WS))
 
 
+# A sentence piece is a maximal run between [.!?] delimiters that holds a
+# non-whitespace character; one regex match per such piece.
+SENTENCE_PIECE_RE = f"[^.!?]*[^.!?{WS_CLASS}][^.!?]*"
+
+
 def sentence_count(c: Column) -> Column:
-    return F.size(sentence_pieces(c)).cast("long")
+    """Non-blank pieces between runs of . ! ? (compiled regex count)."""
+    return F.coalesce(F.regexp_count(c, F.lit(SENTENCE_PIECE_RE)), F.lit(0)).cast("long")
 
 
 def round_half_even(c: Column, digits: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewise.functions.readability import with_readability
 from pagewise.functions.text import is_blank, round_half_even, ws_word_count
 from pagewise.operators import terms as tm
+from pagewise.session import cut_lineage
 
 READABILITY_GATE = 20  # whitespace words needed before readability is reported
 
@@ -53,7 +54,8 @@ def content_gap(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
                 text_col: str = "text") -> DataFrame:
     """For each left text ("ours"): keywords that its paired right texts
     ("competitors") hold and it does not, with the number of competitors."""
-    kw = tm.top_keywords(tm.term_freq(texts, id_col, text_col), id_col).select(id_col, "term")
+    kw = cut_lineage(tm.top_keywords(tm.term_freq(texts, id_col, text_col), id_col).select(id_col, "term"),
+                     "keywords")
     theirs = (pairs.filter(F.col("left_id") != F.col("right_id"))
               .select("left_id", "right_id")
               .join(kw.withColumnRenamed(id_col, "right_id"), "right_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.functions.text import round_half_even, words
+from pagewise.session import cut_lineage
 
 # The stop-word set used for keywords (lower-case, compared
 # case-sensitively).
@@ -33,8 +34,13 @@ MAX_LISTED = 20       # shared / unique keyword lists are cut to this
 
 
 def term_freq(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
-    """Case-sensitive letter-word counts per text, with first position."""
-    exploded = texts.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    """Case-sensitive letter-word counts per text, with first position.
+
+    The texts are hash-partitioned by id once; the (id, term) aggregation, the
+    per-id norms and the per-id keyword window all reuse that partitioning, so
+    the only shuffle in TF + norms + keywords is this one."""
+    by_id = texts.select(id_col, text_col).repartition(id_col)
+    exploded = by_id.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "term"))
     return exploded.groupBy(id_col, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
@@ -66,18 +72,22 @@ def cosine(dot: Column, sum_sq_l: Column, sum_sq_r: Column) -> Column:
             .otherwise(round_half_even(F.coalesce(dot, F.lit(0)).cast("double") / denom, 4))
 
 
-def pair_cosine(pairs: DataFrame, tf: DataFrame, id_col: str = "text_id") -> DataFrame:
-    norms = tf_norms(tf, id_col)
+def pair_cosine(pairs: DataFrame, tf: DataFrame, id_col: str = "text_id",
+                norms: DataFrame | None = None) -> DataFrame:
+    """Cosine per pair. Self-pairs take dot = sum_sq from the norms (no term
+    join); the term join runs only for pairs of two different texts."""
+    norms = tf_norms(tf, id_col) if norms is None else norms
     nl = norms.select(F.col(id_col).alias("left_id"), F.col("sum_sq").alias("sq_l"))
     nr = norms.select(F.col(id_col).alias("right_id"), F.col("sum_sq").alias("sq_r"))
-    dots = pair_dot(pairs, tf, id_col)
-    return (pairs.join(dots, "pair_id", "left")
-            .join(nl, "left_id", "left").join(nr, "right_id", "left")
-            .select("pair_id", "left_id", "right_id",
-                    F.coalesce("dot", F.lit(0)).cast("long").alias("dot"),
+    dots = pair_dot(pairs.filter(F.col("left_id") != F.col("right_id")), tf, id_col)
+    j = (pairs.join(dots, "pair_id", "left")
+              .join(nl, "left_id", "left").join(nr, "right_id", "left"))
+    dot = F.when(F.col("left_id") == F.col("right_id"), F.col("sq_l")).otherwise(F.col("dot"))
+    return j.select("pair_id", "left_id", "right_id",
+                    F.coalesce(dot, F.lit(0)).cast("long").alias("dot"),
                     F.coalesce("sq_l", F.lit(0)).cast("long").alias("sum_sq_left"),
                     F.coalesce("sq_r", F.lit(0)).cast("long").alias("sum_sq_right"),
-                    cosine(F.col("dot"), F.col("sq_l"), F.col("sq_r")).alias("similarity_score")))
+                    cosine(dot, F.col("sq_l"), F.col("sq_r")).alias("similarity_score"))
 
 
 def top_keywords(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
@@ -116,17 +126,34 @@ def pair_keywords(pairs: DataFrame, kw: DataFrame, id_col: str = "text_id") -> D
         F.slice(F.array_sort(F.array_except(r_, l_)), 1, MAX_LISTED).alias("unique_to_text2"))
 
 
+def text_stats(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
+    """(id, sum_sq, keywords): norms and keyword sets joined on id — both are
+    aggregations on the id partitioning of ``tf``, so the join is local."""
+    return tf_norms(tf, id_col).join(keyword_sets(tf, id_col), id_col, "left")
+
+
 def pair_similarity(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
                     text_col: str = "text") -> DataFrame:
     """Similarity record per pair: cosine + shared / unique keyword lists.
     A side without words gives score 0 and empty lists."""
-    tf = term_freq(texts, id_col, text_col)
-    cos = pair_cosine(pairs, tf, id_col)
-    kws = pair_keywords(pairs, keyword_sets(tf, id_col), id_col)
+    tf = cut_lineage(term_freq(texts, id_col, text_col), "term_freq")
+    stats = text_stats(tf, id_col)
+    sl = stats.select(F.col(id_col).alias("left_id"), F.col("sum_sq").alias("sq_l"), F.col("keywords").alias("kw_l"))
+    sr = stats.select(F.col(id_col).alias("right_id"), F.col("sum_sq").alias("sq_r"), F.col("keywords").alias("kw_r"))
+    dots = pair_dot(pairs.filter(F.col("left_id") != F.col("right_id")), tf, id_col)
+    j = (pairs.select("pair_id", "left_id", "right_id").join(dots, "pair_id", "left")
+              .join(sl, "left_id", "left").join(sr, "right_id", "left"))
+    dot = F.when(F.col("left_id") == F.col("right_id"), F.col("sq_l")).otherwise(F.col("dot"))
     empty = F.array().cast("array<string>")
-    no_words = (F.col("sum_sq_left") == 0) | (F.col("sum_sq_right") == 0)
-    out = cos.join(kws, "pair_id")
-    return out.select(
-        "pair_id", "left_id", "right_id", "similarity_score",
-        *[F.when(no_words, empty).otherwise(F.col(c)).alias(c)
-          for c in ("shared_keywords", "unique_to_text1", "unique_to_text2")])
+    l_ = F.coalesce(F.col("kw_l"), empty)
+    r_ = F.coalesce(F.col("kw_r"), empty)
+    no_words = (F.coalesce(F.col("sq_l"), F.lit(0)) == 0) | (F.coalesce(F.col("sq_r"), F.lit(0)) == 0)
+
+    def listed(c: Column) -> Column:
+        return F.when(no_words, empty).otherwise(F.slice(F.array_sort(c), 1, MAX_LISTED))
+    return j.select(
+        "pair_id", "left_id", "right_id",
+        cosine(dot, F.col("sq_l"), F.col("sq_r")).alias("similarity_score"),
+        listed(F.array_intersect(l_, r_)).alias("shared_keywords"),
+        listed(F.array_except(l_, r_)).alias("unique_to_text1"),
+        listed(F.array_except(r_, l_)).alias("unique_to_text2"))

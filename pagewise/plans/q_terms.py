@@ -13,14 +13,13 @@ from pagewise.plans.sqlfrag import (
     NONWS, cosine_sql, dot_cte, kw_ctes, list_minus, norms_cte, r, readability_sql, stopword_list,
     tf_ctes, ws_count,
 )
-from pagewise.session import spread
 from pagewise.sources import fixtures as fx
 
 _BASE = f"WITH {CORPUS}, {PAIRS}, {tf_ctes('corpus')}"
 
 
 def _tf(spark, sf):
-    return tm.term_freq(spread(fx.corpus(spark, sf)))
+    return tm.term_freq(fx.corpus(spark, sf))
 
 
 @query("term_freq", group="terms", oracle=f"{_BASE} SELECT text_id, term, tf, first_pos FROM tf")
@@ -119,7 +118,7 @@ SELECT pair_id, left_id, right_id, similarity_score,
        CASE WHEN no_words THEN '' ELSE array_to_string(list_slice(list_sort({list_minus('kr', 'kl')}), 1, 20), ',') END AS unique_to_text2
 FROM sim""")
 def q_pair_similarity(spark, sf):
-    s = tm.pair_similarity(fx.pairs(spark, sf), spread(fx.corpus(spark, sf)))
+    s = tm.pair_similarity(fx.pairs(spark, sf), fx.corpus(spark, sf))
     return s.select("pair_id", "left_id", "right_id", "similarity_score",
                     *[F.array_join(c, ",").alias(c) for c in ("shared_keywords", "unique_to_text1", "unique_to_text2")])
 
@@ -145,7 +144,7 @@ SELECT s.pair_id, s.left_id, s.right_id,
        CASE WHEN a.ws_words >= 20 AND b.ws_words >= 20 THEN b.reading_level END AS text2_reading_level
 FROM sim s LEFT JOIN prof a ON a.text_id = s.left_id LEFT JOIN prof b ON b.text_id = s.right_id""")
 def q_compare_record(spark, sf):
-    c = compare_records(fx.pairs(spark, sf), spread(fx.corpus(spark, sf)))
+    c = compare_records(fx.pairs(spark, sf), fx.corpus(spark, sf))
     return c.select(*[F.array_join(x, ",").alias(x) if x in ("shared_keywords", "unique_to_text1", "unique_to_text2")
                       else F.col(x) for x in c.columns])
 
@@ -157,4 +156,4 @@ WHERE p.left_id <> p.right_id
   AND NOT EXISTS (SELECT 1 FROM kw o WHERE o.text_id = p.left_id AND o.term = k.term)
 GROUP BY p.left_id, k.term""")
 def q_content_gap(spark, sf):
-    return content_gap(fx.pairs(spark, sf), spread(fx.corpus(spark, sf)))
+    return content_gap(fx.pairs(spark, sf), fx.corpus(spark, sf))

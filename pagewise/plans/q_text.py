@@ -9,11 +9,12 @@ from pagewise.functions import text as tx
 from pagewise.functions.readability import with_readability, with_text_stats
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import NONWS, WORD, r, readability_sql, syllable_lambda, ws_count, ws_trim
+from pagewise.session import spread
 from pagewise.sources import tables as src
 
 
 def _readability(spark, sf):
-    docs = src.documents(spark, sf).select("doc_id", "text")
+    docs = spread(src.documents(spark, sf)).select("doc_id", "text")
     return with_readability(docs, "text", keep=["doc_id"])
 
 
@@ -26,7 +27,7 @@ def q_readability(spark, sf):
 SELECT doc_id, len(w)::BIGINT AS word_count, array_to_string(w, ' ') AS words_text
 FROM (SELECT doc_id, regexp_extract_all(text, {WORD}) AS w FROM documents)""")
 def q_text_words(spark, sf):
-    d = src.documents(spark, sf).select("doc_id", tx.words(F.col("text")).alias("w"))
+    d = spread(src.documents(spark, sf)).select("doc_id", tx.words(F.col("text")).alias("w"))
     return d.select("doc_id", F.size("w").cast("long").alias("word_count"),
                     F.array_join("w", " ").alias("words_text"))
 
@@ -35,7 +36,7 @@ def q_text_words(spark, sf):
 SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda p: regexp_matches(p, {NONWS})))::BIGINT AS sentence_count
 FROM documents""")
 def q_sentence_count(spark, sf):
-    return src.documents(spark, sf).select("doc_id", tx.sentence_count(F.col("text")).alias("sentence_count"))
+    return spread(src.documents(spark, sf)).select("doc_id", tx.sentence_count(F.col("text")).alias("sentence_count"))
 
 
 @query("syllables", group="text", oracle=f"""
@@ -46,7 +47,7 @@ GROUP BY lang, syllables""")
 def q_syllables(spark, sf):
     """Syllable histogram per language: explode (word, syllables) pairs and
     aggregate (partial aggregation happens map-side before the shuffle)."""
-    d = src.documents(spark, sf).select("lang", tx.words(F.col("text")).alias("w"))
+    d = spread(src.documents(spark, sf)).select("lang", tx.words(F.col("text")).alias("w"))
     d = d.select("lang", F.explode("w").alias("word"))
     d = d.select("lang", "word", tx.syllables_of(F.col("word")).alias("syllables"))
     return d.groupBy("lang", "syllables").agg(
@@ -67,7 +68,7 @@ SELECT lang, reading_level, count(*)::BIGINT AS n_docs,
 FROM {readability_sql('documents', 'doc_id', 'text', extra='lang')}
 GROUP BY lang, reading_level""")
 def q_reading_level(spark, sf):
-    docs = src.documents(spark, sf).select("doc_id", "lang", "text")
+    docs = spread(src.documents(spark, sf)).select("doc_id", "lang", "text")
     rd = with_readability(docs, "text", keep=["doc_id", "lang"])
     return rd.groupBy("lang", "reading_level").agg(
         F.count("*").alias("n_docs"),
@@ -95,7 +96,7 @@ SELECT doc_id, {ws_count('text')} AS ws_word_count,
        len(regexp_extract_all(text, {WORD}))::BIGINT AS letter_word_count
 FROM documents""")
 def q_ws_word_count(spark, sf):
-    d = src.documents(spark, sf)
+    d = spread(src.documents(spark, sf))
     return d.select("doc_id", tx.ws_word_count(F.col("text")).alias("ws_word_count"),
                     F.size(tx.words(F.col("text"))).cast("long").alias("letter_word_count"))
 
@@ -106,7 +107,7 @@ SELECT doc_id, length(t)::BIGINT AS out_chars, right(t, 3) = '...' AND length(te
 FROM (SELECT doc_id, text, CASE WHEN length(text) > 50000 THEN substr(text, 1, 50000) || '...' ELSE text END AS t
       FROM documents)""")
 def q_text_truncate(spark, sf):
-    d = src.documents(spark, sf).select("doc_id", "text", tx.truncate_text(F.col("text"), 50000).alias("t"))
+    d = spread(src.documents(spark, sf)).select("doc_id", "text", tx.truncate_text(F.col("text"), 50000).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("out_chars"),
                     ((F.substring("t", -3, 3) == "...") & (F.length("text") > 50000)).alias("truncated"),
                     F.md5("t").alias("text_md5"))
@@ -117,7 +118,7 @@ SELECT doc_id, CASE WHEN length(text) > 300 THEN {ws_trim('substr(text, 1, 300)'
                     ELSE {ws_trim('text')} END AS excerpt
 FROM documents""")
 def q_text_excerpt(spark, sf):
-    d = src.documents(spark, sf)
+    d = spread(src.documents(spark, sf))
     return d.select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
 
 
@@ -128,7 +129,7 @@ SELECT role, count(*)::BIGINT AS n_turns, sum(word_count)::BIGINT AS words,
 FROM {readability_sql('conversations', 'conv_id', 'text', extra='turn, role')}
 GROUP BY role""")
 def q_readability_by_role(spark, sf):
-    conv = src.conversations(spark, sf).select("conv_id", "turn", "role", "text")
+    conv = spread(src.conversations(spark, sf)).select("conv_id", "turn", "role", "text")
     rd = with_readability(conv, "text", keep=["role"])
     return rd.groupBy("role").agg(
         F.count("*").alias("n_turns"), F.sum("word_count").cast("long").alias("words"),

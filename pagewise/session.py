@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable (shared-storage) checkpoint; survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise an intermediate as a parquet table in the shared
+    ``spark.checkpoint.dir`` and read it back.
+
+    Used where several consumers read the same large intermediate (each would
+    otherwise recompute it when their pushed-down filters differ). The table
+    cuts lineage — a lost executor costs a re-read, not a recompute — and,
+    unlike an RDD checkpoint, it is columnar and carries real file sizes, so
+    the planner never mistakes it for a broadcastable table."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
