@@ -40,6 +40,7 @@ def load_all() -> dict[str, Entry]:
     from pagewise.plans import (  # noqa: F401
         q_pages,
         q_quality,
+        q_scoring,
         q_terms,
         q_text,
         q_usage,

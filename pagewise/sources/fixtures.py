@@ -46,3 +46,57 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     allp = adjacent.unionByName(self_p).unionByName(bench).unionByName(empty)
     return allp.select(F.concat_ws(":", "kind", "left_id", "right_id").alias("pair_id"),
                        "kind", "left_id", "right_id")
+
+
+# Fixed values for the completions fixture (test inputs of our own).
+SENT_LABELS = ["positive", "negative", "neutral", "mixed"]
+CATEGORIES = ["technology", "business", "health", "science", "politics", "entertainment",
+              "sports", "education", "lifestyle", "other"]
+OVERLONG_SENTIMENT = ('{"sentiment": "NEGATIVE", "confidence": 0.8, "key_phrases": ['
+                      + ", ".join(f'"p{i}"' for i in range(8)) + "]}")
+OVERLONG_KEYWORDS = ('{"keywords": [' + ", ".join(f'"k{i}"' for i in range(12)) + '], "topics": ['
+                     + ", ".join(f'"t{i}"' for i in range(6)) + '], "entities": ['
+                     + ", ".join(f'{{"name": "e{i}", "type": "OTHER"}}' for i in range(11))
+                     + '], "category": "science", "tags": [' + ", ".join(f'"g{i}"' for i in range(9)) + "]}")
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, task, raw): one raw completion per document and task, chosen
+    by doc_id % 8 — valid (0-2), not JSON (3), empty (4), unknown label or
+    category (5), odd confidence / empty object (6), over-long lists (7)."""
+    d = src.documents(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)).alias("w"))
+    k = F.col("doc_id") % 8
+    w = [F.coalesce(F.get(F.col("w"), i), F.lit("none")) for i in range(3)]
+    lab = F.get(F.array(*[F.lit(x) for x in SENT_LABELS]), (F.col("doc_id") % 4).cast("int"))
+    cat = F.get(F.array(*[F.lit(x) for x in CATEGORIES]), (F.col("doc_id") % 10).cast("int"))
+    q = F.lit('"')
+    sentiment = (
+        F.when(k <= 2, F.concat(F.lit('{"sentiment": "'), lab, F.lit('", "confidence": 0.'),
+                                (F.lit(5) + F.col("doc_id") % 5).cast("string"),
+                                F.lit(', "scores": {"positive": 0.6, "negative": 0.3, "neutral": 0.1}, "key_phrases": ['),
+                                q, w[0], q, F.lit(", "), q, w[1], q, F.lit(", "), q, w[2], q, F.lit("]}")))
+         .when(k == 3, F.concat(F.lit("not json: "), w[0]))
+         .when(k == 4, F.lit(""))
+         .when(k == 5, F.lit('{"sentiment": "ecstatic", "confidence": 0.7, "key_phrases": []}'))
+         .when(k == 6, F.when(F.col("doc_id") % 3 == 0, F.lit('{"sentiment": "positive", "confidence": 1.5}'))
+                        .when(F.col("doc_id") % 3 == 1, F.lit('{"sentiment": "positive", "confidence": "0.9"}'))
+                        .otherwise(F.lit('{"sentiment": "negative", "confidence": -0.2}')))
+         .otherwise(F.lit(OVERLONG_SENTIMENT)))
+    keywords = (
+        F.when(k <= 2, F.concat(F.lit('{"keywords": ['), q, w[0], q, F.lit(", "), q, w[1], q,
+                                F.lit('], "topics": ['), q, w[2], q, F.lit('], "entities": [{"name": '), q, w[0], q,
+                                F.lit(', "type": "ORG"}], "category": '), q, cat, q, F.lit(', "tags": ['), q,
+                                F.lower(w[0]), q, F.lit("]}")))
+         .when(k == 3, F.concat(F.lit("keywords: "), w[0]))
+         .when(k == 4, F.lit(""))
+         .when(k == 5, F.lit('{"keywords": ["x"], "category": "gardening"}'))
+         .when(k == 6, F.lit("{}"))
+         .otherwise(F.lit(OVERLONG_KEYWORDS)))
+    summary = (
+        F.when(k <= 2, F.concat(F.lit("  "), w[0], F.lit(" "), w[1], F.lit(" "), w[2], F.lit(".  ")))
+         .when(k == 3, F.concat(F.lit("Summary: "), w[0]))
+         .when(k == 4, F.lit(""))
+         .otherwise(F.concat(w[0], F.lit(" and "), w[1])))
+    parts = [d.select("doc_id", F.lit(t).alias("task"), c.alias("raw"))
+             for t, c in (("summary", summary), ("sentiment", sentiment), ("keywords", keywords))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
