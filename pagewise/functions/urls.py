@@ -94,22 +94,26 @@ def _remove_dot_segments(segments: Column) -> Column:
     return F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
 
 
-def join_url(base: Column, href: Column) -> Column:
-    """Resolve ``href`` against ``base`` the way a browser-style urljoin does:
-    absolute hrefs unchanged; '//host' takes the base scheme; empty href is
-    the base; '?q' and '#f' keep the base path; other paths are merged with
-    the base directory and dot segments are removed."""
-    h = clean_url(href)
-    b = base
-    h_scheme, b_scheme = scheme(h), scheme(b)
-    h_has_netloc = _part(h, G_AUTH) != ""
-    h_path, b_path = path(h), path(b)
-    b_netloc = netloc(b)
-
-    # merged path for a relative reference with a non-empty path
+def url_parts(u: Column) -> Column:
+    """All split parts of a URL as one struct (each regex runs once when the
+    struct is materialised in its own projection or lambda)."""
+    return F.struct(
+        F.lower(_part(u, G_SCHEME)).alias("scheme"), (_part(u, G_AUTH) != "").alias("has_auth"),
+        _part(u, G_NETLOC).alias("netloc"), _part(u, G_PATH).alias("path"),
+        (_part(u, G_QMARK) != "").alias("has_q"), _part(u, G_QUERY).alias("query"),
+        _part(u, G_FRAG).alias("frag"), u.alias("raw"))
+
+
+def resolve_parts(b: Column, h: Column) -> Column:
+    """Resolve reference parts ``h`` against base parts ``b`` (both structs
+    from ``url_parts``; ``h`` built from the cleaned href): absolute hrefs
+    unchanged; '//host' takes the base scheme; empty href is the base; '?q'
+    and '#f' keep the base path; other paths are merged with the base
+    directory and dot segments are removed."""
+    h_path, b_path = h["path"], b["path"]
     base_dir = F.split(b_path, "/", -1)
-    base_dir = F.when(F.get(base_dir, F.size(base_dir) - 1) != "", F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))) \
-                .otherwise(base_dir)
+    base_dir = F.when(F.get(base_dir, F.size(base_dir) - 1) != "",
+                      F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))).otherwise(base_dir)
     rel_segs = F.concat(base_dir, F.split(h_path, "/", -1))
     n = F.size(rel_segs)
     # drop empty segments strictly between the first and the last
@@ -117,23 +121,36 @@ def join_url(base: Column, href: Column) -> Column:
         F.concat(F.slice(rel_segs, 1, 1),
                  F.filter(F.slice(rel_segs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
                  F.slice(rel_segs, -1, 1)))
-    abs_segs = F.split(h_path, "/", -1)
-    segs = F.when(h_path.startswith("/"), abs_segs).otherwise(rel_segs)
+    segs = F.when(h_path.startswith("/"), F.split(h_path, "/", -1)).otherwise(rel_segs)
     joined = F.array_join(_remove_dot_segments(segs), "/")
     joined = F.when(joined == "", F.lit("/")).otherwise(joined)
-    joined = F.when(joined.startswith("/") | (b_netloc == ""), joined).otherwise(F.concat(F.lit("/"), joined))
+    joined = F.when(joined.startswith("/") | (b["netloc"] == ""), joined).otherwise(F.concat(F.lit("/"), joined))
 
-    h_q, b_q = query(h), query(b)
     q_of = lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))
     f_of = lambda f: F.when(f != "", F.concat(F.lit("#"), f)).otherwise(F.lit(""))
-    prefix = F.concat(b_scheme, F.lit("://"), b_netloc)
-
-    return (F.when(h == "", b)
-             .when((h_scheme != "") & ((h_scheme != b_scheme) | h_has_netloc), h)
-             .when(h_has_netloc, F.concat(b_scheme, F.lit(":"), h))
+    prefix = F.concat(b["scheme"], F.lit("://"), b["netloc"])
+    return (F.when(h["raw"] == "", b["raw"])
+             .when((h["scheme"] != "") & ((h["scheme"] != b["scheme"]) | h["has_auth"]), h["raw"])
+             .when(h["has_auth"], F.concat(b["scheme"], F.lit(":"), h["raw"]))
              .when(h_path == "", F.concat(prefix, b_path,
-                                          q_of(F.when(has_query(h), h_q).otherwise(b_q)), f_of(fragment(h))))
-             .otherwise(F.concat(prefix, joined, q_of(h_q), f_of(fragment(h)))))
+                                          q_of(F.when(h["has_q"], h["query"]).otherwise(b["query"])),
+                                          f_of(h["frag"])))
+             .otherwise(F.concat(prefix, joined, q_of(h["query"]), f_of(h["frag"]))))
+
+
+def join_url(base: Column, href: Column) -> Column:
+    """urljoin(base, href) for one pair (convenience form; for many hrefs per
+    row use ``join_urls`` which parses each URL once)."""
+    return resolve_parts(url_parts(base), url_parts(clean_url(href)))
+
+
+def join_urls(base_parts: Column, hrefs: Column) -> Column:
+    """Resolve an array of hrefs against a row's base URL. ``base_parts`` must
+    be a materialised ``url_parts`` column; each href is cleaned and parsed
+    once (nested transforms), then assembled."""
+    cleaned = F.transform(hrefs, clean_url)
+    parsed = F.transform(cleaned, url_parts)
+    return F.transform(parsed, lambda h: resolve_parts(base_parts, h))
 
 
 def ipv4_to_long(host: Column) -> Column:

@@ -28,9 +28,11 @@ CARD_FIELDS = ["card", "title", "description", "image", "site"]
 
 
 def tag_stage(pages: DataFrame) -> DataFrame:
-    """(page_id, url, nc = html without comments, clean = nc without scripts/styles)."""
+    """(page_id, url, nc = html without comments, clean = nc without scripts/styles,
+    base = the page URL parsed once)."""
     s1 = pages.select("page_id", "url", H.strip_comments(F.col("html")).alias("nc"))
-    return s1.select("page_id", "url", "nc", H.strip_code(F.col("nc")).alias("clean"))
+    return s1.select("page_id", "url", "nc", H.strip_code(F.col("nc")).alias("clean"),
+                     U.url_parts(F.col("url")).alias("base"))
 
 
 # ---------------------------------------------------------------- metadata
@@ -114,24 +116,24 @@ def img_tags(clean: Column) -> Column:
     return H.tags(clean, H.IMG_TAG_RE)
 
 
-def image_urls(url: Column, imgs: Column) -> Column:
+def image_urls(base: Column, imgs: Column) -> Column:
+    """Resolved img[src] URLs, order-preserving de-duplication, first 50."""
     with_src = F.filter(imgs, lambda t: H.attr_present(t, "src"))
-    resolved = F.transform(with_src, lambda t: U.join_url(url, F.coalesce(H.attr(t, "src"), F.lit(""))))
-    return F.slice(F.array_distinct(resolved), 1, H.MAX_IMAGES)
+    srcs = F.transform(with_src, lambda t: F.coalesce(H.attr(t, "src"), F.lit("")))
+    return F.slice(F.array_distinct(U.join_urls(base, srcs)), 1, H.MAX_IMAGES)
 
 
-def link_urls(url: Column, hrefs: Column) -> Column:
-    resolved = F.transform(hrefs, lambda h: U.join_url(url, h))
-    web = F.filter(resolved, lambda u: U.scheme(u).isin(*U.ALLOWED_SCHEMES))
+def link_urls(base: Column, hrefs: Column) -> Column:
+    """Resolved a[href] URLs with a web scheme, de-duplicated, first 100."""
+    web = F.filter(U.join_urls(base, hrefs), lambda u: U.scheme(u).isin(*U.ALLOWED_SCHEMES))
     return F.slice(F.array_distinct(web), 1, H.MAX_LINKS)
 
 
-def link_class_counts(url: Column, hrefs: Column) -> tuple[Column, Column]:
+def link_class_counts(base: Column, hrefs: Column) -> tuple[Column, Column]:
     """(internal, external) over all a[href] (not de-duplicated): internal when
     the resolved netloc equals the page's netloc or is empty."""
-    page_netloc = U.netloc(url)
-    netlocs = F.transform(hrefs, lambda h: U.netloc(U.join_url(url, h)))
-    internal = F.size(F.filter(netlocs, lambda n: (n == page_netloc) | (n == ""))).cast("long")
+    netlocs = F.transform(U.join_urls(base, hrefs), U.netloc)
+    internal = F.size(F.filter(netlocs, lambda n: (n == base["netloc"]) | (n == ""))).cast("long")
     return internal, (F.size(netlocs).cast("long") - internal)
 
 
@@ -143,7 +145,7 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
     NULL under 20 whitespace words). Optional outputs are only computed when
     requested — column pruning drops the work otherwise."""
     ts = tag_stage(pages)
-    s2 = ts.select("page_id", "url", "clean", "nc",
+    s2 = ts.select("page_id", "url", "clean", "nc", "base",
                    H.meta_structs(F.col("clean")).alias("metas"),
                    truncate_text(H.main_text(F.col("clean")), MAX_CONTENT_CHARS).alias("text"))
     cols = [
@@ -161,9 +163,9 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
     else:
         cols.append(F.lit(None).cast("string").alias("markdown"))
     empty = F.array().cast("array<string>")
-    cols.append(image_urls(F.col("url"), img_tags(F.col("clean"))).alias("images") if include_images
+    cols.append(image_urls(F.col("base"), img_tags(F.col("clean"))).alias("images") if include_images
                 else empty.alias("images"))
-    cols.append(link_urls(F.col("url"), link_hrefs(F.col("clean"))).alias("links") if include_links
+    cols.append(link_urls(F.col("base"), link_hrefs(F.col("clean"))).alias("links") if include_links
                 else empty.alias("links"))
     s3 = s2.select(*cols)
     staged = with_text_stats(s3, "text")
@@ -175,7 +177,7 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
 def seo_record(pages: DataFrame) -> DataFrame:
     """SEO record per page (nested structs for OG / card / schema)."""
     ts = tag_stage(pages)
-    s2 = ts.select("page_id", "url", "clean",
+    s2 = ts.select("page_id", "url", "clean", "base",
                    H.meta_structs(F.col("clean")).alias("metas"),
                    H.ld_json_scripts(F.col("nc")).alias("ld"),
                    link_hrefs(F.col("clean")).alias("hrefs"),
@@ -185,7 +187,7 @@ def seo_record(pages: DataFrame) -> DataFrame:
     robots = H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)robots"))
     viewport = H.meta_lookup(metas, lambda m: m["name"] == "viewport")
     charset = H.meta_lookup(metas, lambda m: m["charset"].isNotNull())
-    internal, external = link_class_counts(F.col("url"), F.col("hrefs"))
+    internal, external = link_class_counts(F.col("base"), F.col("hrefs"))
     no_alt = F.size(F.filter(F.col("imgs"), lambda t: F.coalesce(H.attr(t, "alt"), F.lit("")) == "")).cast("long")
     return s2.select(
         "page_id", "url",
@@ -213,8 +215,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     resolved a[href] with a web scheme. Partial aggregation runs map-side."""
     ts = tag_stage(pages)
     e = ts.select("page_id", U.hostname(F.col("url")).alias("src_host"),
-                  F.explode(F.transform(link_hrefs(F.col("clean")),
-                                        lambda h: U.join_url(F.col("url"), h))).alias("dst"))
+                  F.explode(U.join_urls(F.col("base"), link_hrefs(F.col("clean")))).alias("dst"))
     e = e.filter(U.scheme(F.col("dst")).isin(*U.ALLOWED_SCHEMES))
     return (e.select("page_id", "src_host", U.hostname(F.col("dst")).alias("dst_host"))
              .groupBy("src_host", "dst_host")

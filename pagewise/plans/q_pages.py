@@ -100,9 +100,12 @@ _HREFS = f"""WITH {_TS}, hr AS (
 @query("url_join", group="urls", oracle=f"""{_HREFS}
 SELECT page_id, pos::BIGINT AS pos, href, joined FROM hj""")
 def q_url_join(spark, sf):
-    t = _ts(spark, sf).select("page_id", "url", F.posexplode(P.link_hrefs(F.col("clean"))).alias("pos", "href"))
-    return t.select("page_id", F.col("pos").cast("long").alias("pos"), "href",
-                    U.join_url(F.col("url"), F.col("href")).alias("joined"))
+    t = _ts(spark, sf)
+    t = t.select("page_id", F.arrays_zip(P.link_hrefs(F.col("clean")).alias("href"),
+                                         U.join_urls(F.col("base"), P.link_hrefs(F.col("clean"))).alias("joined")).alias("z"))
+    t = t.select("page_id", F.posexplode("z").alias("pos", "hj"))
+    return t.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("hj.href").alias("href"),
+                    F.col("hj.joined").alias("joined"))
 
 
 @query("link_counts", group="pages", oracle=f"""WITH {_TS}, hr AS (
@@ -113,7 +116,7 @@ SELECT page_id,
 FROM hr""")
 def q_link_counts(spark, sf):
     t = _ts(spark, sf)
-    i, e = P.link_class_counts(F.col("url"), P.link_hrefs(F.col("clean")))
+    i, e = P.link_class_counts(F.col("base"), P.link_hrefs(F.col("clean")))
     return t.select("page_id", i.alias("internal_links"), e.alias("external_links"))
 
 
@@ -123,7 +126,7 @@ def q_link_counts(spark, sf):
 SELECT page_id, array_to_string(list_slice({S.distinct_ordered('lk')}, 1, 100), ' ') AS links,
        len(list_slice({S.distinct_ordered('lk')}, 1, 100))::BIGINT AS n_links FROM hr""")
 def q_html_links(spark, sf):
-    t = _ts(spark, sf).select("page_id", P.link_urls(F.col("url"), P.link_hrefs(F.col("clean"))).alias("lk"))
+    t = _ts(spark, sf).select("page_id", P.link_urls(F.col("base"), P.link_hrefs(F.col("clean"))).alias("lk"))
     return t.select("page_id", F.array_join("lk", " ").alias("links"), F.size("lk").cast("long").alias("n_links"))
 
 
@@ -140,8 +143,7 @@ _URLS = f"""{_HREFS}, urls AS (SELECT url FROM pages UNION ALL SELECT joined AS
 
 def _all_urls(spark, sf):
     t = _ts(spark, sf)
-    links = t.select(F.explode(F.transform(P.link_hrefs(F.col("clean")),
-                                           lambda h: U.join_url(F.col("url"), h))).alias("url"))
+    links = t.select(F.explode(U.join_urls(F.col("base"), P.link_hrefs(F.col("clean")))).alias("url"))
     return src.pages(spark, sf).select("url").unionByName(links)
 
 

@@ -38,6 +38,7 @@ def query(name: str, oracle: str | None = None, group: str = ""):
 def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
     from pagewise.plans import (  # noqa: F401
+        q_admission,
         q_pages,
         q_quality,
         q_scoring,
