@@ -129,12 +129,17 @@ def link_urls(base: Column, hrefs: Column) -> Column:
     return F.slice(F.array_distinct(web), 1, H.MAX_LINKS)
 
 
-def link_class_counts(base: Column, hrefs: Column) -> tuple[Column, Column]:
+def link_netlocs(base: Column, hrefs: Column) -> Column:
+    """netloc of every resolved a[href] (materialise before counting)."""
+    return F.transform(U.join_urls(base, hrefs), U.netloc)
+
+
+def link_class_counts(base: Column, netlocs: Column) -> tuple[Column, Column]:
     """(internal, external) over all a[href] (not de-duplicated): internal when
-    the resolved netloc equals the page's netloc or is empty."""
-    netlocs = F.transform(U.join_urls(base, hrefs), U.netloc)
-    internal = F.size(F.filter(netlocs, lambda n: (n == base["netloc"]) | (n == ""))).cast("long")
-    return internal, (F.size(netlocs).cast("long") - internal)
+    the resolved netloc equals the page's netloc or is empty. ``netlocs`` is a
+    materialised ``link_netlocs`` column."""
+    external = F.size(F.filter(netlocs, lambda n: (n != base["netloc"]) & (n != ""))).cast("long")
+    return (F.size(netlocs).cast("long") - external), external
 
 
 # ---------------------------------------------------------------- records
@@ -180,14 +185,14 @@ def seo_record(pages: DataFrame) -> DataFrame:
     s2 = ts.select("page_id", "url", "clean", "base",
                    H.meta_structs(F.col("clean")).alias("metas"),
                    H.ld_json_scripts(F.col("nc")).alias("ld"),
-                   link_hrefs(F.col("clean")).alias("hrefs"),
+                   link_netlocs(F.col("base"), link_hrefs(F.col("clean"))).alias("netlocs"),
                    img_tags(F.col("clean")).alias("imgs"))
     metas = F.col("metas")
     desc = H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)description"))
     robots = H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)robots"))
     viewport = H.meta_lookup(metas, lambda m: m["name"] == "viewport")
     charset = H.meta_lookup(metas, lambda m: m["charset"].isNotNull())
-    internal, external = link_class_counts(F.col("base"), F.col("hrefs"))
+    internal, external = link_class_counts(F.col("base"), F.col("netlocs"))
     no_alt = F.size(F.filter(F.col("imgs"), lambda t: F.coalesce(H.attr(t, "alt"), F.lit("")) == "")).cast("long")
     return s2.select(
         "page_id", "url",

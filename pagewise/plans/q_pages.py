@@ -115,8 +115,8 @@ SELECT page_id,
   (len(hl) - len(list_filter(hl, lambda h: {S.netloc(S.join_url('url', 'h'))} = {S.netloc('url')} OR {S.netloc(S.join_url('url', 'h'))} = '')))::BIGINT AS external_links
 FROM hr""")
 def q_link_counts(spark, sf):
-    t = _ts(spark, sf)
-    i, e = P.link_class_counts(F.col("base"), P.link_hrefs(F.col("clean")))
+    t = _ts(spark, sf).select("page_id", "base", P.link_netlocs(F.col("base"), P.link_hrefs(F.col("clean"))).alias("nl"))
+    i, e = P.link_class_counts(F.col("base"), F.col("nl"))
     return t.select("page_id", i.alias("internal_links"), e.alias("external_links"))
 
 

@@ -42,6 +42,7 @@ def load_all() -> dict[str, Entry]:
         q_pages,
         q_quality,
         q_scoring,
+        q_streams,
         q_terms,
         q_text,
         q_usage,

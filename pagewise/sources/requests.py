@@ -66,7 +66,11 @@ def requests(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame
 
     ``dense``: caller = user_id and time compressed 60x within the month, so
     per-minute limits and 30-minute sessions are reached."""
-    ev = src.events(spark, sf_dir)
+    return requests_from_events(src.events(spark, sf_dir), dense)
+
+
+def requests_from_events(ev: DataFrame, dense: bool = False) -> DataFrame:
+    """Row-local derivation; works on batch and streaming ``events`` alike."""
     caller = F.col("user_id") if dense else (F.col("user_id") % N_CALLERS)
     ts = month_compressed(F.col("ts")) if dense else F.col("ts")
     tier = F.coalesce(tier_of_caller(F.col("user_id") % N_CALLERS), F.lit(DEFAULT_TIER))
