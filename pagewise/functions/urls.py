@@ -34,9 +34,9 @@ def _part(url: Column, g: int) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    """Strip leading/trailing C0 controls and spaces; drop tab/CR/LF anywhere."""
+    """Strip leading C0 controls and spaces; drop tab/CR/LF anywhere."""
     u = F.regexp_replace(url, F.lit(r"[\t\r\n]"), F.lit(""))
-    return F.regexp_replace(u, F.lit(r"^[\x00-\x20]+|[\x00-\x20]+$"), F.lit(""))
+    return F.regexp_replace(u, F.lit(r"^[\x00-\x20]+"), F.lit(""))
 
 
 def scheme(url: Column) -> Column:
