@@ -41,6 +41,7 @@ def load_all() -> dict[str, Entry]:
         q_admission,
         q_pages,
         q_quality,
+        q_rich,
         q_scoring,
         q_streams,
         q_terms,
