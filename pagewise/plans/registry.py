@@ -39,6 +39,7 @@ def load_all() -> dict[str, Entry]:
     # Importing the modules registers their queries.
     from pagewise.plans import (  # noqa: F401
         q_admission,
+        q_endpoints,
         q_pages,
         q_quality,
         q_rich,
