@@ -153,16 +153,21 @@ def body_text(clean: Column) -> Column:
     return element_text(body_html(clean), " ")
 
 
+def region_candidates(reduced: Column) -> Column:
+    """[article, main, [role=main], div.content-like, body] inner HTML (NULL
+    when the element is absent), each regex evaluated once."""
+    def grab(pat: str) -> Column:
+        return F.when(reduced.rlike(pat), F.regexp_extract(reduced, pat, 1))
+    return F.array(grab(ARTICLE_RE), grab(MAIN_RE), grab(ROLE_MAIN_RE), grab(CONTENT_DIV_RE), body_html(reduced))
+
+
+def first_nonempty(cands: Column) -> Column:
+    return F.coalesce(F.get(F.filter(cands, lambda c: F.coalesce(F.length(c), F.lit(0)) > 0), 0), F.lit(""))
+
+
 def content_region(clean_main: Column) -> Column:
     """First non-empty of article, main, [role=main], div.content-like, body."""
-    def grab(pat: str) -> Column:
-        return F.when(clean_main.rlike(pat), F.regexp_extract(clean_main, pat, 1))
-    cands = [grab(ARTICLE_RE), grab(MAIN_RE), grab(ROLE_MAIN_RE), grab(CONTENT_DIV_RE), body_html(clean_main)]
-    out = None
-    for c in cands:
-        cond = F.coalesce(F.length(c), F.lit(0)) > 0
-        out = F.when(cond, c) if out is None else out.when(cond, c)
-    return out.otherwise(F.lit(""))
+    return first_nonempty(region_candidates(clean_main))
 
 
 def paragraphs(region: Column) -> Column:
@@ -174,8 +179,9 @@ def paragraphs(region: Column) -> Column:
 
 
 def main_text(clean: Column) -> Column:
-    """Fallback main-content text: boilerplate elements dropped, paragraphs
-    of the content region joined by blank lines, else all body text."""
+    """Fallback main-content text as one expression (convenience form; the
+    record builders use ``operators.pages.with_main_text``, which stages the
+    same steps so each regex runs once per row)."""
     reduced = strip_elements(clean, BOILERPLATE)
     paras = F.array_join(paragraphs(content_region(reduced)), "\n\n")
     return F.when(paras != "", paras).otherwise(body_text(reduced))

@@ -22,12 +22,11 @@ DEFAULT_FLESCH = 50.0
 
 
 def quality_inputs(pages: DataFrame) -> DataFrame:
-    ts = P.tag_stage(pages)
-    s2 = ts.select("page_id", "url", "clean",
+    ts = P.with_main_text(P.tag_stage(pages))
+    s2 = ts.select("page_id", "url", "clean", "text",
                    H.meta_structs(F.col("clean")).alias("metas"),
                    H.ld_json_scripts(F.col("nc")).alias("ld"),
-                   P.img_tags(F.col("clean")).alias("imgs"),
-                   truncate_text(H.main_text(F.col("clean")), P.MAX_CONTENT_CHARS).alias("text"))
+                   P.img_tags(F.col("clean")).alias("imgs"))
     metas = F.col("metas")
     desc = H.meta_content(H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)description")))
     canon = H.canonical(F.col("clean"))

@@ -35,6 +35,22 @@ def tag_stage(pages: DataFrame) -> DataFrame:
                      U.url_parts(F.col("url")).alias("base"))
 
 
+def with_main_text(df: DataFrame, clean: str = "clean", out: str = "text",
+                   limit: int | None = MAX_CONTENT_CHARS, p: str = "_mt_") -> DataFrame:
+    """Add the main-content text of ``clean`` as ``out`` in staged projections:
+    boilerplate removed -> candidate regions -> paragraphs of the first
+    non-empty region -> text (else all body text) -> truncation. Every
+    intermediate is an attribute, so no regex is evaluated twice per row."""
+    d = df.withColumn(f"{p}red", H.strip_elements(F.col(clean), H.BOILERPLATE))
+    red = F.col(f"{p}red")
+    d = d.withColumn(f"{p}paras", F.array_join(H.paragraphs(H.first_nonempty(H.region_candidates(red))), "\n\n"))
+    paras = F.col(f"{p}paras")
+    d = d.withColumn(f"{p}full", F.when(paras != "", paras).otherwise(H.body_text(red)))
+    full = F.col(f"{p}full")
+    d = d.withColumn(out, truncate_text(full, limit) if limit else full)
+    return d.drop(f"{p}red", f"{p}paras", f"{p}full")
+
+
 # ---------------------------------------------------------------- metadata
 
 def author(metas: Column, ld: Column) -> Column:
@@ -149,10 +165,9 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
     """Content record per page (flat columns; readability as a STRUCT that is
     NULL under 20 whitespace words). Optional outputs are only computed when
     requested — column pruning drops the work otherwise."""
-    ts = tag_stage(pages)
-    s2 = ts.select("page_id", "url", "clean", "nc", "base",
-                   H.meta_structs(F.col("clean")).alias("metas"),
-                   truncate_text(H.main_text(F.col("clean")), MAX_CONTENT_CHARS).alias("text"))
+    ts = with_main_text(tag_stage(pages))
+    s2 = ts.select("page_id", "url", "clean", "nc", "base", "text",
+                   H.meta_structs(F.col("clean")).alias("metas"))
     cols = [
         "page_id", "url",
         F.coalesce(H.title(F.col("clean")), F.lit("")).alias("title"),

@@ -75,24 +75,25 @@ def summary_prompt(template: Column, max_length: Column, language: Column) -> Co
 
 def prompt_table(docs: DataFrame, spark: SparkSession, fmt: str = "tldr", max_length: int = 200,
                  language: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, task, system_prompt, input, model, temperature, max_tokens, json_mode)."""
+    """(id, task, system_prompt, input, model, temperature, max_tokens, json_mode):
+    one row per (id, task) from a single pass over ``docs`` (explode over the
+    tasks; per-task parameters are literal map lookups)."""
     lang = F.lit("en") if language is None else language
     base = docs.select(id_col, text_col, lang.alias("language"), F.lit(fmt).alias("format"))
     with_t = base.join(templates(spark), "format")
-    rows = []
-    for task in TASKS:
-        limit, temp, max_tok, json_mode = TASK_PARAMS[task]
-        prompt = (summary_prompt(F.col("template"), F.lit(max_length), F.col("language")) if task == "summary"
-                  else F.lit(SENTIMENT_PROMPT if task == "sentiment" else KEYWORDS_PROMPT))
-        rows.append(with_t.select(
-            id_col, F.lit(task).alias("task"), prompt.alias("system_prompt"),
-            F.substring(F.col(text_col), 1, limit).alias("input"),
-            F.lit(MODEL).alias("model"), F.lit(temp).alias("temperature"),
-            F.lit(max_tok).alias("max_tokens"), F.lit(json_mode).alias("json_mode")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = with_t.select(id_col, text_col, "language", "template",
+                         F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"))
+
+    def param(i: int) -> Column:
+        return F.create_map(*[x for t in TASKS for x in (F.lit(t), F.lit(TASK_PARAMS[t][i]))])[F.col("task")]
+    prompt = (F.when(F.col("task") == "summary",
+                     summary_prompt(F.col("template"), F.lit(max_length), F.col("language")))
+               .when(F.col("task") == "sentiment", F.lit(SENTIMENT_PROMPT))
+               .otherwise(F.lit(KEYWORDS_PROMPT)))
+    return rows.select(id_col, "task", prompt.alias("system_prompt"),
+                       F.substring(F.col(text_col), F.lit(1), param(0)).alias("input"),
+                       F.lit(MODEL).alias("model"), param(1).alias("temperature"),
+                       param(2).alias("max_tokens"), param(3).alias("json_mode"))
 
 
 # ------------------------------------------------------------------ scorer
@@ -143,7 +144,11 @@ def score(prompts: DataFrame, scorer: Scorer = local_scorer, id_col: str = "doc_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "task": b["task"], "raw": scorer(b).values})
+            raw = pd.Series([None] * len(b), index=b.index, dtype="object")
+            has_text = b["input"].fillna("").str.strip() != ""   # no model call for blank input
+            if has_text.any():
+                raw[has_text] = scorer(b[has_text]).values
+            yield pd.DataFrame({id_col: b[id_col], "task": b["task"], "raw": raw})
     return prompts.select(id_col, "task", "input").mapInPandas(run, schema)
 
 

@@ -135,9 +135,7 @@ def _requests(spark, sf):
 
 
 def _extracted(spark, sf):
-    ts = P.tag_stage(spread(src.pages(spark, sf)))
-    from pagewise.functions.text import truncate_text
-    return ts.select("page_id", truncate_text(H.main_text(F.col("clean")), 50000).alias("text"))
+    return P.with_main_text(P.tag_stage(spread(src.pages(spark, sf)))).select("page_id", "text")
 
 
 _REQ_SQL = """reqs AS (

@@ -168,9 +168,10 @@ def q_endpoint_analyze(spark, sf):
     score. Rows-only check: the stand-in scorer is Python."""
     pages = spread(pages_rich(spark, sf))
     q = AN.page_quality(pages)
-    ts = P.tag_stage(pages).select("page_id", truncate_text(H.main_text(F.col("clean")), P.MAX_CONTENT_CHARS).alias("text"))
-    ok = ts.filter(~is_blank(F.col("text")))
-    prompts = SC.prompt_table(ok, spark, id_col="page_id", text_col="text")
+    ts = P.with_main_text(P.tag_stage(pages)).select("page_id", "text")
+    # Blank texts get no model call: the scorer skips blank inputs (a filter
+    # here would be pushed below the extraction and re-run it).
+    prompts = SC.prompt_table(ts, spark, id_col="page_id", text_col="text")
     g = SC.gather(SC.score(prompts, id_col="page_id"), id_col="page_id")
     s = SC.sentiment_fields(F.col("sentiment_raw"))
     k = SC.keyword_fields(F.col("keywords_raw"))
@@ -178,13 +179,17 @@ def q_endpoint_analyze(spark, sf):
     llm = g.select("page_id", sm["word_count"].alias("summary_words"), s["sentiment"].alias("sentiment"),
                    k["category"].alias("category"), F.size(k["keywords"]).alias("n_keywords"))
     out = q.select("page_id", "url", "word_count", "total_score", "grade").join(llm, "page_id", "left")
-    return out.withColumn("error_code", F.when(F.col("sentiment").isNull(), F.lit("NO_CONTENT")))
+    # a text with no whitespace-separated token is blank -> NO_CONTENT, no model fields
+    blank = F.col("word_count") == 0
+    return out.select("page_id", "url", F.when(blank, F.lit("NO_CONTENT")).alias("error_code"),
+                      "word_count", "total_score", "grade",
+                      *[F.when(~blank, F.col(c)).alias(c) for c in ("summary_words", "sentiment", "category",
+                                                                   "n_keywords")])
 
 
 def _page_texts(spark, sf):
-    ts = P.tag_stage(spread(src.pages(spark, sf)))
-    return ts.select(F.col("page_id").alias("text_id"),
-                     truncate_text(H.main_text(F.col("clean")), P.MAX_CONTENT_CHARS).alias("text"))
+    ts = P.with_main_text(P.tag_stage(spread(src.pages(spark, sf))))
+    return ts.select(F.col("page_id").alias("text_id"), "text")
 
 
 def _page_pairs(spark, sf):

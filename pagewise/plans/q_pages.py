@@ -67,7 +67,7 @@ SELECT page_id, text, {ws_count('text')} AS word_count,
        CASE WHEN length(text) > 300 THEN {ws_trim('substr(text, 1, 300)')} || '...' ELSE {ws_trim('text')} END AS excerpt
 FROM mt""")
 def q_html_main_text(spark, sf):
-    t = _ts(spark, sf).select("page_id", truncate_text(H.main_text(F.col("clean")), 50000).alias("text"))
+    t = P.with_main_text(_ts(spark, sf)).select("page_id", "text")
     return t.select("page_id", "text", ws_word_count(F.col("text")).alias("word_count"),
                     excerpt(F.col("text")).alias("excerpt"))
 
