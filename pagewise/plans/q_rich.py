@@ -171,3 +171,62 @@ def q_quality_rich(spark, sf):
                     "has_meta_description", "has_canonical", "has_open_graph", "has_schema_markup",
                     F.col("total_images").cast("long").alias("total_images"),
                     F.col("images_without_alt").cast("long").alias("images_without_alt"))
+
+
+def _sub(name: str) -> str:
+    from pagewise.plans.registry import REGISTRY
+    return f"({REGISTRY[name].oracle})"
+
+
+_MT_RICH = f"""{_R}, ts AS (SELECT page_id, url, {S.strip_code(S.strip_comments('html'))} AS clean FROM pages_rich),
+  mt0 AS (SELECT page_id, clean, {S.main_text(S.strip_boilerplate('clean'))} AS m FROM ts),
+  mt AS (SELECT page_id, clean, CASE WHEN length(m) > 50000 THEN substr(m, 1, 50000) || '...' ELSE m END AS text FROM mt0)"""
+
+
+def _content_oracle() -> str:
+    from pagewise.plans.sqlfrag import readability_sql, ws_count
+    return f"""WITH {_MT_RICH},
+  rd AS (SELECT * FROM {readability_sql('mt', 'page_id', 'text', extra='clean, text')}),
+  base AS (SELECT page_id, coalesce({S.title('clean')}, '') AS title, {S.html_lang('clean')} AS language,
+                  {ws_count('text')} AS word_count,
+                  CASE WHEN length(text) > 300 THEN {ws_trim('substr(text, 1, 300)')} || '...' ELSE {ws_trim('text')} END AS excerpt,
+                  CASE WHEN {ws_count('text')} >= 20 THEN flesch_reading_ease END AS flesch_reading_ease,
+                  CASE WHEN {ws_count('text')} >= 20 THEN avg_grade_level END AS avg_grade_level FROM rd)
+SELECT b.page_id, b.title, a.author, d.published_date, b.word_count, b.excerpt, b.language,
+       i.n_images, b.flesch_reading_ease, b.avg_grade_level
+FROM base b JOIN {_sub('html_author')} a USING (page_id) JOIN {_sub('html_date')} d USING (page_id)
+     JOIN {_sub('html_images')} i USING (page_id)"""
+
+
+@query("content_record", group="rich", oracle=_content_oracle())
+def q_content_record(spark, sf):
+    c = P.content_record(_rich(spark, sf), include_images=True)
+    return c.select("page_id", "title", "author", "published_date", "word_count", "excerpt", "language",
+                    F.size("images").cast("long").alias("n_images"),
+                    F.col("readability.flesch_reading_ease").alias("flesch_reading_ease"),
+                    F.col("readability.avg_grade_level").alias("avg_grade_level"))
+
+
+def _seo_oracle() -> str:
+    from pagewise.plans.sqlfrag import ws_count
+    return f"""WITH {_R}, ts AS (SELECT page_id, {S.strip_code(S.strip_comments('html'))} AS clean FROM pages_rich),
+  base AS (SELECT page_id, {S.title('clean')} AS title, {S.html_lang('clean')} AS language,
+                  {ws_count(S.body_text('clean'))} AS word_count FROM ts)
+SELECT b.page_id, b.title, m.meta_description, m.canonical_url, h.h1_tags, h.h2_tags, o.og_title, o.og_type,
+       t.card, t.site, j.types AS schema_types, m.robots, m.viewport, m.charset, b.language, b.word_count,
+       l.internal_links, l.external_links, i.images_without_alt, i.total_images
+FROM base b JOIN {_sub('seo_meta_rich')} m USING (page_id) JOIN {_sub('seo_headings_rich')} h USING (page_id)
+     JOIN {_sub('seo_open_graph')} o USING (page_id) JOIN {_sub('seo_twitter')} t USING (page_id)
+     JOIN {_sub('seo_jsonld')} j USING (page_id) JOIN {_sub('link_counts_rich')} l USING (page_id)
+     JOIN {_sub('image_alt_audit')} i USING (page_id)"""
+
+
+@query("seo_record", group="rich", oracle=_seo_oracle())
+def q_seo_record(spark, sf):
+    s = P.seo_record(_rich(spark, sf))
+    return s.select("page_id", "title", "meta_description", "canonical_url",
+                    F.array_join("h1_tags", " | ").alias("h1_tags"), F.array_join("h2_tags", " | ").alias("h2_tags"),
+                    F.col("open_graph.og_title").alias("og_title"), F.col("open_graph.og_type").alias("og_type"),
+                    F.col("twitter_card.card").alias("card"), F.col("twitter_card.site").alias("site"),
+                    F.array_join("schema_markup.types", "|").alias("schema_types"), "robots", "viewport", "charset",
+                    "language", "word_count", "internal_links", "external_links", "images_without_alt", "total_images")
