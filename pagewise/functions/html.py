@@ -87,11 +87,13 @@ def attr_present(tag: Column, name: str) -> Column:
 
 def attr(tag: Column, name: str) -> Column:
     """Attribute value (entities decoded); '' for a value-less attribute;
-    NULL when the attribute is absent."""
-    pat = rf"(?is)[\s/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))"
-    val = F.concat(F.regexp_extract(tag, pat, 1), F.regexp_extract(tag, pat, 2),
-                   F.regexp_extract(tag, pat, 3))
-    return F.when(attr_present(tag, name), decode_entities(val))
+    NULL when the attribute is absent. One regex extracts the quoted or bare
+    value; the presence check runs only when nothing was extracted."""
+    pat = rf"(?is)[\s/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+)"
+    raw = F.regexp_extract(tag, pat, 1)
+    quoted = raw.startswith('"') | raw.startswith("'")
+    val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", decode_entities(val)).when(attr_present(tag, name), F.lit(""))
 
 
 def tags(html: Column, tag_re: str) -> Column:

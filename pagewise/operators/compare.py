@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewise.functions.readability import with_readability
 from pagewise.functions.text import is_blank, round_half_even, ws_word_count
 from pagewise.operators import terms as tm
-from pagewise.session import cut_lineage
+from pagewise.session import cut_lineage, spread
 
 READABILITY_GATE = 20  # whitespace words needed before readability is reported
 
@@ -16,7 +16,7 @@ READABILITY_GATE = 20  # whitespace words needed before readability is reported
 def text_profile(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
     """Per text: whitespace word count, blank flag and the readability fields
     used by comparisons (computed once per text, not once per pair)."""
-    base = texts.select(id_col, text_col,
+    base = spread(texts).select(id_col, text_col,
                         ws_word_count(F.col(text_col)).alias("ws_words"),
                         is_blank(F.col(text_col)).alias("blank"))
     rd = with_readability(base, text_col, keep=[id_col, "ws_words", "blank"])
@@ -29,7 +29,8 @@ def compare_records(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
     count difference and — when both sides have >= 20 words — readability
     differences. Pairs with a blank side get error_code NO_CONTENT."""
     sim = tm.pair_similarity(pairs, texts, id_col, text_col)
-    prof = text_profile(texts, id_col, text_col)
+    # one row per text, read by both sides of every pair: materialise once
+    prof = cut_lineage(text_profile(texts, id_col, text_col), "text_profile")
     pl = prof.select(*[F.col(c).alias(f"{c}_1") for c in prof.columns])
     pr = prof.select(*[F.col(c).alias(f"{c}_2") for c in prof.columns])
     j = (sim.join(pl, sim.left_id == pl[f"{id_col}_1"], "left")

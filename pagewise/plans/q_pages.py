@@ -185,3 +185,30 @@ FROM fm""")
 def q_seo_meta(spark, sf):
     s = P.seo_record(_pages(spark, sf))
     return s.select("page_id", "meta_description", "robots", "viewport", "charset")
+
+
+@query("html_markdown", group="pages")
+def q_html_markdown(spark, sf):
+    """Markdown of the content region (rows-only check: the third-party
+    renderer's exact layout is not a spec)."""
+    t = _ts(spark, sf).select("page_id", truncate_text(H.markdown(F.col("clean")), 50000).alias("markdown"))
+    return t.select("page_id", "markdown", F.length("markdown").cast("long").alias("markdown_chars"))
+
+
+# Response header per page for the content-type gate: the page table carries
+# none, so a header is derived per row (one in 7 non-HTML, one in 7 missing).
+_CT_SQL = ("CASE page_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN '' WHEN 2 THEN 'TEXT/HTML; charset=utf-8' "
+           "WHEN 3 THEN 'text/plain' WHEN 4 THEN 'image/png' ELSE 'text/html' END")
+
+
+@query("gate_content_type", group="pages", oracle=f"""
+SELECT page_id, ct AS content_type,
+       ct = '' OR contains(lower(ct), 'html') OR contains(lower(ct), 'text') AS accepted
+FROM (SELECT page_id, {_CT_SQL} AS ct FROM pages)""")
+def q_gate_content_type(spark, sf):
+    """Keep a page when its content type is empty or mentions html or text
+    (case-insensitive); others are rejected as INVALID_CONTENT upstream."""
+    p = src.pages(spark, sf).select("page_id", F.expr(_CT_SQL).alias("content_type"))
+    ct = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
+    ok = (ct == "") | ct.contains("html") | ct.contains("text")
+    return p.select("page_id", "content_type", ok.alias("accepted"))

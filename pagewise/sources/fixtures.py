@@ -22,7 +22,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = src.documents(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "text")
     bench = src.benchmark(spark, sf_dir).select(
         (F.col("item_id") + F.lit(BENCH_OFFSET)).alias("text_id"), "text")
-    empty = spark.range(1).select(F.lit(EMPTY_TEXT_ID).cast("long").alias("text_id"),
+    empty = spark.range(0, 1, 1, 1).select(F.lit(EMPTY_TEXT_ID).cast("long").alias("text_id"),
                                   F.lit("").alias("text"))
     return docs.unionByName(bench).unionByName(empty)
 
