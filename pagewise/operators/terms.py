@@ -157,3 +157,20 @@ def pair_similarity(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
         listed(F.array_intersect(l_, r_)).alias("shared_keywords"),
         listed(F.array_except(l_, r_)).alias("unique_to_text1"),
         listed(F.array_except(r_, l_)).alias("unique_to_text2"))
+
+
+def copy_clusters(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
+    """Texts with identical bags of words (cosine exactly 1 at equal counts):
+    (id, fingerprint, cluster_id = smallest id sharing it, cluster_size).
+
+    One row per text — a group of copies is never expanded into pairs. The
+    fingerprint is the md5 of the sorted term:count list (bounded by one
+    text's distinct terms); the per-fingerprint min/count aggregate is
+    combinable map-side, and joining it back is an equi-join on the
+    fingerprint whose hot keys AQE's skew handling splits."""
+    fp = (tf.groupBy(id_col)
+            .agg(F.md5(F.array_join(F.array_sort(F.collect_list(
+                F.concat(F.col("term"), F.lit(":"), F.col("tf").cast("string")))), " ")).alias("fingerprint")))
+    groups = fp.groupBy("fingerprint").agg(F.min(id_col).alias("cluster_id"),
+                                           F.count(F.lit(1)).alias("cluster_size"))
+    return fp.join(groups, "fingerprint").select(id_col, "fingerprint", "cluster_id", "cluster_size")

@@ -157,3 +157,14 @@ WHERE p.left_id <> p.right_id
 GROUP BY p.left_id, k.term""")
 def q_content_gap(spark, sf):
     return content_gap(fx.pairs(spark, sf), fx.corpus(spark, sf))
+
+
+@query("copy_clusters", group="terms", oracle=f"""{_BASE},
+  fp AS (SELECT text_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term || ':' || tf)) AS fingerprint
+         FROM tf GROUP BY text_id),
+  g AS (SELECT fingerprint, min(text_id) AS cluster_id, count(*)::BIGINT AS cluster_size FROM fp GROUP BY fingerprint)
+SELECT fp.text_id, fp.fingerprint, g.cluster_id, g.cluster_size FROM fp JOIN g USING (fingerprint)""")
+def q_copy_clusters(spark, sf):
+    """Exact-copy detection over the whole corpus (the cosine = 1 slice of a
+    similarity join, without emitting pairs)."""
+    return tm.copy_clusters(_tf(spark, sf))
