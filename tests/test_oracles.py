@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 SUBSET = ["readability", "sentence_count", "pair_similarity", "compare_record", "top_keywords",
           "html_main_text", "link_counts", "url_join", "seo_meta", "quality_grade", "quality_rollup",
           "usage_monthly", "quota_ordinal", "latency_percentiles", "ttl_reuse", "sentiment_record",
-          "keyword_record", "url_verdict", "err_validation", "classify_errors", "stream_minute_metering"]
+          "keyword_record", "url_verdict", "err_validation", "classify_errors", "stream_minute_metering",
+          "content_record", "seo_record", "html_author", "seo_jsonld", "quality_rich", "copy_clusters",
+          "endpoint_extract", "endpoint_summarize", "endpoint_compare", "stream_sessions", "gate_content_type"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def con():
 def test_every_query_has_a_builder():
     qs, orc = entry.queries(), entry.oracle_sql()
     assert set(orc) <= set(qs)
-    assert len(qs) >= 83
+    assert len(qs) >= 105
 
 
 @pytest.mark.parametrize("name", SUBSET)

@@ -62,3 +62,13 @@ def test_cosine_bounds_on_corpus(spark):
     assert bad == 0
     selfs = cos.filter(F.col("left_id") == F.col("right_id")).filter(F.col("sum_sq_left") > 0)
     assert selfs.filter(F.col("similarity_score") != 1.0).count() == 0
+
+
+def test_copy_clusters(spark):
+    texts = _texts(spark, [(1, "a cat sat. A cat!"), (2, "A cat, a cat sat"), (3, "a dog sat"),
+                           (4, "cat a sat A cat"), (5, "")])
+    out = {r.text_id: r for r in tm.copy_clusters(tm.term_freq(texts)).collect()}
+    # 1, 2 and 4 hold the same bag of words (case-sensitive); 3 differs; 5 has no words
+    assert {out[i].cluster_id for i in (1, 2, 4)} == {1} and out[1].cluster_size == 3
+    assert out[3].cluster_id == 3 and out[3].cluster_size == 1
+    assert 5 not in out
