@@ -49,7 +49,7 @@ def q_syllables(spark, sf):
     aggregate (partial aggregation happens map-side before the shuffle)."""
     d = spread(src.documents(spark, sf)).select("lang", tx.words(F.col("text")).alias("w"))
     d = d.select("lang", F.explode("w").alias("word"))
-    d = d.select("lang", "word", tx.syllables_of(F.col("word")).alias("syllables"))
+    d = d.select("lang", "word", tx.syllables_of(F.col("word")).cast("long").alias("syllables"))
     return d.groupBy("lang", "syllables").agg(
         F.count("*").alias("n_words"), F.countDistinct(F.lower("word")).alias("n_distinct"))
 
