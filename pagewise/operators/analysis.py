@@ -14,7 +14,7 @@ from pagewise.functions import html as H
 from pagewise.functions import quality as Q
 from pagewise.functions import urls as U
 from pagewise.functions.readability import readability_metrics, with_text_stats
-from pagewise.functions.text import round_half_even, truncate_text, ws_word_count
+from pagewise.functions.text import round_half_even, ws_word_count
 from pagewise.operators import pages as P
 
 DEFAULT_SENTENCES = 1       # used when readability is not computed (< 20 words)

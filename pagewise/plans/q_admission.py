@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewise.functions import html as H
 from pagewise.functions import urls as U
 from pagewise.functions.text import ws_word_count
 from pagewise.operators import admission as A

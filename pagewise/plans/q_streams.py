@@ -3,8 +3,6 @@ files (availableNow) into a parquet sink and returns the sink."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.q_usage import _req_sql
 from pagewise.plans.registry import query
@@ -54,5 +52,3 @@ def q_stream_sessions(spark, sf):
     s = ST.sessions(ST.requests_stream(spark, sf, dense=True))
     return ST.run_available(s, "sessions", "append")
 
-
-__all__ = ["F"]
