@@ -14,7 +14,6 @@ from pagewise.functions.text import (
     VOWEL_GROUP_RE,
     round_half_even as rnd,
     sentence_count,
-    words,
 )
 
 # Reading speed and the formula constants.
@@ -63,35 +62,37 @@ TRAILING_E_RE = r"e\b"
 NO_VOWEL_WORD_RE = r"\b[b-df-hj-np-tv-xz]+\b"
 COMPLEX_WORD_RE = r"\b[b-df-hj-np-tv-xz]*[aeiouy]+(?:[b-df-hj-np-tv-xz]+[aeiouy]+){2}"
 LONG_WORD_RE = r"[a-z]{4,}"
+NON_LETTER_RUN_RE = r"[^a-zA-Z]+"
 
 
 def with_text_stats(df: DataFrame, text_col: str, p: str = "_r_") -> DataFrame:
-    """Stages 1-3 (internal columns): words; their lower-cased join and the
-    long words with the trailing e dropped; then the base counts. Each stage
-    is its own projection and every regex result is referenced by attribute,
-    so each regex runs once per row."""
+    """Stages 1-3 (internal columns): the letter words as one lower-cased,
+    single-space-separated string (non-letter runs collapsed — no word array
+    is materialised); the long words with the trailing e dropped; then the
+    base counts. Each stage is its own projection and every regex result is
+    referenced by attribute, so each regex runs once per row."""
     staged = df.withColumns({
-        f"{p}words": words(F.col(text_col)),
+        f"{p}lw": F.lower(F.trim(F.regexp_replace(F.col(text_col), F.lit(NON_LETTER_RUN_RE), F.lit(" ")))),
         f"{p}sent_raw": sentence_count(F.col(text_col)),
     })
-    staged = staged.withColumns({f"{p}lw": F.lower(F.array_join(F.col(f"{p}words"), " "))})
     staged = staged.withColumns({
         f"{p}stripped": F.regexp_replace(
             F.regexp_replace(F.col(f"{p}lw"), F.lit(SHORT_WORD_RE), F.lit("")),
             F.lit(TRAILING_E_RE), F.lit("")),
     })
-    w, lw, stripped = F.col(f"{p}words"), F.col(f"{p}lw"), F.col(f"{p}stripped")
-    wc = F.size(w).cast("long")
+    lw, stripped = F.col(f"{p}lw"), F.col(f"{p}stripped")
+    n_spaces = F.length(lw) - F.length(F.replace(lw, F.lit(" "), F.lit("")))
+    wc = F.when(F.coalesce(lw, F.lit("")) == "", F.lit(0)).otherwise(n_spaces + 1).cast("long")
     n_long = F.regexp_count(lw, F.lit(LONG_WORD_RE)).cast("long")
     return staged.withColumns({
         f"{p}wc": wc,
         f"{p}sc": F.greatest(F.col(f"{p}sent_raw"), F.lit(1)).cast("long"),
-        f"{p}chars": F.length(F.array_join(w, "")).cast("long"),
+        f"{p}chars": F.coalesce(F.length(F.replace(lw, F.lit(" "), F.lit(""))), F.lit(0)).cast("long"),
         f"{p}syl_n": ((wc - n_long) + F.regexp_count(stripped, F.lit(VOWEL_GROUP_RE))
                       + F.regexp_count(stripped, F.lit(NO_VOWEL_WORD_RE))).cast("long"),
         f"{p}uniq": F.when(wc == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.split(lw, " ")))).cast("long"),
         f"{p}cx": F.regexp_count(stripped, F.lit(COMPLEX_WORD_RE)).cast("long"),
-    }).drop(f"{p}words", f"{p}lw", f"{p}stripped", f"{p}sent_raw")
+    }).drop(f"{p}lw", f"{p}stripped", f"{p}sent_raw")
 
 
 def readability_metrics(p: str = "_r_") -> dict[str, Column]:
