@@ -79,10 +79,11 @@ def prompt_table(docs: DataFrame, spark: SparkSession, fmt: str = "tldr", max_le
     one row per (id, task) from a single pass over ``docs`` (explode over the
     tasks; per-task parameters are literal map lookups)."""
     lang = F.lit("en") if language is None else language
-    base = docs.select(id_col, text_col, lang.alias("language"), F.lit(fmt).alias("format"))
-    with_t = base.join(templates(spark), "format")
-    rows = with_t.select(id_col, text_col, "language", "template",
-                         F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"))
+    # The format is a job parameter here, so its template is a literal (no
+    # join); per-row formats join the template dimension (see templates()).
+    base = docs.select(id_col, text_col, lang.alias("language"), F.lit(SUMMARY_TEMPLATES[fmt]).alias("template"))
+    rows = base.select(id_col, text_col, "language", "template",
+                       F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"))
 
     def param(i: int) -> Column:
         return F.create_map(*[x for t in TASKS for x in (F.lit(t), F.lit(TASK_PARAMS[t][i]))])[F.col("task")]
