@@ -49,13 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     tests) do we create a scratch folder and register it.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="pagewise-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    try:  # classic sessions also register it for RDD checkpoints
         spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    local = tempfile.mkdtemp(prefix="pagewise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session has no SparkContext
+        pass
+    return conf
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -81,7 +82,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle); it only fires for small inputs stored as one row group.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no RDD view (e.g. Spark Connect): leave the plan as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df
