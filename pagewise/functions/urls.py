@@ -94,14 +94,21 @@ def _remove_dot_segments(segments: Column) -> Column:
     return F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
 
 
+# Separator for the one-pass split of a URL into its parts (a C0 control
+# character: never part of a cleaned href or a fetched URL).
+_SEP = "\u0001"
+_PARTS_TEMPLATE = _SEP.join(f"${g}" for g in (G_SCHEME, G_AUTH, G_NETLOC, G_PATH, G_QMARK, G_QUERY, G_FRAG))
+
+
 def url_parts(u: Column) -> Column:
-    """All split parts of a URL as one struct (each regex runs once when the
-    struct is materialised in its own projection or lambda)."""
+    """All split parts of a URL as one struct from ONE regex pass: the URL is
+    rewritten to its groups joined by a separator, then split."""
+    p = F.split(F.regexp_replace(u, F.lit(URL_RE), F.lit(_PARTS_TEMPLATE)), _SEP, -1)
     return F.struct(
-        F.lower(_part(u, G_SCHEME)).alias("scheme"), (_part(u, G_AUTH) != "").alias("has_auth"),
-        _part(u, G_NETLOC).alias("netloc"), _part(u, G_PATH).alias("path"),
-        (_part(u, G_QMARK) != "").alias("has_q"), _part(u, G_QUERY).alias("query"),
-        _part(u, G_FRAG).alias("frag"), u.alias("raw"))
+        F.lower(F.get(p, 0)).alias("scheme"), (F.get(p, 1) != "").alias("has_auth"),
+        F.get(p, 2).alias("netloc"), F.get(p, 3).alias("path"),
+        (F.get(p, 4) != "").alias("has_q"), F.get(p, 5).alias("query"),
+        F.get(p, 6).alias("frag"), u.alias("raw"))
 
 
 def resolve_parts(b: Column, h: Column) -> Column:
