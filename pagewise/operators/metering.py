@@ -138,10 +138,22 @@ def request_metrics(req: DataFrame) -> DataFrame:
 def latency_percentiles(req: DataFrame, group: str = "endpoint") -> DataFrame:
     """Exact p50 / p95 / p99 (linear interpolation) per group from a
     (group, value) histogram: cumulative counts locate the two ranks around
-    each quantile position; no group's rows are ever collected together."""
+    each quantile position; no group's rows are ever collected together.
+
+    The cumulative count is two-phase so a hot group is not one window task:
+    running sums within (group, 1-unit value bucket), plus a prefix sum over
+    the per-bucket totals (one row per bucket)."""
     hist = req.groupBy(group, "latency_ms").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(group).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("cnt").over(w)).withColumn("cum_before", F.col("cum") - F.col("cnt"))
+    hist = hist.withColumn("_bucket", F.floor("latency_ms"))
+    within = Window.partitionBy(group, "_bucket").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum_in", F.sum("cnt").over(within))
+    totals = hist.groupBy(group, "_bucket").agg(F.sum("cnt").alias("_bn"))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
+    hist = (hist.join(offsets, [group, "_bucket"])
+                .withColumn("cum", F.col("_off") + F.col("_cum_in"))
+                .withColumn("cum_before", F.col("cum") - F.col("cnt"))
+                .drop("_bucket", "_cum_in", "_off"))
     n = hist.groupBy(group).agg(F.sum("cnt").alias("n"))
     t = n.select(group, "n", F.explode(F.array(*[F.lit(q) for q in QUANTILES])).alias("q"))
     t = t.select(group, "n", "q", (F.col("q") * (F.col("n") - 1)).alias("pos"))
