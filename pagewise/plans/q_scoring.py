@@ -43,7 +43,6 @@ def q_prompt_summary(spark, sf):
                     SC.summary_prompt(F.col("template"), F.col("max_length"), F.col("lang")).alias("system_prompt"))
 
 
-_LIMITS = " ".join(f"WHEN '{t}' THEN {p[0]}" for t, p in SC.TASK_PARAMS.items())
 _TASKS_SQL = "(VALUES " + ", ".join(f"('{t}', {p[0]}, {p[1]}::DOUBLE, {p[2]}, {str(p[3]).lower()})"
                                     for t, p in SC.TASK_PARAMS.items()) + ") AS tk(task, lim, temperature, max_tokens, json_mode)"
 
