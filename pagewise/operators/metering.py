@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.functions.text import round_half_even
+from pagewise.session import cut_lineage
 from pagewise.sources.requests import DEFAULT_TIER, TIERS
 
 KEY_NAMESPACE = "pw"
@@ -96,6 +97,8 @@ def running_ordinal(df: DataFrame, part: list[str], order: list[str], bucket: Co
     d = df.withColumn("_bucket", bucket)
     local = d.withColumn("_local", F.row_number().over(
         Window.partitionBy(*part, "_bucket").orderBy(*order)))
+    # bucket sizes by a map-side-combined count (the input is read twice, both
+    # times column-pruned; cheaper than materialising the whole ranked log)
     counts = d.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -143,7 +146,9 @@ def latency_percentiles(req: DataFrame, group: str = "endpoint") -> DataFrame:
     The cumulative count is two-phase so a hot group is not one window task:
     running sums within (group, 1-unit value bucket), plus a prefix sum over
     the per-bucket totals (one row per bucket)."""
-    hist = req.groupBy(group, "latency_ms").agg(F.count(F.lit(1)).alias("cnt"))
+    # The histogram is read by five branches below; materialise it once so the
+    # request log is scanned once (it is bounded by distinct values, not rows).
+    hist = cut_lineage(req.groupBy(group, "latency_ms").agg(F.count(F.lit(1)).alias("cnt")), "latency_hist")
     hist = hist.withColumn("_bucket", F.floor("latency_ms"))
     within = Window.partitionBy(group, "_bucket").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_cum_in", F.sum("cnt").over(within))
