@@ -137,7 +137,9 @@ def pair_similarity(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
     """Similarity record per pair: cosine + shared / unique keyword lists.
     A side without words gives score 0 and empty lists."""
     tf = cut_lineage(term_freq(texts, id_col, text_col), "term_freq")
-    stats = text_stats(tf, id_col)
+    # one row per text, joined to both sides of every pair: materialise once so
+    # the (large) TF table is read by this job and the dot product only
+    stats = cut_lineage(text_stats(tf, id_col), "text_stats")
     sl = stats.select(F.col(id_col).alias("left_id"), F.col("sum_sq").alias("sq_l"), F.col("keywords").alias("kw_l"))
     sr = stats.select(F.col(id_col).alias("right_id"), F.col("sum_sq").alias("sq_r"), F.col("keywords").alias("kw_r"))
     dots = pair_dot(pairs.filter(F.col("left_id") != F.col("right_id")), tf, id_col)
