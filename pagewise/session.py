@@ -24,6 +24,9 @@ _DEFAULTS = {
 }
 
 
+_WRITTEN: list[str] = []
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "pagewise") -> SparkSession:
     active = SparkSession.getActiveSession()
@@ -45,21 +48,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it to shared storage; only when it is unset (local runs,
-    tests) do we create a scratch folder and register it.
+    The cluster sets it to shared storage. Only on a local master (tests,
+    local runs), where driver and executors share one disk, an unset value is
+    filled with a scratch folder; on a cluster an unset value is an error,
+    because each executor would write to its own disk.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="pagewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
-    try:  # classic sessions also register it for RDD checkpoints
-        spark.sparkContext.setCheckpointDir(conf)
-    except Exception:  # noqa: BLE001 — e.g. a Spark Connect session has no SparkContext
-        pass
     return conf
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, removed by ``release``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Materialise an intermediate as a parquet table in the shared
     ``spark.checkpoint.dir`` and read it back.
 
@@ -67,11 +78,23 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     otherwise recompute it when their pushed-down filters differ). The table
     cuts lineage — a lost executor costs a re-read, not a recompute — and,
     unlike an RDD checkpoint, it is columnar and carries real file sizes, so
-    the planner never mistakes it for a broadcastable table."""
+    the planner never mistakes it for a broadcastable table. ``release``
+    removes the tables once their results have been written."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    path = shared_path(spark, name)
+    df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far by this driver; call it
+    after the results that read them are stored. Returns how many."""
+    n = 0
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
