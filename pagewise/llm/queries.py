@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewise.llm import simhash
+from pagewise.llm import decontaminate, mixing, simhash
 from pagewise.llm.common import read
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.contained(docs, items).drop("text_key")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')"
+
+_DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM c JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n_item
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": _DECONTAMINATE_SQL,
+}
