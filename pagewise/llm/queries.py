@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, mixing, simhash
-from pagewise.llm.common import read
+from pagewise.llm import decontaminate, langid, mixing, simhash
+from pagewise.llm.common import is_held_out, read
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = is_held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -24,6 +32,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
+    "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
 }
 
