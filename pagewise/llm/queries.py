@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, langid, mixing, simhash
+from pagewise.llm import decontaminate, langid, mixing, pii, simhash
 from pagewise.llm.common import is_held_out, read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.inspect(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+                        "n_generalised", "n_removed")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.contained(docs, items).drop("text_key")
@@ -30,6 +37,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
