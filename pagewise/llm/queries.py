@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, langid, mixing, pii, simhash
+from pagewise.llm import decontaminate, langid, mixing, pii, rangejoin, simhash
 from pagewise.llm.common import is_held_out, read
 
 
@@ -36,12 +36,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op10_rangejoin": op10_rangejoin,
 }
 
 _LOWER_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')"
