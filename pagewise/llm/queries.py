@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, langid, mixing, pii, rangejoin, simhash
+from pagewise.llm import decontaminate, langid, mixing, pii, rangejoin, simhash, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
     "op10_rangejoin": op10_rangejoin,
 }
 
@@ -64,6 +69,31 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM c JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n_item
 """
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                            1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT, 1),
+                     '' ORDER BY k) FROM range(32) AS r(k)) AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p JOIN t USING (h)
+"""
+
+_RANGEJOIN_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": _WARC_SQL,
+    "op10_rangejoin": _RANGEJOIN_SQL,
     "op2_decontaminate": _DECONTAMINATE_SQL,
 }
