@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, langid, mixing, pii, rangejoin, simhash, warc
+from pagewise.llm import chunks, decontaminate, langid, mixing, pii, rangejoin, simhash, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_chunks": op8_chunks,
     "op9_warc": op9_warc,
     "op10_rangejoin": op10_rangejoin,
 }
