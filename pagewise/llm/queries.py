@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import chunks, decontaminate, langid, mixing, pii, rangejoin, simhash, warc
+from pagewise.llm import chunks, decontaminate, langid, mixing, pii, quality, rangejoin, simhash, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -25,6 +25,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = is_held_out(F.col("doc_id"), 5, 0)
+    scored = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                              read(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = is_held_out(F.col("doc_id"), 4, 2)
@@ -52,6 +59,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_chunks": op8_chunks,
