@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import chunks, decontaminate, langid, mixing, pii, quality, rangejoin, simhash, warc
+from pagewise.llm import chunks, decontaminate, langid, mixing, mixlm, pii, quality, rangejoin, simhash, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -21,6 +21,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(docs, items).drop("text_key")
 
 
+def op3_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = is_held_out(F.col("doc_id"), 7, 2)
+    scored = mixlm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score", "bits_per_byte")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -58,6 +65,7 @@ def op10_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixlm": op3_mixlm,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
