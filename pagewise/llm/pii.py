@@ -277,17 +277,26 @@ def cleaned_column(text: Column, spans: Column, class_letters: int = CLASS_LETTE
     return clean(text.cast("string"), spans)
 
 
+# holds in every text that has a base span (and in some others)
+MAYBE = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9](?:[\x20-]?[0-9]){12}"
+
+
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with sanitised texts, row for row; ``n_chars``, where there is
-    such a column, follows the new text. Other columns are left as they are."""
+    such a column, follows the new text. Other columns are left as they are.
+
+    Only a text with a base span can have any span, so rows whose text cannot
+    have one stay where they are; the others meet their spans in a join."""
     found = inspect(docs, **options).where("spans <> ''")
     found = cut_lineage(found.groupBy("doc_id", "text_key").agg(F.min("spans").alias("spans")), "pii_spans")
-    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (
-        F.xxhash64(docs["text"].cast("string")) == found["text_key"])
-    rows = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], found["spans"].alias("_pii_spans"))
+    maybe = F.coalesce(F.col("text").cast("string").rlike(MAYBE), F.lit(False))
+    held = docs.where(maybe)
+    same = held["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (
+        F.xxhash64(held["text"].cast("string")) == found["text_key"])
+    rows = held.join(found, same, "left").select(*[held[c] for c in docs.columns], found["spans"].alias("_pii_spans"))
     rows = rows.withColumn("text", cleaned_column(F.col("text"), F.col("_pii_spans")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rows = rows.withColumn("n_chars", F.when(F.col("_pii_spans").isNotNull(), F.length("text").cast(kind))
                                .otherwise(F.col("n_chars")))
-    return rows.drop("_pii_spans")
+    return docs.where(~maybe).unionByName(rows.drop("_pii_spans"))

@@ -41,6 +41,7 @@ def test_patterns_against_direct_matching():
         for _ in range(4000):
             text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
             assert pii.base_spans(text) == plain_spans(text), text
+            assert re.search(pii.MAYBE, text) or not plain_spans(text)
     for text in ("4111 1111-1111 1111", "x 4111111111111111y", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "+1 (132) 555-1352",
                  "000255.1.2.3", "ü.34@mail7.example.com"):
         assert pii.base_spans(text) == plain_spans(text)
