@@ -15,6 +15,9 @@ WS_CLASS = (r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS = f"[{WS_CLASS}]"
 NON_WS = f"[^{WS_CLASS}]"
+# The same set as characters, for trimming.
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 # A word is a maximal run of ASCII letters; sentences end at
 # runs of . ! ?; syllables are runs of these vowels.
@@ -29,7 +32,7 @@ def lit_re(pattern: str) -> Column:
 
 def ws_trim(c: Column) -> Column:
     """Python ``str.strip()``: trims the full Unicode whitespace set."""
-    return F.regexp_replace(c, lit_re(f"^{WS}+|{WS}+$"), F.lit(""))
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def ws_tokens(c: Column) -> Column:
@@ -66,9 +69,9 @@ def sentence_pieces(c: Column) -> Column:
     return F.filter(F.split(c, SENTENCE_SPLIT_RE, -1), lambda s: s.rlike(NON_WS))
 
 
-# A sentence piece is a maximal run between [.!?] delimiters that holds a
-# non-whitespace character; one regex match per such piece.
-SENTENCE_PIECE_RE = f"[^.!?]*[^.!?{WS_CLASS}][^.!?]*"
+# A sentence piece runs from its first non-blank character to the next [.!?]
+# delimiter: one match per non-blank piece, linear in the text.
+SENTENCE_PIECE_RE = f"[^.!?{WS_CLASS}][^.!?]*"
 
 
 def sentence_count(c: Column) -> Column:

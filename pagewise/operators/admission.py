@@ -1,10 +1,10 @@
 """Admission: URL safety verdicts, input resolution and validation, error
 classification and the success / error envelope.
 
-Every check is a column predicate or a join to a small fixed dimension
-(blocked networks, error kinds, configured patterns — all bounded by
-configuration, so they are broadcast); per-URL address lists come from a
-DNS table joined on host, never from a network call.
+Every check is a column predicate (blocked networks and configured patterns
+are literals of the plan) or a join to a small fixed dimension (error kinds);
+per-URL address lists come from a DNS table joined on host, never from a
+network call.
 """
 
 from __future__ import annotations
@@ -35,66 +35,53 @@ ENDPOINT_STAGE = {"extract": "extraction", "summarize": "summarization", "sentim
 
 # ------------------------------------------------------------------ URLs
 
-def cidr_table(spark: SparkSession) -> DataFrame:
-    rows = [(c, *U.cidr_bounds(c)) for c in U.BLOCKED_V4]
-    return F.broadcast(spark.createDataFrame(rows, "cidr STRING, lo BIGINT, hi BIGINT"))
+def blocked_networks(ip: Column) -> Column:
+    """The blocked IPv4 networks (CIDR names, a fixed list) that hold ``ip``."""
+    n = U.ipv4_to_long(ip)
+    hits = [F.when(n.between(*U.cidr_bounds(c)), F.lit(c)) for c in U.BLOCKED_V4]
+    return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
-def pattern_table(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """Configured block patterns: trimmed, empties dropped (bounded by config)."""
+def pattern_hits(url: Column, patterns: list[str]) -> Column:
+    """How many of the configured block patterns (trimmed, empties dropped,
+    case ignored) the URL matches; the patterns are literals of the plan."""
     clean = [p.strip() for p in patterns if p and p.strip()]
-    return F.broadcast(spark.createDataFrame([(p,) for p in clean], "pattern STRING"))
-
-
-def derived_dns(urls: DataFrame) -> DataFrame:
-    """A deterministic stand-in resolver table (host, ip) built from the hosts
-    of the given URLs: 1 in 16 names does not resolve; some names get a second,
-    private address (so 'every resolved address is checked' is exercised)."""
-    h = urls.select(U.hostname(F.col("url")).alias("host")).distinct()
-    h = h.filter((F.col("host") != "") & U.ipv4_to_long(F.col("host")).isNull() & ~F.col("host").contains(":"))
-    m = F.md5(F.col("host"))
-
-    def octet(i: int) -> Column:
-        return F.conv(F.substring(m, 2 * i + 1, 2), 16, 10).cast("long").cast("string")
-    public = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
-    private = F.concat_ws(".", F.lit("10"), octet(4), octet(5), octet(6))
-    addrs = F.when(F.substring(m, 9, 1).isin("a", "b"), F.array(public, private)).otherwise(F.array(public))
-    return (h.filter(~F.substring(m, 1, 1).isin("0"))
-             .select("host", F.explode(addrs).alias("ip")))
-
-
-def url_addresses(hosts: DataFrame, dns: DataFrame, spark: SparkSession) -> DataFrame:
-    """(host, n_addresses, any_private): IP-literal hosts resolve to
-    themselves; names use the DNS table; every address is range-checked
-    against the blocked networks (range join to the broadcast CIDR table)."""
-    lit_v4 = hosts.filter(U.ipv4_to_long(F.col("host")).isNotNull()).select("host", F.col("host").alias("ip"))
-    names = hosts.join(dns, "host", "inner").select("host", "ip")
-    addrs = lit_v4.unionByName(names).withColumn("ip_num", U.ipv4_to_long(F.col("ip")))
-    cidr = cidr_table(spark)
-    hit = addrs.join(cidr, (F.col("ip_num") >= cidr.lo) & (F.col("ip_num") <= cidr.hi), "left")
-    per_host = hit.groupBy("host").agg(F.countDistinct("ip").alias("n_addresses"),
-                                      F.bool_or(F.col("cidr").isNotNull()).alias("any_private"))
-    v6 = hosts.filter(F.col("host").contains(":")).select(
-        "host", F.lit(1).cast("long").alias("n_addresses"), U.is_blocked_ipv6(F.col("host")).alias("any_private"))
-    return per_host.unionByName(v6)
-
-
-def url_verdict(urls: DataFrame, dns: DataFrame, patterns: list[str], spark: SparkSession) -> DataFrame:
+    return sum((F.when(url.rlike(f"(?i){p}"), 1).otherwise(0) for p in clean), F.lit(0)).cast("long")
+
+
+def host_addresses(hosts: DataFrame, dns: DataFrame) -> DataFrame:
+    """(host, ip): an address literal of either family resolves to itself, a
+    name to its addresses in ``dns`` (equi-join on host)."""
+    literal = U.ipv4_to_long(F.col("host")).isNotNull() | F.col("host").contains(":")
+    own = hosts.filter(literal).select("host", F.col("host").alias("ip"))
+    return own.unionByName(hosts.filter(~literal).join(dns, "host").select("host", "ip"))
+
+
+def is_blocked_address(ip: Column) -> Column:
+    """A private or reserved address of either family."""
+    return (F.size(blocked_networks(ip)) > 0) | U.is_blocked_ipv6(ip)
+
+
+def url_addresses(hosts: DataFrame, dns: DataFrame) -> DataFrame:
+    """(host, n_addresses, any_private): every address a host resolves to is checked."""
+    return host_addresses(hosts, dns).groupBy("host").agg(
+        F.countDistinct("ip").alias("n_addresses"), F.bool_or(is_blocked_address(F.col("ip"))).alias("any_private"))
+
+
+def url_verdict(urls: DataFrame, dns: DataFrame, patterns: list[str]) -> DataFrame:
     """(url, host, ok, reason): the first failing check wins, in the order
     scheme -> host -> blocked host -> configured pattern -> private address
-    -> unresolvable."""
+    -> unresolvable. One projection, and one join of the distinct hosts'
+    addresses."""
     u = urls.select("url").distinct().select("url", U.scheme(F.col("url")).alias("scheme"),
-                                              U.hostname(F.col("url")).alias("host"))
-    pats = pattern_table(spark, patterns)
-    blocked = (u.join(pats, F.regexp_like(F.col("url"), F.concat(F.lit("(?i)"), F.col("pattern"))), "left_semi")
-                .select("url", F.lit(True).alias("pattern_hit")))
+                                              U.hostname(F.col("url")).alias("host"),
+                                              (pattern_hits(F.col("url"), patterns) > 0).alias("pattern_hit"))
     hosts = u.select("host").filter(F.col("host") != "").distinct()
-    addr = url_addresses(hosts, dns, spark)
-    j = u.join(blocked, "url", "left").join(addr, "host", "left")
+    j = u.join(url_addresses(hosts, dns), "host", "left")
     reason = (F.when(~F.col("scheme").isin(*U.ALLOWED_SCHEMES), F.lit("INVALID_SCHEME"))
                .when(F.col("host") == "", F.lit("NO_HOST"))
                .when(F.col("host").isin(*U.BLOCKED_HOSTS), F.lit("BLOCKED_HOST"))
-               .when(F.coalesce(F.col("pattern_hit"), F.lit(False)), F.lit("BLOCKED_PATTERN"))
+               .when(F.col("pattern_hit"), F.lit("BLOCKED_PATTERN"))
                .when(F.coalesce(F.col("any_private"), F.lit(False)), F.lit("PRIVATE_ADDRESS"))
                .when(F.coalesce(F.col("n_addresses"), F.lit(0)) == 0, F.lit("UNRESOLVABLE")))
     return j.select("url", "host", reason.isNull().alias("ok"), reason.alias("reason"))
@@ -102,15 +89,12 @@ def url_verdict(urls: DataFrame, dns: DataFrame, patterns: list[str], spark: Spa
 
 # ------------------------------------------------------------------ inputs
 
-def resolve_inputs(requests: DataFrame, extracted: DataFrame) -> DataFrame:
-    """URL-or-text union: a request with a URL uses the page's extracted text
-    (URL wins over text); otherwise its text ('' when missing).
-    ``requests``: (request_id, url, text, page_id); ``extracted``: (page_id, text)."""
-    j = requests.join(extracted.select("page_id", F.col("text").alias("page_text")), "page_id", "left")
-    return j.select("request_id", "url",
-                    F.when(F.col("url").isNotNull(), F.coalesce(F.col("page_text"), F.lit("")))
-                     .otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-                    F.col("text").alias("given_text"))
+def resolve_inputs(url_requests: DataFrame, text_requests: DataFrame) -> DataFrame:
+    """URL-or-text union without a join: rows with a URL carry the page's
+    extracted text (URL wins over text), the others their own ('' when
+    missing). Both inputs hold (request_id, url, text) and further columns of
+    the same names."""
+    return url_requests.unionByName(text_requests).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def validation_error(url: Column, text: Column, fmt: Column, max_length: Column) -> Column:
@@ -152,17 +136,13 @@ def classify_errors(outcomes: DataFrame, spark: SparkSession) -> DataFrame:
          .alias("error_code"))
 
 
-def envelope(ok_rows: DataFrame, data_cols: list[str], errors: DataFrame | None = None,
+def envelope(rows: DataFrame, data_cols: list[str], error_code: Column, message: Column | None = None,
              cached: Column | None = None) -> DataFrame:
-    """(success, data STRUCT, error STRUCT, cached, timestamp) — rows split by
-    ``success`` downstream (e.g. ``write.partitionBy('success')``)."""
-    ok = ok_rows.select(F.lit(True).alias("success"), F.struct(*data_cols).alias("data"),
-                        F.lit(None).cast("struct<code:string,message:string>").alias("error"),
-                        (cached if cached is not None else F.lit(False)).alias("cached"),
-                        F.current_timestamp().alias("timestamp"))
-    if errors is None:
-        return ok
-    err = errors.select(F.lit(False).alias("success"), F.lit(None).cast(ok.schema["data"].dataType).alias("data"),
-                        F.struct(F.col("error_code").alias("code"), F.col("message").alias("message")).alias("error"),
-                        F.lit(False).alias("cached"), F.current_timestamp().alias("timestamp"))
-    return ok.unionByName(err)
+    """(success, data STRUCT, error STRUCT, cached, timestamp): a row with an
+    ``error_code`` becomes an error, any other a success."""
+    failed = error_code.isNotNull()
+    error = F.struct(error_code.alias("code"), (message if message is not None else F.lit(None).cast("string")).alias("message"))
+    return rows.select(
+        (~failed).alias("success"), F.when(~failed, F.struct(*data_cols)).alias("data"), F.when(failed, error).alias("error"),
+        (F.coalesce(cached, F.lit(False)) & ~failed if cached is not None else F.lit(False)).alias("cached"),
+        F.current_timestamp().alias("timestamp"))

@@ -12,6 +12,9 @@ values, not by the row count.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,11 @@ def request_key(endpoint: Column, data: Column) -> Column:
 
 
 def with_request_key(req: DataFrame) -> DataFrame:
-    return req.withColumn("request_key", request_key(F.col("endpoint"),
-                                                     key_data(F.col("endpoint"), F.col("url"), F.col("url2"))))
+    """Adds ``request_digest`` (the full digest, on which results are matched)
+    and ``request_key``, its short form for display."""
+    data = key_data(F.col("endpoint"), F.col("url"), F.col("url2"))
+    return (req.withColumn("request_key", request_key(F.col("endpoint"), data))
+            .withColumn("request_digest", F.concat(F.col("endpoint"), F.lit(":"), F.sha2(data, 256))))
 
 
 def effective_tier(tier: Column) -> Column:
@@ -179,32 +185,47 @@ def latency_percentiles(req: DataFrame, group: str = "endpoint") -> DataFrame:
 
 
 def incremental_reuse(req: DataFrame, prior: DataFrame) -> DataFrame:
-    """Serve stored results when the key was computed before (semi join) and
-    compute the rest (anti join); the union is the served log."""
-    reused = req.join(prior.select("request_key").distinct(), "request_key", "left_semi") \
-                .withColumn("cached", F.lit(True))
-    computed = req.join(prior.select("request_key"), "request_key", "left_anti").withColumn("cached", F.lit(False))
-    return reused.unionByName(computed)
-
-
-def ttl_reuse(req: DataFrame, prior: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """As-of reuse: a request is served from a stored result of the same key
-    computed at or before its time and less than ``ttl_seconds`` earlier
-    (equi-join on the key plus a time-range condition)."""
-    p = prior.select(F.col("request_key").alias("_pkey"), F.col("computed_at").alias("_pat"))
-    r = req.select("request_id", "request_key", "ts", "endpoint")
-    j = r.join(p, (F.col("request_key") == F.col("_pkey")) & (F.col("_pat") <= F.col("ts"))
-               & (F.col("_pat") > F.col("ts") - F.expr(f"INTERVAL {ttl_seconds} SECONDS")), "left")
-    return (j.groupBy("request_id", "request_key", "ts", "endpoint")
-             .agg(F.max("_pat").alias("served_from"))
-             .withColumn("cached", F.col("served_from").isNotNull()))
+    """Serve a stored result when the request's digest was computed strictly
+    before it, else compute: every request with ``cached``."""
+    stored = prior.groupBy("request_digest").agg(F.min("computed_at").alias("computed_at"))
+    j = req.join(stored, "request_digest", "left")
+    return j.withColumn("cached", F.coalesce(F.col("computed_at") < F.col("ts"), F.lit(False))).drop("computed_at")
 
 
 def prior_results(req: DataFrame) -> DataFrame:
-    """Stored results: every key first requested on the log's first calendar
-    day, computed at that first request."""
-    first = req.groupBy("request_key", "endpoint").agg(F.min("ts").alias("computed_at"))
-    day0 = first.agg(F.min(F.date_trunc("day", "computed_at")).alias("d0"))
-    return (first.join(F.broadcast(day0), F.date_trunc("day", first.computed_at) == day0.d0)
-                 .select("request_key", "endpoint", "computed_at",
-                         F.concat(F.lit("{\"key\":\""), F.col("request_key"), F.lit("\"}")).alias("payload")))
+    """Stored results: every third digest, computed when it was first requested."""
+    third = F.conv(F.substring(F.md5("request_digest"), 1, 6), 16, 10).cast("long") % 3 == 0
+    return req.where(third).groupBy("request_digest", "endpoint").agg(F.min("ts").alias("computed_at"))
+
+
+REUSE_SCHEMA = "request_id long, request_key string, ts timestamp, endpoint string, served_from timestamp, cached boolean"
+
+
+def ttl_reuse(req: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """Result cache with a lifetime: a request is served from the stored result
+    of its digest if that was computed strictly earlier and less than
+    ``ttl_seconds`` ago (``served_from`` is when); else it is computed and its
+    result is stored.
+
+    Which request computes depends on the one that computed before it, so each
+    digest is scanned in time order: partitioned by digest and sorted, one pass
+    that holds one row (a digest with very many requests is a long scan, not a
+    large group)."""
+    cols = ["request_digest", "request_id", "request_key", "ts", "endpoint"]
+    rows = req.select(*cols).repartition("request_digest").sortWithinPartitions("request_digest", "ts", "request_id")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, stored = None, None
+        for b in batches:
+            stamps = b.column("ts").cast(pa.int64()).to_pylist()
+            served = []
+            for d, ts in zip(b.column("request_digest").to_pylist(), stamps):
+                fresh = d == digest and ts - stored < ttl_seconds * 1_000_000
+                served.append(stored if fresh and stored < ts else None)
+                if not fresh:
+                    digest, stored = d, ts
+            from_ = pa.array(served, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in cols[1:]), from_.cast(b.column("ts").type), from_.is_valid()],
+                names=[*cols[1:], "served_from", "cached"])
+    return rows.mapInArrow(scan, REUSE_SCHEMA)

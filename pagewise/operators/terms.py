@@ -113,17 +113,20 @@ def keyword_sets(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
 
 
 def pair_keywords(pairs: DataFrame, kw: DataFrame, id_col: str = "text_id") -> DataFrame:
-    kl = kw.select(F.col(id_col).alias("left_id"), F.col("keywords").alias("kw_l"))
-    kr = kw.select(F.col(id_col).alias("right_id"), F.col("keywords").alias("kw_r"))
+    """Shared and unique keywords per pair from ``text_stats`` rows (texts
+    without words have none); empty lists when a side has no words."""
+    kl = kw.select(F.col(id_col).alias("left_id"), F.col("keywords").alias("kw_l"), F.lit(True).alias("has_l"))
+    kr = kw.select(F.col(id_col).alias("right_id"), F.col("keywords").alias("kw_r"), F.lit(True).alias("has_r"))
     empty = F.array().cast("array<string>")
     j = pairs.join(kl, "left_id", "left").join(kr, "right_id", "left")
     l_ = F.coalesce(F.col("kw_l"), empty)
     r_ = F.coalesce(F.col("kw_r"), empty)
-    return j.select(
-        "pair_id",
-        F.slice(F.array_sort(F.array_intersect(l_, r_)), 1, MAX_LISTED).alias("shared_keywords"),
-        F.slice(F.array_sort(F.array_except(l_, r_)), 1, MAX_LISTED).alias("unique_to_text1"),
-        F.slice(F.array_sort(F.array_except(r_, l_)), 1, MAX_LISTED).alias("unique_to_text2"))
+
+    def listed(c: Column) -> Column:
+        return F.when(F.col("has_l") & F.col("has_r"), F.slice(F.array_sort(c), 1, MAX_LISTED)).otherwise(empty)
+    return j.select("pair_id", listed(F.array_intersect(l_, r_)).alias("shared_keywords"),
+                    listed(F.array_except(l_, r_)).alias("unique_to_text1"),
+                    listed(F.array_except(r_, l_)).alias("unique_to_text2"))
 
 
 def text_stats(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
@@ -165,7 +168,7 @@ def copy_clusters(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
     """Texts with identical bags of words (cosine exactly 1 at equal counts):
     (id, fingerprint, cluster_id = smallest id sharing it, cluster_size).
 
-    One row per text — a group of copies is never expanded into pairs. The
+    One row per text that has a word — a group of copies is never expanded into pairs. The
     fingerprint is the md5 of the sorted term:count list (bounded by one
     text's distinct terms); the per-fingerprint min/count aggregate is
     combinable map-side, and joining it back is an equi-join on the

@@ -13,6 +13,7 @@ from pagewise.plans import sqlhtml as S
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import NONWS, sq, ws_count
 from pagewise.session import spread
+from pagewise.sources import fixtures as fx
 from pagewise.sources import requests as RQ
 from pagewise.sources import tables as src
 
@@ -29,7 +30,7 @@ def _urls(spark, sf):
 
 
 def _dns(urls):
-    return A.derived_dns(urls)
+    return fx.derived_dns(urls)
 
 
 def _sql_ip_num(h: str) -> str:
@@ -55,13 +56,17 @@ _URL_CTES = f"""WITH ts AS (SELECT page_id, url, {S.strip_code(S.strip_comments(
       SELECT host, unnest(CASE WHEN substr(md5(host), 9, 1) IN ('a', 'b')
                                THEN [concat_ws('.', {_octet(0)}, {_octet(1)}, {_octet(2)}, {_octet(3)}),
                                      concat_ws('.', '10', {_octet(4)}, {_octet(5)}, {_octet(6)})]
+                               WHEN substr(md5(host), 9, 1) = 'c'
+                               THEN [concat_ws('.', {_octet(0)}, {_octet(1)}, {_octet(2)}, {_octet(3)}),
+                                     'fd00::' || substr(md5(host), 11, 4)]
                                ELSE [concat_ws('.', {_octet(0)}, {_octet(1)}, {_octet(2)}, {_octet(3)})] END) AS ip
       FROM names WHERE substr(md5(host), 1, 1) <> '0')),
-  addrs AS (SELECT host, host AS ip FROM hosts WHERE regexp_matches(host, {sq(_V4)})
+  addrs AS (SELECT host, host AS ip FROM hosts WHERE regexp_matches(host, {sq(_V4)}) OR contains(host, ':')
             UNION ALL SELECT d.host, d.ip FROM dns d JOIN hosts USING (host)),
   hit AS (SELECT a.host, a.ip, c.cidr FROM addrs a LEFT JOIN {_CIDR}
             ON {_sql_ip_num('a.ip')} BETWEEN c.lo AND c.hi),
-  addr AS (SELECT host, count(DISTINCT ip)::BIGINT AS n_addresses, bool_or(cidr IS NOT NULL) AS any_private
+  addr AS (SELECT host, count(DISTINCT ip)::BIGINT AS n_addresses,
+                  bool_or(cidr IS NOT NULL OR regexp_matches(ip, '^(::1$|[fF][cCdD]..:|[fF][eE][89abAB].:)')) AS any_private
            FROM hit GROUP BY host),
   blocked AS (SELECT DISTINCT url FROM u JOIN {_PATS} ON regexp_matches(url, '(?i)' || pattern))"""
 
@@ -75,16 +80,14 @@ SELECT u.url, u.host, r IS NULL AS ok, r AS reason FROM (
   FROM u LEFT JOIN blocked b USING (url) LEFT JOIN addr a USING (host)) u""")
 def q_url_verdict(spark, sf):
     urls = _urls(spark, sf)
-    return A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS, spark)
+    return A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS)
 
 
 @query("url_blocklist", group="urls", oracle=f"""{_URL_CTES}
 SELECT url, count(*)::BIGINT AS n_patterns FROM u JOIN {_PATS} ON regexp_matches(url, '(?i)' || pattern) GROUP BY url""")
 def q_url_blocklist(spark, sf):
     u = _urls(spark, sf).select("url").distinct()
-    pats = A.pattern_table(spark, BLOCK_PATTERNS)
-    j = u.join(pats, F.regexp_like(F.col("url"), F.concat(F.lit("(?i)"), F.col("pattern"))))
-    return j.groupBy("url").agg(F.count(F.lit(1)).alias("n_patterns"))
+    return u.withColumn("n_patterns", A.pattern_hits(F.col("url"), BLOCK_PATTERNS)).where("n_patterns > 0")
 
 
 @query("url_private_ip", group="urls", oracle=f"""{_URL_CTES}
@@ -92,13 +95,8 @@ SELECT host, ip, cidr FROM hit""")
 def q_url_private_ip(spark, sf):
     urls = _urls(spark, sf)
     hosts = urls.select(U.hostname(F.col("url")).alias("host")).filter(F.col("host") != "").distinct()
-    dns = _dns(urls)
-    lit_v4 = hosts.filter(U.ipv4_to_long(F.col("host")).isNotNull()).select("host", F.col("host").alias("ip"))
-    addrs = lit_v4.unionByName(hosts.join(dns, "host").select("host", "ip")) \
-                  .withColumn("ip_num", U.ipv4_to_long(F.col("ip")))
-    cidr = A.cidr_table(spark)
-    return addrs.join(cidr, (F.col("ip_num") >= cidr.lo) & (F.col("ip_num") <= cidr.hi), "left") \
-                .select("host", "ip", "cidr")
+    return A.host_addresses(hosts, _dns(urls)).select(
+        "host", "ip", F.explode_outer(A.blocked_networks(F.col("ip"))).alias("cidr"))
 
 
 @query("url_dns_check", group="urls", oracle=f"""{_URL_CTES}
@@ -108,7 +106,7 @@ FROM hosts h LEFT JOIN addr a USING (host)""")
 def q_url_dns_check(spark, sf):
     urls = _urls(spark, sf)
     hosts = urls.select(U.hostname(F.col("url")).alias("host")).filter(F.col("host") != "").distinct()
-    a = A.url_addresses(hosts, _dns(urls), spark)
+    a = A.url_addresses(hosts, _dns(urls))
     j = hosts.join(a, "host", "left")
     return j.select("host", F.coalesce("n_addresses", F.lit(0)).cast("long").alias("n_addresses"),
                     F.coalesce("any_private", F.lit(False)).alias("any_private"),
@@ -117,29 +115,43 @@ def q_url_dns_check(spark, sf):
 
 # ---------------------------------------------------------------- inputs
 
-def _requests(spark, sf):
-    """Summarize-style requests: every page as a URL request, every document
-    as a text request; options derived per row (some deliberately invalid)."""
-    pg = src.pages(spark, sf).select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("request_id"),
-                                     "url", F.lit(None).cast("string").alias("text"), "page_id",
-                                     F.col("page_id").alias("n"))
-    dc = src.documents(spark, sf).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("request_id"),
-                                         F.lit(None).cast("string").alias("url"), "text",
-                                         F.lit(None).cast("long").alias("page_id"), F.col("doc_id").alias("n"))
+def _options(df):
+    """Summarize options derived per row (some deliberately invalid)."""
     fmts = A.SUMMARY_FORMATS + ["haiku"]
-    r = pg.unionByName(dc)
-    return r.select("request_id", "url", "text", "page_id",
-                    F.get(F.array(*[F.lit(f) for f in fmts]), (F.col("n") % len(fmts)).cast("int")).alias("format"),
-                    ((F.col("n") * 37) % 1100).alias("max_length"))
+    return df.select("request_id", "url", "text",
+                     F.get(F.array(*[F.lit(f) for f in fmts]), (F.col("n") % len(fmts)).cast("int")).alias("format"),
+                     ((F.col("n") * 37) % 1100).alias("max_length"))
+
+
+def _url_requests(pages):
+    return _options(pages.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("request_id"), "url",
+                                 "text", F.col("page_id").alias("n")))
+
+
+def _text_requests(spark, sf):
+    """Every document as a text request; every seventh without a text, every
+    eleventh with a blank one."""
+    n = F.col("doc_id")
+    text = F.when(n % 7 == 3, F.lit(None).cast("string")).when(n % 11 == 5, F.lit(" \n\t")).otherwise(F.col("text"))
+    return _options(src.documents(spark, sf).select(
+        F.concat(F.lit("doc:"), n.cast("string")).alias("request_id"), F.lit(None).cast("string").alias("url"),
+        text.alias("text"), n.alias("n")))
+
+
+def _requests(spark, sf):
+    """Summarize-style requests as they come in: pages by URL, documents by text."""
+    pages = src.pages(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    return _url_requests(pages).unionByName(_text_requests(spark, sf))
 
 
 def _extracted(spark, sf):
-    return P.with_main_text(P.tag_stage(spread(src.pages(spark, sf)))).select("page_id", "text")
+    return P.with_main_text(P.tag_stage(spread(src.pages(spark, sf)))).select("page_id", "url", "text")
 
 
 _REQ_SQL = """reqs AS (
     SELECT 'page:' || page_id AS request_id, url, NULL::VARCHAR AS text, page_id, page_id AS n FROM pages
-    UNION ALL SELECT 'doc:' || doc_id, NULL::VARCHAR, text, NULL::BIGINT, doc_id FROM documents),
+    UNION ALL SELECT 'doc:' || doc_id, NULL::VARCHAR, CASE WHEN doc_id % 7 = 3 THEN NULL
+                     WHEN doc_id % 11 = 5 THEN ' ' || chr(10) || chr(9) ELSE text END, NULL::BIGINT, doc_id FROM documents),
   reqo AS (SELECT *, ['tldr', 'bullets', 'key_takeaways', 'paragraph', 'haiku'][n % 5 + 1] AS format,
                   (n * 37) % 1100 AS max_length FROM reqs)"""
 _EXTRACT_SQL = f"""ex AS (SELECT page_id, CASE WHEN length(m) > 50000 THEN substr(m, 1, 50000) || '...' ELSE m END AS text
@@ -151,9 +163,7 @@ _RESOLVED_SQL = f"""WITH {_REQ_SQL}, {_EXTRACT_SQL},
 
 
 def _resolved(spark, sf):
-    req = _requests(spark, sf)
-    res = A.resolve_inputs(req, _extracted(spark, sf))
-    return res.join(req.select("request_id", "format", "max_length"), "request_id")
+    return A.resolve_inputs(_url_requests(_extracted(spark, sf)), _text_requests(spark, sf))
 
 
 @query("input_union", group="admission", oracle=f"""{_RESOLVED_SQL}
@@ -195,6 +205,12 @@ _EV_ENDPOINT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v i
 _STAGE = "CASE endpoint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.ENDPOINT_STAGE.items()) + " END"
 
 
+# Failed events take every known kind in turn, and one that is not known.
+_FAILURES = [k for k, _, _ in A.ERROR_KINDS] + ["unhandled"]
+_EV_KIND = (f"CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN [{', '.join(sq(k) for k in _FAILURES)}]"
+            f"[event_id // 3 % {len(_FAILURES)} + 1] END")
+
+
 @query("classify_errors", group="admission", oracle=f"""{_URL_CTES},
   o AS (SELECT 'page:' || p.page_id AS outcome_id, 'extract' AS endpoint,
                CASE WHEN v.r IS NOT NULL THEN 'invalid_url' WHEN length(p.html) > 10000000 THEN 'invalid_content' END AS kind
@@ -204,7 +220,7 @@ _STAGE = "CASE endpoint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.ENDP
             WHEN coalesce(a.any_private, false) THEN 'x' WHEN coalesce(a.n_addresses, 0) = 0 THEN 'x' END AS r
           FROM u LEFT JOIN blocked b USING (url) LEFT JOIN addr a USING (host)) v USING (url)
         UNION ALL
-        SELECT 'event:' || event_id, {_EV_ENDPOINT}, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'unhandled' END
+        SELECT 'event:' || event_id, {_EV_ENDPOINT}, {_EV_KIND}
         FROM events)
 SELECT o.endpoint, o.kind, CASE WHEN o.kind IS NOT NULL THEN coalesce(ek.http_status, 500) END AS http_status,
        CASE WHEN o.kind IS NOT NULL THEN coalesce(ek.code, upper({_STAGE.replace('endpoint', 'o.endpoint')}) || '_FAILED') END AS error_code,
@@ -212,7 +228,7 @@ SELECT o.endpoint, o.kind, CASE WHEN o.kind IS NOT NULL THEN coalesce(ek.http_st
 FROM o LEFT JOIN {_KINDS} USING (kind) GROUP BY ALL""")
 def q_classify_errors(spark, sf):
     urls = _urls(spark, sf)
-    v = A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS, spark).select("url", "ok")
+    v = A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS).select("url", "ok")
     pg = src.pages(spark, sf).select("page_id", "url", F.length("html").alias("n")).join(v, "url", "left")
     pages_o = pg.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("outcome_id"),
                         F.lit("extract").alias("endpoint"),
@@ -221,18 +237,21 @@ def q_classify_errors(spark, sf):
     ev = src.events(spark, sf)
     ev_o = ev.select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("outcome_id"),
                      RQ.endpoint_of(F.col("event_type")).alias("endpoint"),
-                     F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.lit("unhandled"))
-                      .alias("kind"))
+                     F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0),
+                            F.get(F.array(*[F.lit(k) for k in _FAILURES]),
+                                  F.expr(f"cast(event_id div 3 % {len(_FAILURES)} as int)"))).alias("kind"))
     c = A.classify_errors(pages_o.unionByName(ev_o), spark)
     return c.groupBy("endpoint", "kind", "http_status", "error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("envelope", group="admission")
+@query("envelope", group="admission", oracle=f"""{_RESOLVED_SQL}
+SELECT regexp_matches(text, {NONWS}) AS success, CASE WHEN regexp_matches(text, {NONWS}) THEN request_id END AS request_id,
+       CASE WHEN regexp_matches(text, {NONWS}) THEN length(text)::BIGINT END AS text_chars,
+       CASE WHEN NOT regexp_matches(text, {NONWS}) THEN 'NO_CONTENT' END AS error_code, false AS cached FROM res""")
 def q_envelope(spark, sf):
-    """SEO records wrapped in the success envelope, failed pages in the error
-    envelope (rows-only check: the envelope carries the wall-clock time)."""
-    seo = P.seo_record(spread(src.pages(spark, sf)))
-    ok = seo.filter(F.col("title").isNotNull())
-    bad = seo.filter(F.col("title").isNull()).select(F.lit("NO_CONTENT").alias("error_code"),
-                                                     F.lit("page has no title").alias("message"))
-    return A.envelope(ok, ["page_id", "url", "title", "word_count"], bad)
+    """Resolved inputs in envelopes: a blank text is an error, anything else a
+    success (the wall-clock time is left out of the result)."""
+    rows = _resolved(spark, sf).select("request_id", F.length("text").cast("long").alias("text_chars"),
+                                       A.no_content(F.col("text")).alias("blank"))
+    e = A.envelope(rows, ["request_id", "text_chars"], F.when(F.col("blank"), F.lit("NO_CONTENT")))
+    return e.select("success", "data.request_id", "data.text_chars", F.col("error.code").alias("error_code"), "cached")

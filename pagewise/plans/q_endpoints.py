@@ -43,7 +43,7 @@ def _gated_pages(spark, sf):
     # Only the page URLs are gated; the resolver table is per host, so the
     # verdict of a page URL does not depend on which other URLs are present.
     urls = src.pages(spark, sf).select("url")
-    v = A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS, spark).select("url", "ok")
+    v = A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS).select("url", "ok")
     g = pages.join(v, "url", "left")
     err = (F.when(~F.coalesce(F.col("ok"), F.lit(True)), F.lit("INVALID_URL"))
             .when(F.length("html") > MAX_HTML_CHARS, F.lit("INVALID_CONTENT")))

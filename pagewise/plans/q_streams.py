@@ -4,7 +4,7 @@ files (availableNow) into a parquet sink and returns the sink."""
 from __future__ import annotations
 
 from pagewise.plans import sqlhtml as S
-from pagewise.plans.q_usage import _req_sql
+from pagewise.plans.q_usage import _MISSES, _req_sql
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import ws_count
 from pagewise.streaming import streams as ST
@@ -18,13 +18,13 @@ def q_stream_enrich(spark, sf):
     return ST.run_available(ST.enrichment_stream(ST.read_stream(spark, sf, "pages")), "enrich")
 
 
-@query("stream_dedup", group="streaming")
+@query("stream_dedup", group="streaming", oracle=f"""{_MISSES}
+SELECT min(request_id) AS request_id, q.request_key, q.ts, q.endpoint
+FROM reqk q JOIN miss m ON m.request_digest = q.request_digest AND m.t = q.ts
+GROUP BY q.request_digest, q.request_key, q.ts, q.endpoint""")
 def q_stream_dedup(spark, sf):
-    """First request of each key survives; repeats within the TTL are dropped
-    (rows-only check: which repeat survives past the TTL depends on state
-    eviction timing; tests check the invariants)."""
-    out = ST.run_available(ST.dedup_stream(ST.requests_stream(spark, sf)), "dedup")
-    return out.select("request_id", "request_key", "ts", "endpoint")
+    """One request of each digest per lifetime; repeats after it are kept again."""
+    return ST.run_available(ST.dedup_stream(ST.requests_stream(spark, sf, dense=True)), "dedup")
 
 
 @query("stream_minute_metering", group="streaming", oracle=f"""WITH req AS {_req_sql(True)}

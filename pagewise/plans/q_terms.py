@@ -75,12 +75,14 @@ def q_top_keywords(spark, sf):
 
 def _pair_kw(spark, sf):
     tf = _tf(spark, sf)
-    return tm.pair_keywords(fx.pairs(spark, sf), tm.keyword_sets(tf))
+    return tm.pair_keywords(fx.pairs(spark, sf), tm.text_stats(tf))
 
 
 _PKW = f"""{_BASE}, {kw_ctes()}, pk AS (
-    SELECT p.pair_id, coalesce(l.keywords, []::VARCHAR[]) AS kl, coalesce(r.keywords, []::VARCHAR[]) AS kr
-    FROM pairs p LEFT JOIN kwset l ON l.text_id = p.left_id LEFT JOIN kwset r ON r.text_id = p.right_id)"""
+    SELECT p.pair_id, CASE WHEN worded THEN coalesce(l.keywords, []::VARCHAR[]) ELSE [] END AS kl,
+           CASE WHEN worded THEN coalesce(r.keywords, []::VARCHAR[]) ELSE [] END AS kr
+    FROM (SELECT *, left_id IN (SELECT text_id FROM tf) AND right_id IN (SELECT text_id FROM tf) AS worded FROM pairs) p
+         LEFT JOIN kwset l ON l.text_id = p.left_id LEFT JOIN kwset r ON r.text_id = p.right_id)"""
 
 
 @query("shared_keywords", group="terms", oracle=f"""{_PKW}

@@ -14,7 +14,7 @@ PAIRS = f"""pairs AS (
       SELECT 'adjacent' AS kind, a.doc_id AS left_id, b.doc_id AS right_id
         FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0
       UNION ALL SELECT 'self', doc_id, doc_id FROM documents
-      UNION ALL SELECT 'benchmark', doc_id, doc_id % 40 + {BENCH_OFFSET} FROM documents
+      UNION ALL SELECT 'benchmark', doc_id, doc_id % (SELECT max(item_id) + 1 FROM benchmark) + {BENCH_OFFSET} FROM documents
       UNION ALL SELECT 'empty', min(doc_id), -1::BIGINT FROM documents))"""
 
 

@@ -97,19 +97,13 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin redistribute a scan that came out with too few splits.
+SCAN_PARTITIONS = "spark.pagewise.scanPartitions"
 
-    CPU-heavy per-row text work needs at least one partition per core. At
-    scale the scan already has thousands of splits and this is a no-op (no
-    shuffle); it only fires for small inputs stored as one row group.
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — no RDD view (e.g. Spark Connect): leave the plan as is
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin redistribute a scan into ``partitions`` parts; by default
+    the number in ``spark.pagewise.scanPartitions``, and no shuffle where that
+    is unset. For inputs whose files give the scan fewer splits than the
+    CPU-heavy per-row work can use (one row group, as in the test data)."""
+    partitions = partitions or int(df.sparkSession.conf.get(SCAN_PARTITIONS, "0"))
+    return df.repartition(partitions) if partitions else df

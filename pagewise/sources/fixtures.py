@@ -6,9 +6,10 @@ more in SQL for the DuckDB oracle (``pagewise/plans/sqlfix.py``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewise.functions import urls as U
 from pagewise.sources import tables as src
 
 # benchmark texts live in the same id space as documents, shifted by this.
@@ -30,8 +31,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair table (pair_id, kind, left_id, right_id):
     adjacent documents (2k, 2k+1); every document with itself; every document
-    with benchmark item doc_id % 40; one document against the empty text."""
+    with one benchmark item, in turn over all items; one document against the
+    empty text."""
     docs = src.documents(spark, sf_dir).select("doc_id")
+    n_items = src.benchmark(spark, sf_dir).agg(F.max("item_id")).first()[0] + 1  # one number
     adjacent = (docs.filter(F.col("doc_id") % 2 == 0).alias("a")
                 .join(docs.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
                 .select(F.lit("adjacent").alias("kind"), F.col("a.doc_id").alias("left_id"),
@@ -39,7 +42,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     self_p = docs.select(F.lit("self").alias("kind"), F.col("doc_id").alias("left_id"),
                          F.col("doc_id").alias("right_id"))
     bench = docs.select(F.lit("benchmark").alias("kind"), F.col("doc_id").alias("left_id"),
-                        (F.col("doc_id") % 40 + F.lit(BENCH_OFFSET)).alias("right_id"))
+                        (F.col("doc_id") % n_items + F.lit(BENCH_OFFSET)).alias("right_id"))
     empty = (docs.agg(F.min("doc_id").alias("left_id"))
              .select(F.lit("empty").alias("kind"), "left_id",
                      F.lit(EMPTY_TEXT_ID).cast("long").alias("right_id")))
@@ -100,3 +103,23 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [d.select("doc_id", F.lit(t).alias("task"), c.alias("raw"))
              for t, c in (("summary", summary), ("sentiment", sentiment), ("keywords", keywords))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def derived_dns(urls: DataFrame) -> DataFrame:
+    """A deterministic stand-in resolver table (host, ip) built from the hosts
+    of the given URLs: 1 in 16 names does not resolve; some names get a second,
+    private address of either family (so 'every resolved address is checked' is
+    exercised)."""
+    h = urls.select(U.hostname(F.col("url")).alias("host")).distinct()
+    h = h.filter((F.col("host") != "") & U.ipv4_to_long(F.col("host")).isNull() & ~F.col("host").contains(":"))
+    m = F.md5(F.col("host"))
+
+    def octet(i: int) -> Column:
+        return F.conv(F.substring(m, 2 * i + 1, 2), 16, 10).cast("long").cast("string")
+    public = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
+    private = F.concat_ws(".", F.lit("10"), octet(4), octet(5), octet(6))
+    unique_local = F.concat(F.lit("fd00::"), F.substring(m, 11, 4))
+    addrs = (F.when(F.substring(m, 9, 1).isin("a", "b"), F.array(public, private))
+              .when(F.substring(m, 9, 1) == "c", F.array(public, unique_local)).otherwise(F.array(public)))
+    return (h.filter(~F.substring(m, 1, 1).isin("0"))
+             .select("host", F.explode(addrs).alias("ip")))

@@ -19,6 +19,7 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
+         .config("spark.pagewise.scanPartitions", "4")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pw-test-ckpt-"))
          .getOrCreate())
