@@ -18,30 +18,37 @@ from pagewise.functions.text import WS, ws_trim
 
 # The entity references decoded (``&amp;`` last so it never
 # double-decodes).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
             ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-TAG_RE = r"<[^>]*>"
-LD_JSON_RE = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-META_RE = r"(?is)<meta\b[^>]*>"
-LINK_TAG_RE = r"(?is)<link\b[^>]*>"
-A_TAG_RE = r"(?is)<a\s[^>]*>"
-IMG_TAG_RE = r"(?is)<img\b[^>]*>"
-TIME_TAG_RE = r"(?is)<time\b[^>]*>"
-HTML_TAG_RE = r"(?is)<html\b[^>]*>"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
+# The rest of a tag up to its ``>``: a ``>`` inside a quoted value does not end it.
+REST = r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*"
+# An element that is never closed reaches to the end of the text.
+NUMERIC_RES = (r"^[xX]([0-9a-fA-F]{1,6});", r"^([0-9]{1,7});")
+COMMENT_RE = r"(?s)<!--.*?(?:-->|\z)"
+SCRIPT_RE = rf"(?is)<script\b{REST}>.*?(?:</script\s*>|\z)"
+STYLE_RE = rf"(?is)<style\b{REST}>.*?(?:</style\s*>|\z)"
+TAG_RE = rf"<[a-zA-Z/!?]{REST}>"
+LD_JSON_RE = (rf"(?is)<script\b{REST}\stype\s*=\s*(?:\"application/ld\+json\"|'application/ld\+json'|application/ld\+json)"
+              rf"(?:[\s/]{REST})?>(.*?)</script\s*>")
+META_RE = rf"(?is)<meta\b{REST}>"
+LINK_TAG_RE = rf"(?is)<link\b{REST}>"
+A_TAG_RE = rf"(?is)<a\s{REST}>"
+IMG_TAG_RE = rf"(?is)<img\b{REST}>"
+TIME_TAG_RE = rf"(?is)<time\b{REST}>"
+HTML_TAG_RE = rf"(?is)<html\b{REST}>"
+TITLE_RE = rf"(?is)<title\b{REST}>(.*?)</title\s*>"
+BODY_RE = rf"(?is)<body\b{REST}>(.*?)(?:</body\s*>|\z)"
 # Elements dropped before main-text extraction.
 BOILERPLATE = ["nav", "header", "footer", "aside"]
-# Content regions, in priority order (first non-empty wins).
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)"
-MAIN_RE = r"(?is)<main\b[^>]*>(.*?)(?:</main\s*>|\z)"
-ROLE_MAIN_RE = r"(?is)<[a-z][a-z0-9]*\s[^>]*\brole\s*=\s*[\"']?main[\"']?[^>]*>(.*)"
-CONTENT_DIV_RE = r"(?is)<div\s[^>]*\bclass\s*=\s*[\"']?[^\"'>]*(?:content|article|post|entry)[^>]*>(.*)"
-P_SPLIT_RE = r"(?i)<p(?:\s[^>]*)?>"
+# Content regions, in priority order (the first that exists wins, even if it is empty).
+CONTENT_CLASS = "(?:content|article|post|entry)"
+ARTICLE_RE = rf"(?is)<article\b{REST}>(.*?)(?:</article\s*>|\z)"
+MAIN_RE = rf"(?is)<main\b{REST}>(.*?)(?:</main\s*>|\z)"
+ROLE_MAIN_RE = rf"(?is)<[a-z][a-z0-9]*{REST}\srole\s*=\s*(?:\"main\"|'main'|main)(?:[\s/]{REST})?>(.*)"
+CONTENT_DIV_RE = (rf"(?is)<div{REST}\sclass\s*=\s*(?:\"[^\"]*{CONTENT_CLASS}[^\"]*\"|'[^']*{CONTENT_CLASS}[^']*'"
+                  rf"|[^\s\"'>]*{CONTENT_CLASS}[^\s\"'>]*){REST}>(.*)")
+P_SPLIT_RE = rf"(?i)<p(?:\s{REST})?>"
 # A paragraph ends at </p> or at the first block-level tag (open or close).
 P_END_RE = (r"(?is)</?(?:p|div|article|section|main|aside|header|footer|nav|ul|ol|li|dl|table|tr|td|th"
             r"|blockquote|form|h[1-6]|pre|hr|address|fieldset|figure)\b.*$")
@@ -53,7 +60,24 @@ MAX_H2 = 20
 MAX_SCHEMA_ITEMS = 10
 
 
+def _numeric(piece: Column) -> Column:
+    """What follows a ``&#``: the character it names and the rest; not a valid
+    code point: U+FFFD; not a reference: unchanged."""
+    hexa, deci = (F.regexp_extract(piece, p, 1) for p in NUMERIC_RES)
+    code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).when(deci != "", deci.cast("long"))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    rest = F.substring(piece, F.instr(piece, ";") + 1, F.length(piece))
+    return F.when(code.isNull(), F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
+
+
 def decode_entities(c: Column) -> Column:
+    """Numeric references, then the named ones."""
+    def numeric(x: Column) -> Column:
+        pieces = F.split(x, "&#", -1)
+        more = F.transform(F.slice(pieces, 2, F.size(pieces)), _numeric)
+        return F.when(x.contains("&#"), F.concat(F.get(pieces, 0), F.array_join(more, ""))).otherwise(x)
+    c = F.get(F.transform(F.array(c), numeric), 0)  # bound once: c may be a costly expression
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
@@ -70,7 +94,7 @@ def strip_code(html: Column) -> Column:
 
 def strip_elements(html: Column, names: list[str]) -> Column:
     for n in names:
-        html = F.regexp_replace(html, F.lit(rf"(?is)<{n}\b[^>]*>.*?</{n}\s*>"), F.lit(""))
+        html = F.regexp_replace(html, F.lit(rf"(?is)<{n}\b{REST}>.*?</{n}\s*>"), F.lit(""))
     return html
 
 
@@ -140,7 +164,7 @@ def html_lang(clean: Column) -> Column:
 
 
 def headings(clean: Column, level: int) -> Column:
-    frags = F.regexp_extract_all(clean, F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"), F.lit(1))
+    frags = F.regexp_extract_all(clean, F.lit(rf"(?is)<h{level}\b{REST}>(.*?)</h{level}\s*>"), F.lit(1))
     return F.transform(frags, lambda f: element_text(f, ""))
 
 
@@ -155,21 +179,13 @@ def body_text(clean: Column) -> Column:
     return element_text(body_html(clean), " ")
 
 
-def region_candidates(reduced: Column) -> Column:
-    """[article, main, [role=main], div.content-like, body] inner HTML (NULL
-    when the element is absent), each regex evaluated once."""
+def content_region(reduced: Column) -> Column:
+    """Inner HTML of the first that exists of article, main, [role=main],
+    div.content-like, body; later ones are not searched for."""
     def grab(pat: str) -> Column:
         return F.when(reduced.rlike(pat), F.regexp_extract(reduced, pat, 1))
-    return F.array(grab(ARTICLE_RE), grab(MAIN_RE), grab(ROLE_MAIN_RE), grab(CONTENT_DIV_RE), body_html(reduced))
-
-
-def first_nonempty(cands: Column) -> Column:
-    return F.coalesce(F.get(F.filter(cands, lambda c: F.coalesce(F.length(c), F.lit(0)) > 0), 0), F.lit(""))
-
-
-def content_region(clean_main: Column) -> Column:
-    """First non-empty of article, main, [role=main], div.content-like, body."""
-    return first_nonempty(region_candidates(clean_main))
+    return F.coalesce(grab(ARTICLE_RE), grab(MAIN_RE), grab(ROLE_MAIN_RE), grab(CONTENT_DIV_RE), body_html(reduced),
+                      F.lit(""))
 
 
 def paragraphs(region: Column) -> Column:
@@ -180,15 +196,6 @@ def paragraphs(region: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
-def main_text(clean: Column) -> Column:
-    """Fallback main-content text as one expression (convenience form; the
-    record builders use ``operators.pages.with_main_text``, which stages the
-    same steps so each regex runs once per row)."""
-    reduced = strip_elements(clean, BOILERPLATE)
-    paras = F.array_join(paragraphs(content_region(reduced)), "\n\n")
-    return F.when(paras != "", paras).otherwise(body_text(reduced))
-
-
 def markdown(clean: Column) -> Column:
     """Markdown rendering of the content region: headings, list items, links,
     images, bold, paragraphs; remaining tags dropped."""

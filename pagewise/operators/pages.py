@@ -38,12 +38,11 @@ def tag_stage(pages: DataFrame) -> DataFrame:
 def with_main_text(df: DataFrame, clean: str = "clean", out: str = "text",
                    limit: int | None = MAX_CONTENT_CHARS, p: str = "_mt_") -> DataFrame:
     """Add the main-content text of ``clean`` as ``out`` in staged projections:
-    boilerplate removed -> candidate regions -> paragraphs of the first
-    non-empty region -> text (else all body text) -> truncation. Every
+    boilerplate removed -> paragraphs of the first content region -> text (else all body text) -> truncation. Every
     intermediate is an attribute, so no regex is evaluated twice per row."""
     d = df.withColumn(f"{p}red", H.strip_elements(F.col(clean), H.BOILERPLATE))
     red = F.col(f"{p}red")
-    d = d.withColumn(f"{p}paras", F.array_join(H.paragraphs(H.first_nonempty(H.region_candidates(red))), "\n\n"))
+    d = d.withColumn(f"{p}paras", F.array_join(H.paragraphs(H.content_region(red)), "\n\n"))
     paras = F.col(f"{p}paras")
     d = d.withColumn(f"{p}full", F.when(paras != "", paras).otherwise(H.body_text(red)))
     full = F.col(f"{p}full")

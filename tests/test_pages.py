@@ -2,6 +2,7 @@
 images, links, main text)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewise.operators import pages as P
 
@@ -87,3 +88,52 @@ def test_url_join_cases(spark):
     # the ;params of the base path stay in the path (we do not split params)
     diffs = [(h, g, e) for h, g, e in zip(hrefs, got, exp) if g != e and ";p" not in e and ";p" not in g]
     assert not diffs, diffs
+
+
+def _html(spark, html, *cols):
+    from pagewise.operators import pages as P
+    df = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
+    return P.with_main_text(P.tag_stage(df)).select(*cols).first()
+
+
+def test_quoted_angle_brackets_stay_in_their_tag(spark):
+    from pagewise.functions import html as H
+    page = ('<html><head><meta name="description" content="Home > Shop > Tea"></head><body>'
+            '<img src="a.png" alt="a > b"><p title=\'x > y\'>It\'s 5 < 6 here</p></body></html>')
+    r = _html(spark, page, H.meta_structs(F.col("clean")).alias("m"), H.tags(F.col("clean"), H.IMG_TAG_RE).alias("i"),
+              H.body_text(F.col("clean")).alias("b"), "text")
+    assert r.m[0].content == "Home > Shop > Tea"
+    assert r.i == ['<img src="a.png" alt="a > b">']
+    assert r.b == "It's 5 < 6 here" and r.text == "It's 5 < 6 here"
+
+
+def test_numeric_references(spark):
+    from pagewise.functions import html as H
+    r = _html(spark, "<title>Tom &#38; Jerry &#8212; &#x27;x&#X1F600; &#0; &#xD800; &amp;#39; &#12 &#;</title>",
+              H.title(F.col("clean")).alias("t"))
+    assert r.t == "Tom & Jerry — 'x\U0001F600 � � &#39; &#12 &#;"
+
+
+def test_the_first_existing_region_wins(spark):
+    assert _html(spark, "<body><article></article><main><p>inner</p></main> tail</body>", "text").text == "inner tail"
+    assert _html(spark, "<body><div data-role=\"main\"><p>a</p></div><p>b</p></body>", "text").text == "a\n\nb"
+    assert _html(spark, "<body><div role=\"main-menu\"><p>a</p></div><p>b</p></body>", "text").text == "a\n\nb"
+    assert _html(spark, "<body><p>a</p><div id=q role='main'><p>b</p></div></body>", "text").text == "b"
+    assert _html(spark, "<body><p>a</p><div data-class='post'>x</div><p>c</p></body>", "text").text == "a\n\nc"
+
+
+def test_unclosed_scripts_and_long_runs_take_linear_time(spark):
+    import time
+    from pagewise.functions import text as T
+    _html(spark, "<script>", "text")
+    t = time.time()
+    _html(spark, "<body>" + "<script>a" * 30_000, "text")
+    _html(spark, "<body>" + "<!-- a" * 30_000, "text")
+    assert time.time() - t < 10
+    df = spark.createDataFrame([(" " * 1_000_000 + "x",), ("a." * 300_000,), ("\n" * 1_000_000,)], "text string")
+    df.select(T.sentence_count(F.col("text"))).collect()
+    t = time.time()
+    got = df.select(T.sentence_count(F.col("text")).alias("n"), T.excerpt(F.col("text")).alias("e"),
+                    F.length(T.ws_trim(F.col("text"))).alias("k")).collect()
+    assert time.time() - t < 5
+    assert [r.n for r in got] == [1, 300_000, 0] and [r.k for r in got] == [1, 600_000, 0]
