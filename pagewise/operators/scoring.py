@@ -3,11 +3,10 @@
 * ``prompt_table``: one row per (document, task) with the system prompt, the
   truncated input and the request parameters (temperature, max tokens, JSON
   mode). Templates are a 4-row dimension joined by broadcast.
-* ``score``: the only Python in the path — an Arrow-batched ``mapInPandas``
-  that calls an injected scorer on whole batches. ``local_scorer`` is a
-  deterministic stand-in (lead-sentence summary, small lexicon sentiment,
-  frequency keywords); a production scorer calls a model endpoint with the
-  same signature. Alternatively join a ``completions(doc_id, task, raw)`` table.
+* ``score``: an injected scorer (a model client) runs in an Arrow-batched
+  ``mapInPandas``, the only Python in the path; without one, the stand-in
+  (first sentence, small lexicon sentiment, leading keywords) is a column
+  expression. Alternatively join a ``completions(doc_id, task, raw)`` table.
 * ``sentiment_record`` / ``keyword_record`` / ``summary_record``: robust
   parsing of the raw completions with native JSON functions.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewise.functions.text import ws_trim, ws_word_count
+from pagewise.functions.text import is_blank, round_half_even, words, ws_trim, ws_word_count
 
 MODEL = "local-standin-1"
 TASKS = ["summary", "sentiment", "keywords"]
@@ -56,7 +55,7 @@ KEYWORDS_PROMPT = ("Extract from the text below one JSON object with keys keywor
                    + ", ".join(KEYWORD_CATEGORIES) + ") and tags (3 to 7 lower-case tags). "
                    "Reply with the JSON object only.")
 
-SENTIMENT_SCHEMA = ("sentiment STRING, confidence STRING, scores MAP<STRING, DOUBLE>, "
+SENTIMENT_SCHEMA = ("sentiment STRING, confidence STRING, scores MAP<STRING, STRING>, "
                     "key_phrases ARRAY<STRING>")
 KEYWORD_SCHEMA = ("keywords ARRAY<STRING>, topics ARRAY<STRING>, "
                   "entities ARRAY<MAP<STRING, STRING>>, category STRING, tags ARRAY<STRING>")
@@ -100,56 +99,66 @@ def prompt_table(docs: DataFrame, spark: SparkSession, fmt: str = "tldr", max_le
 # ------------------------------------------------------------------ scorer
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
-
-_POS = {"good", "great", "excellent", "happy", "love", "best", "win", "success", "bright", "calm", "clear"}
-_NEG = {"bad", "poor", "terrible", "sad", "hate", "worst", "loss", "fail", "dark", "broken", "angry"}
-
-
-def local_scorer(batch: pd.DataFrame) -> pd.Series:
-    """Deterministic stand-in scorer over a batch of prompt rows."""
-    import json
-    import re
-    from collections import Counter
-
-    out = []
-    for task, text in zip(batch["task"], batch["input"]):
-        text = text or ""
-        words = re.findall(r"[a-zA-Z]+", text)
-        if task == "summary":
-            first = re.split(r"(?<=[.!?])\s+", text.strip(), maxsplit=1)[0] if text.strip() else ""
-            out.append(first)
-        elif task == "sentiment":
-            low = [w.lower() for w in words]
-            p = sum(w in _POS for w in low)
-            n = sum(w in _NEG for w in low)
-            tot = p + n
-            label = "neutral" if tot == 0 else ("mixed" if p == n else ("positive" if p > n else "negative"))
-            conf = 0.5 if tot == 0 else round(max(p, n) / tot, 2)
-            pos = round(p / tot, 2) if tot else 0.0
-            neg = round(n / tot, 2) if tot else 0.0
-            out.append(json.dumps({"sentiment": label, "confidence": conf,
-                                   "scores": {"positive": pos, "negative": neg, "neutral": round(1 - pos - neg, 2)},
-                                   "key_phrases": [w for w, _ in Counter(words).most_common(3)]}))
-        else:
-            top = [w for w, _ in Counter(w for w in words if len(w) > 3).most_common(10)]
-            out.append(json.dumps({"keywords": top, "topics": top[:2], "entities": [],
-                                   "category": "other", "tags": [w.lower() for w in top[:5]]}))
-    return pd.Series(out, dtype="object")
-
-
-def score(prompts: DataFrame, scorer: Scorer = local_scorer, id_col: str = "doc_id") -> DataFrame:
-    """(id, task, raw) via Arrow batches; filters and truncation are applied
-    before this point because Catalyst cannot push them through mapInPandas."""
+MAX_BATCH_CHARS = 4_000_000  # input characters that a scorer call gets at most (one input may be longer)
+
+# Words of the stand-in model.
+POSITIVE_WORDS = ["good", "great", "excellent", "happy", "love", "best", "win", "success", "bright", "calm", "clear"]
+NEGATIVE_WORDS = ["bad", "poor", "terrible", "sad", "hate", "worst", "loss", "fail", "dark", "broken", "angry"]
+FIRST_SENTENCE_RE = r"^[^.!?]*[.!?]*"
+
+
+def standin_raw(task: Column, text: Column) -> Column:
+    """Deterministic stand-in completion as a column: the first sentence; the
+    balance of a small lexicon; the first ten distinct words of over three
+    letters. NULL (no model call) for a blank input."""
+    found = words(text)
+    low = F.transform(found, F.lower)
+    pos = F.size(F.filter(low, lambda w: w.isin(POSITIVE_WORDS)))
+    neg = F.size(F.filter(low, lambda w: w.isin(NEGATIVE_WORDS)))
+
+    def sentiment(n: Column) -> Column:
+        p, m = n["p"], n["n"]
+        total = F.greatest(p + m, F.lit(1))
+        label = (F.when(p + m == 0, F.lit("neutral")).when(p == m, F.lit("mixed"))
+                  .when(p > m, F.lit("positive")).otherwise(F.lit("negative")))
+        conf = F.when(p + m == 0, F.lit(0.5)).otherwise(round_half_even(F.greatest(p, m) / total, 2))
+        share = [round_half_even(x / total, 2) for x in (p, m)]
+        return F.to_json(F.struct(
+            label.alias("sentiment"), conf.alias("confidence"),
+            F.struct(share[0].alias("positive"), share[1].alias("negative"),
+                     F.greatest(round_half_even(1 - share[0] - share[1], 2), F.lit(0.0)).alias("neutral")).alias("scores"),
+            n["phrases"].alias("key_phrases")))
+    counts = F.struct(pos.alias("p"), neg.alias("n"), F.slice(F.array_distinct(found), 1, 3).alias("phrases"))
+    top = F.slice(F.array_distinct(F.filter(found, lambda w: F.length(w) > 3)), 1, MAX_KEYWORDS)
+
+    def keywords(k: Column) -> Column:
+        return F.to_json(F.struct(k.alias("keywords"), F.slice(k, 1, 2).alias("topics"), F.array().cast("array<string>").alias("entities"),
+                                  F.lit("other").alias("category"), F.slice(F.transform(k, F.lower), 1, 5).alias("tags")))
+    return (F.when(is_blank(text), F.lit(None).cast("string"))
+             .when(task == "summary", F.regexp_extract(ws_trim(text), FIRST_SENTENCE_RE, 0))
+             .when(task == "sentiment", F.get(F.transform(F.array(counts), sentiment), 0))
+             .otherwise(F.get(F.transform(F.array(top), keywords), 0)))
+
+
+def score(prompts: DataFrame, scorer: Scorer | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, task, raw). Without a ``scorer`` the stand-in, as a column. A
+    ``scorer`` (a model client) gets Arrow batches cut to ``MAX_BATCH_CHARS``;
+    filters and truncation are applied before this point because Catalyst
+    cannot push them through ``mapInPandas``."""
+    if scorer is None:
+        return prompts.select(id_col, "task", standin_raw(F.col("task"), F.col("input")).alias("raw"))
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("task", T.StringType()),
                            T.StructField("raw", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = pd.Series([None] * len(b), index=b.index, dtype="object")
-            has_text = b["input"].fillna("").str.strip() != ""   # no model call for blank input
-            if has_text.any():
-                raw[has_text] = scorer(b[has_text]).values
-            yield pd.DataFrame({id_col: b[id_col], "task": b["task"], "raw": raw})
+            size = b["input"].fillna("").str.len()
+            for _, part in b.groupby((size.cumsum() - size) // MAX_BATCH_CHARS):
+                raw = pd.Series([None] * len(part), index=part.index, dtype="object")
+                has_text = part["input"].fillna("").str.strip() != ""   # no model call for blank input
+                if has_text.any():
+                    raw[has_text] = scorer(part[has_text]).values
+                yield pd.DataFrame({id_col: part[id_col], "task": part["task"], "raw": raw})
     return prompts.select(id_col, "task", "input").mapInPandas(run, schema)
 
 
@@ -174,8 +183,10 @@ def sentiment_fields(raw: Column) -> dict[str, Column]:
         "sentiment": F.when(~ok, F.lit("neutral"))
                       .when(label.isin(*SENTIMENT_LABELS), label).otherwise(F.lit("neutral")),
         "confidence": F.when(~ok, F.lit(0.5)).otherwise(F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0))),
-        "scores": F.when(~ok, fallback).otherwise(
-            F.coalesce(p["scores"], F.create_map().cast("map<string,double>"))),
+        # scores may be numbers or numeric strings; what is neither is left out
+        "scores": F.when(~ok, fallback).otherwise(F.coalesce(
+            F.map_filter(F.transform_values(p["scores"], lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull()),
+            F.create_map().cast("map<string,double>"))),
         "key_phrases": F.when(~ok, F.array().cast("array<string>")).otherwise(
             F.slice(F.coalesce(p["key_phrases"], F.array().cast("array<string>")), 1, MAX_PHRASES)),
     }

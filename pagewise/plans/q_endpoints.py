@@ -14,12 +14,11 @@ from pagewise.operators import scoring as SC
 from pagewise.operators.compare import compare_records
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.q_admission import BLOCK_PATTERNS, _URL_CTES, _dns
-from pagewise.plans.q_scoring import _SENT
+from pagewise.plans.q_scoring import _CONF_SQL, _LABEL_SQL
 from pagewise.plans.registry import REGISTRY, query
-from pagewise.plans.sqlfix import COMPLETIONS, CORPUS, PAIRS
+from pagewise.plans.sqlfix import CORPUS, PAIRS
 from pagewise.plans.sqlfrag import NONWS, readability_sql, sq, ws_count, ws_trim
 from pagewise.session import spread
-from pagewise.sources import fixtures as fx
 from pagewise.sources import tables as src
 from pagewise.sources.rich import pages_rich
 
@@ -37,17 +36,18 @@ _VERDICT_SQL = f"""{_URL_CTES},
             FROM pages p LEFT JOIN verdict v USING (url))"""
 
 
-def _gated_pages(spark, sf):
-    """Pages with the fetch-stage gates applied: URL verdict, size."""
-    pages = spread(src.pages(spark, sf))
+def _page_gates(spark, sf):
+    """(page_id, gate): the fetch-stage gates of each page, URL verdict first,
+    then size. Neither html nor text takes part in its joins."""
+    pages = src.pages(spark, sf).select("page_id", "url", (F.length("html") > MAX_HTML_CHARS).alias("too_long"))
     # Only the page URLs are gated; the resolver table is per host, so the
     # verdict of a page URL does not depend on which other URLs are present.
     urls = src.pages(spark, sf).select("url")
     v = A.url_verdict(urls, _dns(urls), BLOCK_PATTERNS).select("url", "ok")
     g = pages.join(v, "url", "left")
-    err = (F.when(~F.coalesce(F.col("ok"), F.lit(True)), F.lit("INVALID_URL"))
-            .when(F.length("html") > MAX_HTML_CHARS, F.lit("INVALID_CONTENT")))
-    return g.select("page_id", "url", "html", err.alias("error_code"))
+    gate = (F.when(~F.coalesce(F.col("ok"), F.lit(True)), F.lit("INVALID_URL"))
+             .when(F.col("too_long"), F.lit("INVALID_CONTENT")))
+    return g.select("page_id", gate.alias("gate"))
 
 
 @query("endpoint_extract", group="endpoints", oracle=f"""{_VERDICT_SQL},
@@ -66,12 +66,12 @@ SELECT page_id, error_code,
        CASE WHEN error_code IS NULL AND {ws_count('text')} >= 20 THEN flesch_reading_ease END AS flesch_reading_ease
 FROM rd""")
 def q_endpoint_extract(spark, sf):
-    g = _gated_pages(spark, sf)
-    c = P.content_record(g.select("page_id", "url", "html")).join(g.select("page_id", "error_code"), "page_id")
-    ok = F.col("error_code").isNull()
-    return c.select("page_id", "error_code",
-                    *[F.when(ok, F.col(x)).alias(x) for x in ("title", "word_count", "excerpt", "language")],
-                    F.when(ok, F.col("readability.flesch_reading_ease")).alias("flesch_reading_ease"))
+    fields = ["title", "word_count", "excerpt", "language", "flesch_reading_ease"]
+    c = P.content_record(spread(src.pages(spark, sf))).select(
+        "page_id", *fields[:-1], F.col("readability.flesch_reading_ease").alias("flesch_reading_ease"))
+    ok = F.col("gate").isNull()
+    return c.join(_page_gates(spark, sf), "page_id").select(
+        "page_id", F.col("gate").alias("error_code"), *[F.when(ok, F.col(x)).alias(x) for x in fields])
 
 
 @query("endpoint_seo", group="endpoints", oracle=f"""{_VERDICT_SQL},
@@ -89,81 +89,87 @@ SELECT page_id, error_code,
        CASE WHEN error_code IS NULL THEN external_links END AS external_links
 FROM f""")
 def q_endpoint_seo(spark, sf):
-    g = _gated_pages(spark, sf)
-    s = P.seo_record(g.select("page_id", "url", "html")).join(g.select("page_id", "error_code"), "page_id")
-    ok = F.col("error_code").isNull()
-    return s.select("page_id", "error_code", F.when(ok, F.col("title")).alias("title"),
-                    F.when(ok, F.size("h1_tags").cast("long")).alias("h1_count"),
-                    *[F.when(ok, F.col(x)).alias(x) for x in ("word_count", "internal_links", "external_links")])
+    fields = ["title", "h1_count", "word_count", "internal_links", "external_links"]
+    s = P.seo_record(spread(src.pages(spark, sf))).withColumn("h1_count", F.size("h1_tags").cast("long"))
+    ok = F.col("gate").isNull()
+    return s.select("page_id", *fields).join(_page_gates(spark, sf), "page_id").select(
+        "page_id", F.col("gate").alias("error_code"), *[F.when(ok, F.col(x)).alias(x) for x in fields])
 
 
 _FORMATS5 = "['tldr', 'bullets', 'key_takeaways', 'paragraph', 'haiku']"
 
-
-@query("endpoint_summarize", group="endpoints", oracle=f"""WITH {COMPLETIONS},
-  r AS (SELECT doc_id, text, {_FORMATS5}[doc_id % 5 + 1] AS format, (doc_id * 37) % 1100 AS max_length FROM documents),
-  e AS (SELECT *, CASE WHEN format NOT IN ('tldr', 'bullets', 'key_takeaways', 'paragraph') THEN 'VALIDATION_ERROR:format'
+# Pages by URL (behind the URL and size gates) and documents by text, as one request table.
+_MODEL_REQS = f"""{_VERDICT_SQL},
+  px AS (SELECT page_id, error_code,
+                {S.main_text(S.strip_boilerplate(S.strip_code(S.strip_comments('html'))))} AS m FROM gated),
+  mr AS (SELECT 'page:' || page_id AS request_id, page_id AS n, error_code AS gate,
+                CASE WHEN length(m) > 50000 THEN substr(m, 1, 50000) || '...' ELSE m END AS text FROM px
+         UNION ALL SELECT 'doc:' || doc_id, doc_id, CASE WHEN length(text) > 50000 THEN 'VALIDATION_ERROR:text'
+                          WHEN coalesce(text, '') = '' THEN 'MISSING_INPUT' END, text FROM documents)"""
+
+
+def _model_requests(spark, sf, fields):
+    """(request_id, n, gate, *fields) of page requests (by URL) and document
+    requests (by text); ``fields`` are computed from ``text`` row by row, and the
+    page gates join the small result."""
+    t = P.with_main_text(P.tag_stage(spread(src.pages(spark, sf))))
+    pages = t.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("request_id"),
+                     F.col("page_id").alias("n"), "page_id", *fields)
+    pages = pages.join(_page_gates(spark, sf), "page_id").drop("page_id")
+    gate = (F.when(F.length("text") > A.MAX_TEXT_CHARS, F.lit("VALIDATION_ERROR:text"))
+             .when(F.coalesce("text", F.lit("")) == "", F.lit("MISSING_INPUT")))
+    docs = spread(src.documents(spark, sf)).select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("request_id"), F.col("doc_id").alias("n"),
+        *fields, gate.alias("gate"))
+    return pages.unionByName(docs)
+
+
+@query("endpoint_summarize", group="endpoints", oracle=f"""{_MODEL_REQS},
+  e AS (SELECT *, {_FORMATS5}[n % 5 + 1] AS format, (n * 37) % 1100 AS max_length FROM mr),
+  f AS (SELECT *, CASE WHEN format NOT IN ('tldr', 'bullets', 'key_takeaways', 'paragraph') THEN 'VALIDATION_ERROR:format'
                        WHEN max_length < 20 OR max_length > 1000 THEN 'VALIDATION_ERROR:max_length'
-                       WHEN coalesce(length(text), 0) > 50000 THEN 'VALIDATION_ERROR:text'
-                       WHEN coalesce(text, '') = '' THEN 'MISSING_INPUT'
-                       WHEN NOT regexp_matches(text, {NONWS}) THEN 'NO_CONTENT' END AS error_code FROM r)
-SELECT e.doc_id, e.error_code, e.format,
-       CASE WHEN e.error_code IS NULL THEN {ws_count(ws_trim("coalesce(c.raw, '')"))} END AS summary_words,
-       CASE WHEN e.error_code IS NULL THEN {ws_count('e.text')} END AS original_words
-FROM e LEFT JOIN (SELECT doc_id, raw FROM completions WHERE task = 'summary') c USING (doc_id)""")
+                       WHEN gate IS NOT NULL THEN gate
+                       WHEN NOT regexp_matches(text, {NONWS}) THEN 'NO_CONTENT' END AS error_code FROM e)
+SELECT request_id, error_code, format,
+       CASE WHEN error_code IS NULL
+            THEN {ws_count(ws_trim(f"regexp_extract({ws_trim('substr(text, 1, 50000)')}, {sq(SC.FIRST_SENTENCE_RE)}, 0)"))} END AS summary_words,
+       CASE WHEN error_code IS NULL THEN {ws_count('text')} END AS original_words
+FROM f""")
 def q_endpoint_summarize(spark, sf):
-    """Text requests: validation and empty-input guards run before the
-    (expensive) model step; the completion for a valid request comes from the
-    completions table (a scorer run produces the same shape)."""
+    """Pages by URL and documents by text: gates and validation, then the prompt
+    input and the model step on what is valid, then the parsed summary."""
     fmts = A.SUMMARY_FORMATS + ["haiku"]
-    d = spread(src.documents(spark, sf)).select(
-        "doc_id", "text", F.get(F.array(*[F.lit(f) for f in fmts]), (F.col("doc_id") % 5).cast("int")).alias("format"),
-        ((F.col("doc_id") * 37) % 1100).alias("max_length"))
-    err = F.coalesce(A.validation_error(F.lit(None).cast("string"), F.col("text"), F.col("format"), F.col("max_length")),
-                     F.when(A.missing_input(F.lit(None).cast("string"), F.col("text")), F.lit("MISSING_INPUT")),
-                     F.when(A.no_content(F.col("text")), F.lit("NO_CONTENT")))
-    d = d.withColumn("error_code", err)
-    comp = fx.completions(spark, sf).filter(F.col("task") == "summary").select("doc_id", "raw")
-    j = d.join(comp, "doc_id", "left")
-    f = SC.summary_fields(F.col("raw"), F.col("text"))
-    ok = F.col("error_code").isNull()
-    return j.select("doc_id", "error_code", "format", F.when(ok, f["word_count"]).alias("summary_words"),
-                    F.when(ok, f["original_word_count"]).alias("original_words"))
-
-
-@query("endpoint_sentiment", group="endpoints", oracle=f"""WITH {_SENT}
-SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 'MISSING_INPUT'
-                      WHEN NOT regexp_matches(d.text, {NONWS}) THEN 'NO_CONTENT'
-                      WHEN length(d.text) > 50000 THEN 'VALIDATION_ERROR:text' END AS error_code,
-       s.sentiment, s.confidence
-FROM documents d JOIN sent s USING (doc_id)
-WHERE coalesce(d.text, '') <> '' AND regexp_matches(d.text, {NONWS}) AND length(d.text) <= 50000
-UNION ALL
-SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'MISSING_INPUT'
-                    WHEN NOT regexp_matches(text, {NONWS}) THEN 'NO_CONTENT' ELSE 'VALIDATION_ERROR:text' END,
-       NULL, NULL
-FROM documents WHERE coalesce(text, '') = '' OR NOT regexp_matches(text, {NONWS}) OR length(text) > 50000""")
+    raw = SC.standin_raw(F.lit("summary"), F.substring("text", 1, SC.TASK_PARAMS["summary"][0]))
+    f = SC.summary_fields(raw, F.col("text"))
+    d = _model_requests(spark, sf, [A.no_content(F.col("text")).alias("blank"), f["word_count"].alias("summary_words"),
+                                    f["original_word_count"].alias("original_words")])
+    d = d.select("*", F.get(F.array(*[F.lit(x) for x in fmts]), (F.col("n") % 5).cast("int")).alias("format"),
+                 ((F.col("n") * 37) % 1100).alias("max_length"))
+    none = F.lit(None).cast("string")
+    err = F.coalesce(A.validation_error(none, none, F.col("format"), F.col("max_length")), F.col("gate"),
+                     F.when(F.col("blank"), F.lit("NO_CONTENT")))
+    ok = err.isNull()
+    return d.select("request_id", err.alias("error_code"), "format",
+                    *[F.when(ok, F.col(c)).alias(c) for c in ("summary_words", "original_words")])
+
+
+@query("endpoint_sentiment", group="endpoints", oracle=f"""{_MODEL_REQS},
+  f AS (SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN NOT regexp_matches(text, {NONWS}) THEN 'NO_CONTENT' END AS error_code FROM mr)
+SELECT request_id, error_code, CASE WHEN error_code IS NULL THEN {_LABEL_SQL} END AS sentiment,
+       CASE WHEN error_code IS NULL THEN {_CONF_SQL} END AS confidence FROM f""")
 def q_endpoint_sentiment(spark, sf):
-    d = spread(src.documents(spark, sf)).select("doc_id", "text")
-    err = (F.when(A.missing_input(F.lit(None).cast("string"), F.col("text")), F.lit("MISSING_INPUT"))
-            .when(is_blank(F.col("text")), F.lit("NO_CONTENT"))
-            .when(F.length("text") > A.MAX_TEXT_CHARS, F.lit("VALIDATION_ERROR:text")))
-    d = d.withColumn("error_code", err)
-    good = d.filter(F.col("error_code").isNull())
-    comp = fx.completions(spark, sf).filter(F.col("task") == "sentiment").select("doc_id", "raw")
+    raw = SC.standin_raw(F.lit("sentiment"), F.substring("text", 1, SC.TASK_PARAMS["sentiment"][0]))
+    d = _model_requests(spark, sf, [is_blank(F.col("text")).alias("blank"), raw.alias("raw")])
+    err = F.coalesce("gate", F.when(F.col("blank"), F.lit("NO_CONTENT")))
     f = SC.sentiment_fields(F.col("raw"))
-    parsed = good.join(comp, "doc_id").select("doc_id", "error_code", f["sentiment"].alias("sentiment"),
-                                              f["confidence"].alias("confidence"))
-    bad = d.filter(F.col("error_code").isNotNull()).select(
-        "doc_id", "error_code", F.lit(None).cast("string").alias("sentiment"), F.lit(None).cast("double").alias("confidence"))
-    return parsed.unionByName(bad)
+    return d.select("request_id", err.alias("error_code"), *[F.when(err.isNull(), f[c]).alias(c) for c in
+                                                             ("sentiment", "confidence")])
 
 
 @query("endpoint_analyze", group="endpoints")
 def q_endpoint_analyze(spark, sf):
     """pages_rich -> content (images on) + SEO off one tag stage -> no-content
-    guard -> three model tasks through the scorer hook -> gathered -> quality
-    score. Rows-only check: the stand-in scorer is Python."""
+    guard -> three model tasks (stand-in column) -> quality score, row by row."""
     pages = spread(pages_rich(spark, sf))
     q = AN.page_quality(pages)
     ts = P.with_main_text(P.tag_stage(pages)).select("page_id", "text")

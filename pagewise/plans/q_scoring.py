@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewise.functions.text import is_blank, round_half_even
+from pagewise.functions.text import is_blank, round_half_even, ws_word_count
 from pagewise.operators import scoring as SC
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfix import COMPLETIONS
@@ -52,11 +52,11 @@ SELECT d.doc_id, tk.task, length(substr(d.text, 1, tk.lim))::BIGINT AS input_cha
        length(d.text) > tk.lim AS truncated
 FROM dopt d, {_TASKS_SQL}""")
 def q_prompt_truncate(spark, sf):
-    p = SC.prompt_table(_docs_with_options(spark, sf), spark)
-    lim = F.create_map(*[x for t, v in SC.TASK_PARAMS.items() for x in (F.lit(t), F.lit(v[0]))])
-    d = p.join(src.documents(spark, sf).select("doc_id", F.length("text").alias("n")), "doc_id")
-    return d.select("doc_id", "task", F.length("input").cast("long").alias("input_chars"),
-                    (F.col("n") > lim[F.col("task")]).alias("truncated"))
+    d = _docs_with_options(spark, sf).select("doc_id", F.length("text").alias("n"))
+    tasks = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(v[0]).alias("lim")) for t, v in SC.TASK_PARAMS.items()])
+    d = d.select("doc_id", "n", F.explode(tasks).alias("t"))
+    return d.select("doc_id", "t.task", F.least("n", "t.lim").cast("long").alias("input_chars"),
+                    (F.col("n") > F.col("t.lim")).alias("truncated"))
 
 
 @query("prompt_table", group="scoring", oracle=f"""WITH {_DOCOPT}
@@ -73,12 +73,26 @@ def q_prompt_table(spark, sf):
                     F.md5("system_prompt").alias("prompt_md5"))
 
 
-@query("score_local", group="scoring")
+def standin_sentiment(text: str) -> tuple[str, str]:
+    """SQL for the stand-in model's label and confidence."""
+    low = f"list_transform(regexp_extract_all(substr({text}, 1, 10000), '[a-zA-Z]+'), lambda w: lower(w))"
+
+    def hits(ws: list[str]) -> str:
+        return f"len(list_filter({low}, lambda w: w IN ({', '.join(sq(w) for w in ws)})))"
+    p, n = hits(SC.POSITIVE_WORDS), hits(SC.NEGATIVE_WORDS)
+    label = (f"CASE WHEN {p} + {n} = 0 THEN 'neutral' WHEN {p} = {n} THEN 'mixed' WHEN {p} > {n} THEN 'positive' "
+             "ELSE 'negative' END")
+    return label, f"CASE WHEN {p} + {n} = 0 THEN 0.5 ELSE {r(f'greatest({p}, {n}) / ({p} + {n})', 2)} END"
+
+
+_LABEL_SQL, _CONF_SQL = standin_sentiment("text")
+
+
+@query("score_local", group="scoring", oracle=f"""SELECT doc_id, {_LABEL_SQL} AS sentiment, {_CONF_SQL} AS confidence
+FROM documents WHERE regexp_matches(text, {NONWS})""")
 def q_score_local(spark, sf):
-    """Prompt table -> Arrow-batched stand-in scorer -> parsed sentiment."""
-    p = SC.prompt_table(_docs_with_options(spark, sf), spark)
-    scored = SC.score(p)
-    s = scored.filter(F.col("task") == "sentiment")
+    """Prompt table -> stand-in scorer -> parsed sentiment."""
+    s = SC.score(SC.prompt_table(_docs_with_options(spark, sf), spark).filter(F.col("task") == "sentiment"))
     f = SC.sentiment_fields(F.col("raw"))
     return s.select("doc_id", f["sentiment"].alias("sentiment"), f["confidence"].alias("confidence"))
 
@@ -93,10 +107,11 @@ SELECT c.doc_id, {ws_trim("coalesce(c.raw, '')")} AS summary, {ws_count(ws_trim(
 FROM completions c JOIN documents d USING (doc_id) WHERE c.task = 'summary'""")
 def q_summary_record(spark, sf):
     c = _completions(spark, sf).filter(F.col("task") == "summary")
-    d = c.join(src.documents(spark, sf).select("doc_id", "text"), "doc_id")
-    f = SC.summary_fields(F.col("raw"), F.col("text"))
+    # the original's word count is taken before the join, so that no text is shuffled
+    d = c.join(src.documents(spark, sf).select("doc_id", ws_word_count(F.col("text")).alias("original_word_count")), "doc_id")
+    f = SC.summary_fields(F.col("raw"), F.lit(""))
     return d.select("doc_id", f["summary"].alias("summary"), f["word_count"].alias("word_count"),
-                    f["original_word_count"].alias("original_word_count"), F.lit(SC.MODEL).alias("model_used"))
+                    "original_word_count", F.lit(SC.MODEL).alias("model_used"))
 
 
 _LABELS = ", ".join(sq(x) for x in SC.SENTIMENT_LABELS)
