@@ -190,7 +190,6 @@ def archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
                         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     marked = rows.withColumn("sha", F.sha1("html"))
     tops = rows.select("page_id", F.sha1("html").alias("sha")).groupBy("sha").agg(F.max("page_id").alias("top"))
-    # only payloads that occur more than once need a lookup; the others are their own top
     marked = marked.join(tops.hint("shuffle_hash"), "sha").select("page_id", "url", "html", "sha", "top")
     index = cut_lineage(marked.mapInArrow(_write(folder, level, file_bytes), _INDEX), "warc_index")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // part_lines))
@@ -283,7 +282,9 @@ def lookup(held: Archive, keys: DataFrame, read_ahead: int = READ_AHEAD) -> Data
     routed = keys.select("surt", "place").distinct().mapInArrow(route, "part long, surt string, place long")
     found = routed.groupBy("part").cogroup(held.directory.groupBy("part")).applyInArrow(
         _find(held.folder), "file string, offset long, length long")
-    ordered = found.repartition("file").sortWithinPartitions("file", "offset")
+    # as many readers as partitions: rows are small, but each stands for a range read
+    readers = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = found.repartition(readers, "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_read(held.folder, read_ahead), "page_id long, url string, record_type string, "
                               "payload_digest string, payload_bytes long, refers_to long")
 
