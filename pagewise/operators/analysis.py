@@ -7,7 +7,9 @@ here both happen once per row, with no join between the halves)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewise.functions import html as H
@@ -21,7 +23,9 @@ DEFAULT_SENTENCES = 1       # used when readability is not computed (< 20 words)
 DEFAULT_FLESCH = 50.0
 
 
-def quality_inputs(pages: DataFrame) -> DataFrame:
+def quality_inputs(pages: DataFrame, text_fields: Sequence[Column] = ()) -> DataFrame:
+    """Inputs of the quality score per page; ``text_fields`` are further columns
+    over the main text (``text``), computed in the same pass."""
     ts = P.with_main_text(P.tag_stage(pages))
     s2 = ts.select("page_id", "url", "clean", "text",
                    H.meta_structs(F.col("clean")).alias("metas"),
@@ -42,6 +46,7 @@ def quality_inputs(pages: DataFrame) -> DataFrame:
         (F.coalesce(canon, F.lit("")) != "").alias("has_canonical"),
         (F.coalesce(og_title, F.lit("")) != "").alias("has_open_graph"),
         (F.size(P.schema_items(F.col("ld"))) > 0).alias("has_schema_markup"),
+        *text_fields,
     )
     staged = with_text_stats(s3, "text")
     m = readability_metrics()
@@ -53,8 +58,8 @@ def quality_inputs(pages: DataFrame) -> DataFrame:
         F.when(gate, m["flesch_reading_ease"]).otherwise(F.lit(DEFAULT_FLESCH)).alias("flesch_reading_ease"))
 
 
-def page_quality(pages: DataFrame) -> DataFrame:
-    qi = quality_inputs(pages)
+def page_quality(pages: DataFrame, text_fields: Sequence[Column] = ()) -> DataFrame:
+    qi = quality_inputs(pages, text_fields)
     cols = Q.quality_columns(
         F.col("word_count"), F.col("sentence_count"), F.col("flesch_reading_ease"),
         F.col("h1_count"), F.col("h2_count"), F.col("total_images"), F.col("images_without_alt"),

@@ -3,8 +3,8 @@ request-log metrics over a request log.
 
 Scale notes: one caller may own a third of the log. Counts and sums use
 partial (map-side) aggregation; the per-caller running count used for quota
-ordinals is computed in two phases (per caller-month-hour ranks plus a prefix
-sum over the small per-hour count table) so no single task sorts a hot
+ordinals is computed in two phases (per caller-month-minute ranks plus a prefix
+sum over the small per-minute count table) so no single task sorts a hot
 caller's whole month; exact latency percentiles are taken from a
 (group, latency) histogram whose size is bounded by the distinct latency
 values, not by the row count.
@@ -117,7 +117,7 @@ def quota_ordinal(req: DataFrame, tiers: DataFrame) -> DataFrame:
     """nth call of the caller in the month; within quota or not; the action
     past the quota: blocked (no overage price) or billed as overage."""
     r = with_tier(req, tiers).withColumn("period_start", F.date_trunc("month", "ts"))
-    o = running_ordinal(r, ["caller", "period_start"], ["ts", "request_id"], F.date_trunc("hour", "ts"))
+    o = running_ordinal(r, ["caller", "period_start"], ["ts", "request_id"], F.date_trunc("minute", "ts"))
     in_q = F.col("calls_per_month").isNull() | (F.col("ordinal") <= F.col("calls_per_month"))
     return o.select("request_id", "caller", "tier", "period_start", "ordinal",
                     F.col("calls_per_month").alias("calls_limit"), in_q.alias("in_quota"),

@@ -166,29 +166,40 @@ def q_endpoint_sentiment(spark, sf):
                                                              ("sentiment", "confidence")])
 
 
-@query("endpoint_analyze", group="endpoints")
+def _analyze_oracle() -> str:
+    from pagewise.plans import q_rich
+    long_words = "list_filter(regexp_extract_all(substr(text, 1, 8000), '[a-zA-Z]+'), lambda w: length(w) > 3)"
+    first = f"regexp_extract({ws_trim('substr(text, 1, 50000)')}, {sq(SC.FIRST_SENTENCE_RE)}, 0)"
+    return f"""
+SELECT page_id, g.url, e AS error_code, m.word_count, q.total_score, q.grade,
+       CASE WHEN e IS NULL THEN m.summary_words END AS summary_words, CASE WHEN e IS NULL THEN m.sentiment END AS sentiment,
+       CASE WHEN e IS NULL THEN 'other' END AS category, CASE WHEN e IS NULL THEN m.n_keywords END AS n_keywords
+FROM (SELECT g.*, m.blank, coalesce(g.error_code, CASE WHEN m.blank THEN 'NO_CONTENT' END) AS e
+      FROM ({_VERDICT_SQL} SELECT page_id, url, error_code FROM gated) g
+      JOIN (WITH {q_rich._MT_RICH} SELECT page_id, NOT regexp_matches(text, {NONWS}) AS blank FROM mt) m USING (page_id)) g
+JOIN ({REGISTRY['quality_rich'].oracle}) q USING (page_id)
+JOIN (WITH {q_rich._MT_RICH} SELECT page_id, {ws_count('text')} AS word_count, {ws_count(ws_trim(first))} AS summary_words,
+             {_LABEL_SQL} AS sentiment, least(10, len(list_distinct({long_words})))::BIGINT AS n_keywords FROM mt) m USING (page_id)"""
+
+
+@query("endpoint_analyze", group="endpoints", oracle=_analyze_oracle())
 def q_endpoint_analyze(spark, sf):
-    """pages_rich -> content (images on) + SEO off one tag stage -> no-content
-    guard -> three model tasks (stand-in column) -> quality score, row by row."""
-    pages = spread(pages_rich(spark, sf))
-    q = AN.page_quality(pages)
-    ts = P.with_main_text(P.tag_stage(pages)).select("page_id", "text")
-    # Blank texts get no model call: the scorer skips blank inputs (a filter
-    # here would be pushed below the extraction and re-run it).
-    prompts = SC.prompt_table(ts, spark, id_col="page_id", text_col="text")
-    g = SC.gather(SC.score(prompts, id_col="page_id"), id_col="page_id")
-    s = SC.sentiment_fields(F.col("sentiment_raw"))
-    k = SC.keyword_fields(F.col("keywords_raw"))
-    sm = SC.summary_fields(F.col("summary_raw"), F.lit(""))
-    llm = g.select("page_id", sm["word_count"].alias("summary_words"), s["sentiment"].alias("sentiment"),
-                   k["category"].alias("category"), F.size(k["keywords"]).alias("n_keywords"))
-    out = q.select("page_id", "url", "word_count", "total_score", "grade").join(llm, "page_id", "left")
-    # a text with no whitespace-separated token is blank -> NO_CONTENT, no model fields
-    blank = F.col("word_count") == 0
-    return out.select("page_id", "url", F.when(blank, F.lit("NO_CONTENT")).alias("error_code"),
-                      "word_count", "total_score", "grade",
-                      *[F.when(~blank, F.col(c)).alias(c) for c in ("summary_words", "sentiment", "category",
-                                                                   "n_keywords")])
+    """pages_rich -> content + SEO + quality score and the three model tasks
+    (stand-in columns) in one pass over the pages; then the page gates, joined to
+    the small records, and the no-content guard."""
+    def raw(task: str):
+        return SC.standin_raw(F.lit(task), F.substring("text", 1, SC.TASK_PARAMS[task][0]))
+    k = SC.keyword_fields(raw("keywords"))
+    fields = [is_blank(F.col("text")).alias("blank"),
+              SC.summary_fields(raw("summary"), F.lit(""))["word_count"].alias("summary_words"),
+              SC.sentiment_fields(raw("sentiment"))["sentiment"].alias("sentiment"),
+              k["category"].alias("category"), F.size(k["keywords"]).cast("long").alias("n_keywords")]
+    q = AN.page_quality(spread(pages_rich(spark, sf)), fields).select(
+        "page_id", "url", "word_count", "total_score", "grade", "blank", "summary_words", "sentiment", "category", "n_keywords")
+    err = F.coalesce("gate", F.when(F.col("blank"), F.lit("NO_CONTENT")))
+    return q.join(_page_gates(spark, sf), "page_id").select(
+        "page_id", "url", err.alias("error_code"), "word_count", "total_score", "grade",
+        *[F.when(err.isNull(), F.col(c)).alias(c) for c in ("summary_words", "sentiment", "category", "n_keywords")])
 
 
 def _page_texts(spark, sf):

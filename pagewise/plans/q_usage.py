@@ -122,12 +122,14 @@ def q_quota_ordinal(spark, sf):
 
 
 @query("rate_violations", group="usage", oracle=f"""WITH req AS {_req_sql(True)}, m AS (
-    SELECT caller, t.tier, t.rate_per_minute, time_bucket(INTERVAL 1 MINUTE, q.ts) AS window_start, count(*)::BIGINT AS n_calls
+    SELECT caller % 7 AS caller, t.tier, t.rate_per_minute, time_bucket(INTERVAL 1 MINUTE, q.ts) AS window_start, count(*)::BIGINT AS n_calls
     FROM req q JOIN {_tiers_sql(False)} t ON t.tier = {_EFF.replace('tier', 'q.tier')} GROUP BY ALL)
 SELECT caller, tier, window_start, n_calls, rate_per_minute AS rate_limit
 FROM m WHERE rate_per_minute IS NOT NULL AND n_calls > rate_per_minute""")
 def q_rate_violations(spark, sf):
-    return M.rate_violations(_req(spark, sf, dense=True), RQ.tiers(spark))
+    """Few callers on the dense clock, so that limits are reached."""
+    req = _req(spark, sf, dense=True).withColumn("caller", F.col("caller") % RQ.N_CALLERS)
+    return M.rate_violations(req, RQ.tiers(spark))
 
 
 @query("request_metrics", group="usage", oracle=f"""WITH {_REQ}

@@ -100,9 +100,9 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 3, F.concat(F.lit("Summary: "), w[0]))
          .when(k == 4, F.lit(""))
          .otherwise(F.concat(w[0], F.lit(" and "), w[1])))
-    parts = [d.select("doc_id", F.lit(t).alias("task"), c.alias("raw"))
-             for t, c in (("summary", summary), ("sentiment", sentiment), ("keywords", keywords))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tasks = F.array(*[F.struct(F.lit(t).alias("task"), c.alias("raw"))
+                      for t, c in (("summary", summary), ("sentiment", sentiment), ("keywords", keywords))])
+    return d.select("doc_id", F.explode(tasks).alias("t")).select("doc_id", "t.task", "t.raw")
 
 
 def derived_dns(urls: DataFrame) -> DataFrame:
