@@ -52,6 +52,11 @@ def with_request_key(req: DataFrame) -> DataFrame:
             .withColumn("request_digest", F.concat(F.col("endpoint"), F.lit(":"), F.sha2(data, 256))))
 
 
+def identity(user: Column, address: Column) -> Column:
+    """Who a request counts for: the named subscriber, else the client address."""
+    return F.coalesce(F.nullif(user.cast("string"), F.lit("")), address)
+
+
 def effective_tier(tier: Column) -> Column:
     """Unknown tiers fall back to the free tier."""
     return F.when(tier.isin(*KNOWN_TIERS), tier).otherwise(F.lit(DEFAULT_TIER))

@@ -3,19 +3,32 @@ files (availableNow) into a parquet sink and returns the sink."""
 
 from __future__ import annotations
 
-from pagewise.plans import sqlhtml as S
+from pyspark.sql import functions as F
+
 from pagewise.plans.q_usage import _MISSES, _req_sql
-from pagewise.plans.registry import query
-from pagewise.plans.sqlfrag import ws_count
+from pagewise.plans.registry import REGISTRY, query
 from pagewise.streaming import streams as ST
 
 
-@query("stream_enrich", group="streaming", oracle=f"""WITH ts AS (
-    SELECT page_id, url, {S.strip_code(S.strip_comments('html'))} AS clean FROM pages)
-SELECT page_id, url, {S.title('clean')} AS title, {S.html_lang('clean')} AS language,
-       {ws_count(S.body_text('clean'))} AS word_count FROM ts""")
+def _unmasked(name: str) -> str:
+    """The SQL of an endpoint's records without its gates."""
+    from pagewise.plans import q_endpoints  # noqa: F401 — registers the endpoints
+    sql = REGISTRY[name].oracle
+    return f"SELECT * EXCLUDE (error_code) FROM ({sql.replace('error_code IS NULL', 'true')})"
+
+
+@query("stream_enrich", group="streaming", oracle=_unmasked("endpoint_seo"))
 def q_stream_enrich(spark, sf):
-    return ST.run_available(ST.enrichment_stream(ST.read_stream(spark, sf, "pages")), "enrich")
+    out = ST.run_available(ST.enrichment_stream(ST.read_stream(spark, sf, "pages")), "enrich")
+    return out.select("page_id", "title", F.size("h1_tags").cast("long").alias("h1_count"), "word_count",
+                      "internal_links", "external_links")
+
+
+@query("stream_extract", group="streaming", oracle=_unmasked("endpoint_extract"))
+def q_stream_extract(spark, sf):
+    out = ST.run_available(ST.extraction_stream(ST.read_stream(spark, sf, "pages")), "extract")
+    return out.select("page_id", "title", "word_count", "excerpt", "language",
+                      F.col("readability.flesch_reading_ease").alias("flesch_reading_ease"))
 
 
 @query("stream_dedup", group="streaming", oracle=f"""{_MISSES}
@@ -35,6 +48,14 @@ def q_stream_minute_metering(spark, sf):
     return ST.run_available(s, "metering", "update", keys=["window_start", "caller"])
 
 
+@query("stream_sliding_metering", group="streaming", oracle=f"""WITH req AS {_req_sql(True)}
+SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS window_start, caller, count(*)::BIGINT AS n_calls
+FROM req, range(5) AS r(k) GROUP BY ALL""")
+def q_stream_sliding_metering(spark, sf):
+    s = ST.minute_metering(ST.requests_stream(spark, sf, dense=True), "5 minutes", "1 minute")
+    return ST.run_available(s, "sliding", "update", keys=["window_start", "caller"])
+
+
 @query("stream_sessions", group="streaming", oracle=f"""WITH req AS {_req_sql(True)},
   g AS (SELECT caller, ts, endpoint,
                CASE WHEN lag(ts) OVER (PARTITION BY caller ORDER BY ts) IS NULL

@@ -9,6 +9,7 @@ from pagewise.operators import metering as M
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import r
 from pagewise.sources import requests as RQ
+from pagewise.sources import tables as src
 
 _TIERS_ROWS = ", ".join(
     f"('{t}', '{n}', {p if p is not None else 'NULL'}::DOUBLE, "
@@ -62,6 +63,18 @@ def q_request_key(spark, sf):
     return M.with_request_key(_req(spark, sf)).select("request_id", "endpoint", "request_key")
 
 
+@query("caller_identity", group="usage", oracle="""
+SELECT CASE WHEN user_id % 4 <> 1 THEN 'u' || user_id ELSE '198.51.100.' || (user_id % 250) END AS caller, count(*)::BIGINT AS n_requests
+FROM events GROUP BY ALL""")
+def q_caller_identity(spark, sf):
+    """Requests per identity; every fourth user sends no name (empty or null)."""
+    user = F.col("user_id")
+    named = F.when(user % 4 != 1, F.concat(F.lit("u"), user.cast("string"))).when(user % 8 == 1, F.lit(""))
+    ip = F.concat(F.lit("198.51.100."), (user % 250).cast("string"))
+    ev = src.events(spark, sf).select(M.identity(named, ip).alias("caller"))
+    return ev.groupBy("caller").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
 @query("tier_lookup", group="usage", oracle=f"""WITH {_REQ}
 SELECT q.tier AS requested_tier, t.tier, count(*)::BIGINT AS n_requests, t.calls_per_month, t.rate_per_minute
 FROM req q JOIN {_tiers_sql(False)} t ON t.tier = {_EFF.replace('tier', 'q.tier')}

@@ -4,9 +4,10 @@ The transformations are the same functions the batch queries use (they are
 row-local or aggregate with watermarks), so a stream and a batch over the
 same files agree:
 
-  enrichment_stream     pages arriving as files -> SEO fields (stateless)
+  enrichment_stream     pages arriving as files -> SEO records (stateless)
+  extraction_stream     pages arriving as files -> content records (stateless)
   dedup_stream          drop repeats of a request key within the TTL
-  minute_metering       tumbling per-minute counts per caller (watermarked)
+  minute_metering       tumbling or sliding counts per caller (watermarked)
   sessions              30-minute-gap caller sessions (session_window)
 
 ``run_available`` drives a stream with ``trigger(availableNow=True)`` into a
@@ -26,8 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagewise.functions import html as H
-from pagewise.functions.text import ws_word_count
 from pagewise.operators import metering as M
 from pagewise.operators import pages as P
 from pagewise.session import shared_path
@@ -54,11 +53,13 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrichment_stream(pages: DataFrame) -> DataFrame:
-    """Stateless: title, language and visible word count per arriving page."""
-    ts = P.tag_stage(pages)
-    return ts.select("page_id", "url", H.title(F.col("clean")).alias("title"),
-                     H.html_lang(F.col("clean")).alias("language"),
-                     ws_word_count(H.body_text(F.col("clean"))).alias("word_count"))
+    """Stateless: the SEO record of each arriving page."""
+    return P.seo_record(pages)
+
+
+def extraction_stream(pages: DataFrame) -> DataFrame:
+    """Stateless: the content record of each arriving page."""
+    return P.content_record(pages)
 
 
 DEDUP_SCHEMA = "request_id long, request_key string, ts timestamp, endpoint string"
@@ -90,9 +91,10 @@ def dedup_stream(requests: DataFrame, ttl: str = TTL) -> DataFrame:
         keep, DEDUP_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def minute_metering(requests: DataFrame, window: str = "1 minute") -> DataFrame:
+def minute_metering(requests: DataFrame, window: str = "1 minute", slide: str | None = None) -> DataFrame:
+    """Calls per caller and window; tumbling, or sliding by ``slide``."""
     return (requests.withWatermark("ts", LATE_ROWS)
-                    .groupBy(F.window("ts", window).alias("w"), "caller")
+                    .groupBy(F.window("ts", window, slide).alias("w"), "caller")
                     .agg(F.count(F.lit(1)).alias("n_calls"))
                     .select(F.col("w.start").alias("window_start"), "caller", "n_calls"))
 
