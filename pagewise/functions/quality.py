@@ -2,8 +2,7 @@
 
 Five components — depth 30, readability 20, structure 20, media 15, SEO 15 —
 a letter grade, and recommendation codes in a fixed emission order (first 8
-kept). The human-readable wording lives in a dimension table
-(``RECOMMENDATION_TEXT``) joined only where text is wanted.
+kept).
 """
 
 from __future__ import annotations
@@ -19,22 +18,6 @@ MAX_RECOMMENDATIONS = 8
 # Grade bands (lower bound, grade), highest first; below -> F.
 GRADES = [(90, "A+"), (80, "A"), (70, "B"), (60, "C"), (50, "D")]
 
-# Recommendation codes and our own wording.
-RECOMMENDATION_TEXT = {
-    "THIN_CONTENT": "Very little text; aim for at least 500 words.",
-    "SHORT_CONTENT": "Under 300 words; short pages tend to rank poorly.",
-    "HARD_TO_READ": "Hard to read; use shorter sentences and simpler words.",
-    "TOO_SIMPLE": "Very simple text; may read as too basic for a professional audience.",
-    "MULTIPLE_H1": "More than one H1; keep a single H1 per page.",
-    "MISSING_H1": "No H1 heading; add one main heading.",
-    "MISSING_H2": "No H2 subheadings; add some to structure the text.",
-    "IMAGES_WITHOUT_ALT": "Images without alt text; describe every image.",
-    "NO_IMAGES": "No images; relevant images help engagement.",
-    "NO_META_DESCRIPTION": "No meta description; add one for search snippets.",
-    "NO_OPEN_GRAPH": "No Open Graph tags; add them for link previews.",
-    "NO_SCHEMA": "No structured data; add JSON-LD markup.",
-}
-
 
 def depth_score(wc: Column) -> Column:
     return (F.when(wc >= 2000, 30).when(wc >= 1000, 25).when(wc >= 500, 20)

@@ -23,9 +23,6 @@ BLOCKED_V4 = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8",
 BLOCKED_V6 = ["::1/128", "fc00::/7", "fe80::/10"]
 
 # Verdict reason codes, in check order.
-REASONS = ["INVALID_SCHEME", "NO_HOST", "BLOCKED_HOST", "BLOCKED_PATTERN", "PRIVATE_ADDRESS",
-           "UNRESOLVABLE"]
-
 LOG_URL_MAX = 200
 
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import urls as U
 from pagewise.functions.text import is_blank
+from pagewise.operators.scoring import SUMMARY_FORMATS
 
+# Request limits.
 MAX_TEXT_CHARS = 50_000
 MIN_SUMMARY_WORDS, MAX_SUMMARY_WORDS = 20, 1000
-SUMMARY_FORMATS = ["tldr", "bullets", "key_takeaways", "paragraph"]
 
 # Error kind -> (http status, code); anything else is
 # 500 <STAGE>_FAILED.

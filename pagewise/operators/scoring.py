@@ -24,6 +24,7 @@ from pagewise.functions.text import is_blank, round_half_even, words, ws_trim, w
 
 MODEL = "local-standin-1"
 TASKS = ["summary", "sentiment", "keywords"]
+# Tasks, their parameters, formats, labels, categories, list caps and fallback scores.
 # Per task: input character limit, temperature, max output tokens, JSON mode.
 TASK_PARAMS = {
     "summary": (50_000, 0.3, 1000, False),

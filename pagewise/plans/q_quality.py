@@ -75,12 +75,22 @@ def q_quality_recommendations(spark, sf):
                     F.size("recommendations").cast("long").alias("n_recommendations"))
 
 
-@query("quality_record", group="quality")
+_PARTS = {"content_depth": "depth", "readability": "readability", "structure": "structure", "media": "media",
+          "seo_signals": "seo"}
+
+
+@query("quality_record", group="quality", oracle=f"""{_QI}
+SELECT page_id, url, ({_Q['total']})::BIGINT AS total_score, {_Q['grade']} AS grade,
+       {', '.join(f"({_Q[v]})::BIGINT AS {k}" for k, v in _PARTS.items())},
+       {', '.join(f"{n}::BIGINT AS max_{k}" for k, n in Q.MAX_SCORES.items())},
+       array_to_string({_Q['recs']}, ',') AS recommendations FROM qi""")
 def q_quality_record(spark, sf):
-    """Full record with breakdown / max_scores maps (nested: rows-only check)."""
-    q = _pq(spark, sf)
-    return q.select("page_id", "url", "total_score", "grade", Q.breakdown_map().alias("breakdown"),
-                    Q.max_scores_map().alias("max_scores"), "recommendations")
+    """Full record; its breakdown and max_scores maps are flattened to columns."""
+    q = _pq(spark, sf).withColumns({"breakdown": Q.breakdown_map(), "max_scores": Q.max_scores_map()})
+    return q.select("page_id", "url", "total_score", "grade",
+                    *[F.col("breakdown")[k].cast("long").alias(k) for k in _PARTS],
+                    *[F.col("max_scores")[k].cast("long").alias(f"max_{k}") for k in Q.MAX_SCORES],
+                    F.array_join("recommendations", ",").alias("recommendations"))
 
 
 @query("quality_rollup", group="quality", oracle=f"""{_QI}, g AS (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewise.functions import urls as U
+from pagewise.operators.scoring import KEYWORD_CATEGORIES, SENTIMENT_LABELS
 from pagewise.sources import tables as src
 
 # benchmark texts live in the same id space as documents, shifted by this.
@@ -52,9 +53,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Fixed values for the completions fixture (test inputs of our own).
-SENT_LABELS = ["positive", "negative", "neutral", "mixed"]
-CATEGORIES = ["technology", "business", "health", "science", "politics", "entertainment",
-              "sports", "education", "lifestyle", "other"]
+SENT_LABELS = SENTIMENT_LABELS
+CATEGORIES = KEYWORD_CATEGORIES
 OVERLONG_SENTIMENT = ('{"sentiment": "NEGATIVE", "confidence": 0.8, "key_phrases": ['
                       + ", ".join(f'"p{i}"' for i in range(8)) + "]}")
 OVERLONG_KEYWORDS = ('{"keywords": [' + ", ".join(f'"k{i}"' for i in range(12)) + '], "topics": ['

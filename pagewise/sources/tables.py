@@ -79,10 +79,6 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark")
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "labels")
-
-
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations")
 

@@ -23,6 +23,9 @@ CASES = {
     "http://192.168.1.1/": "PRIVATE_ADDRESS",
     "http://0.1.2.3/": "PRIVATE_ADDRESS",
     "http://localhost/admin": "PRIVATE_ADDRESS",
+    "http://six.example.com/": "PRIVATE_ADDRESS",
+    "http://[fe80::1]/": "PRIVATE_ADDRESS",
+    "http://[2001:db8::1]/": None,
     "http://[::1]/": "PRIVATE_ADDRESS",
     "http://[fd00::1]/": "PRIVATE_ADDRESS",
     "http://[fe80::1]/": "PRIVATE_ADDRESS",
@@ -33,11 +36,11 @@ CASES = {
     "http://example.com/a path with spaces": None,
 }
 DNS = [("example.com", "93.184.216.34"), ("localhost", "127.0.0.1"), ("mixed.example", "93.184.216.35"),
-       ("mixed.example", "192.168.0.7"), ("blocked.example", "93.184.216.36")]
+       ("mixed.example", "192.168.0.7"), ("blocked.example", "93.184.216.36"), ("six.example.com", "203.0.113.9"), ("six.example.com", "fd00::1")]
 
 
 def test_verdicts(spark):
     urls = spark.createDataFrame([(u,) for u in CASES], "url STRING")
     dns = spark.createDataFrame(DNS, "host STRING, ip STRING")
-    got = {r.url: r.reason for r in url_verdict(urls, dns, [" /secret ", "", "   "], spark).collect()}
+    got = {r.url: r.reason for r in url_verdict(urls, dns, [" /secret ", "", "   "]).collect()}
     assert got == CASES
