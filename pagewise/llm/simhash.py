@@ -211,8 +211,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS
     if not repeated.isEmpty():
         kept = (kept.join(repeated, "doc_id", "left_anti")
                 .unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    lone = rows.where(F.col("component_id").isNull()).select("fingerprint").distinct()
+    lone = rows.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fingerprint")).distinct()
     nulls = (docs.where(F.col("doc_id").isNull())
-             .withColumn("fingerprint", hex16(fingerprint_column(F.col("text"), shingle)))
-             .join(lone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]))
+             .withColumn("_fingerprint", hex16(fingerprint_column(F.col("text"), shingle)))
+             .join(lone, "_fingerprint", "left_semi").dropDuplicates(["_fingerprint"]))
     return kept.select(*docs.columns).unionByName(nulls.select(*docs.columns))

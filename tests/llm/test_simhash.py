@@ -130,6 +130,8 @@ def test_odd_rows(spark):
     assert got == plain_components([(d, plain_fingerprint(t)) for d, t, _ in ODD])
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
+    named = simhash.keep_one(df.withColumn("fingerprint", F.lit("mine")).withColumn("root", F.lit(1)))
+    assert {r.fingerprint for r in named.collect()} == {"mine"}
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
         (False, 1), (False, 2), (False, 4), (False, 7), (True, 0)]
 
