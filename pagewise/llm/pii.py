@@ -14,6 +14,11 @@ documents, is generalised where it stands in e's window, to the class of terms
 that share its first letters, if the class stays below the threshold; else it
 is removed.
 
+Most values are in one document only, so the same is estimated for the groups
+that a value belongs to (any value, its kind, e-mail domain, network, leading
+digits), and for values and groups alike also with all terms of the documents
+that hold them; such a term goes wherever it stands in those documents.
+
 One pass over the texts yields a table of document rows (spans, and terms near
 mentions) and, pre-aggregated in each task, document frequencies of terms and
 classes. The rest are counts and equi-joins on that table. The window keeps the
@@ -102,9 +107,26 @@ def terms(text: str | None) -> set[str]:
     return {w.strip(EDGES) for w in set(text.lower().split())} - {""} if text else set()
 
 
-def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> dict[tuple[str, str], set[tuple[int, int]]]:
-    """(entity, term) -> places of the term within ``window`` words of a mention.
-    Words that touch a span are no terms."""
+def entity_of(text: str, span: Span) -> str:
+    return f"{KINDS[span[0]]}:{text[span[1]:span[2]].lower()}"
+
+
+def groups_of(entity: str) -> list[str]:
+    """The groups of a value: all, its kind, and what it shares with values of one origin."""
+    kind, value = entity.split(":", 1)
+    if kind == "email":
+        own = [f"domain:{value.rsplit('@', 1)[1]}"]
+    elif kind == "ip":
+        parts = [str(int(p)) for p in value.split(".")]
+        own = [f"net:{'.'.join(parts[:n])}" for n in (2, 3)]
+    else:
+        digits = NON_DIGITS.sub("", value)
+        own = [f"{kind}-prefix:{digits[:n]}" for n in (3, 6)]
+    return ["any:", f"kind:{kind}", *own]
+
+
+def outside(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words that touch no span."""
     merged = sorted((s, e) for _, s, e in spans)
     words, touch = [], 0
     reach = 0
@@ -119,10 +141,18 @@ def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> dict[tuple
         word = raw.strip(EDGES)
         if word:
             words.append((start, start + len(word), word.lower()))
+    return words
+
+
+def near_terms(text: str, spans: list[Span], window: int = WINDOW, words: list[tuple[int, int, str]] | None = None
+               ) -> dict[tuple[str, str], set[tuple[int, int]]]:
+    """(entity, term) -> places of the term within ``window`` words of a mention.
+    Words that touch a span are no terms."""
+    words = outside(text, spans) if words is None else words
     starts = [w[0] for w in words]
     out: dict[tuple[str, str], set[tuple[int, int]]] = {}
-    for kind, s, e in spans:
-        entity = f"{KINDS[kind]}:{text[s:e].lower()}"
+    for span in spans:
+        entity, (_, s, e) = entity_of(text, span), span
         left, right = bisect_left(starts, s), bisect_right(starts, e - 1)
         for a, b, w in words[max(0, left - window):left] + words[right:right + window]:
             out.setdefault((entity, w), set()).add((a, b))
@@ -135,10 +165,14 @@ _SCAN = pa.schema([
     ("pairs", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()),
                                   ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))),
     ("classes", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))),
+    ("held", pa.list_(pa.string())),
+    ("words", pa.list_(pa.struct([("term", pa.string()),
+                                  ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))),
     ("term", pa.string()), ("n", pa.int64())])
 _SCAN_DDL = ("kind string, row_key long, doc_id long, text_key long, counts array<long>, base string, "
              "entities array<string>, pairs array<struct<entity:string,term:string,places:array<struct<start:long,"
-             "end:long>>>>, classes array<struct<entity:string,term:string>>, term string, n long")
+             "end:long>>>>, classes array<struct<entity:string,term:string>>, held array<string>, "
+             "words array<struct<term:string,places:array<struct<start:long,end:long>>>>, term string, n long")
 
 
 def joined(spans: list[Span]) -> str:
@@ -163,7 +197,12 @@ def _scan(window: int, class_letters: int):
                 part, rows = b.slice(at, SLICE_ROWS), []
                 for doc_id, text_key, text in zip(*(c.to_pylist() for c in part.columns)):
                     spans = base_spans(text)
-                    near = near_terms(text, spans, window) if spans else {}
+                    words = outside(text, spans) if spans else []
+                    near = near_terms(text, spans, window, words) if spans else {}
+                    entities = sorted({entity_of(text, s) for s in spans})
+                    places: dict[str, list[dict]] = {}
+                    for s, e, w in words:
+                        places.setdefault(w, []).append({"start": s, "end": e})
                     found = terms(text)
                     seen["term"].update(found)
                     seen["class"].update({t[:class_letters] for t in found})
@@ -171,11 +210,13 @@ def _scan(window: int, class_letters: int):
                     rows.append({
                         "kind": "doc", "row_key": key, "doc_id": doc_id, "text_key": text_key,
                         "counts": [kinds[k] for k in range(len(KINDS))], "base": joined(spans),
-                        "entities": sorted({f"{KINDS[k]}:{text[s:e].lower()}" for k, s, e in spans}),
+                        "entities": entities,
                         "pairs": [{"entity": e, "term": t, "places": [{"start": x, "end": y} for x, y in sorted(p)]}
                                   for (e, t), p in near.items()],
                         "classes": [{"entity": e, "term": c} for e, c in
-                                    sorted({(e, t[:class_letters]) for e, t in near})]})
+                                    sorted({(e, t[:class_letters]) for e, t in near})],
+                        "held": sorted({*entities, *(g for e in entities for g in groups_of(e))}),
+                        "words": [{"term": t, "places": p} for t, p in places.items()]})
                     key += 1
                 yield pa.RecordBatch.from_pylist(rows, _SCAN)
                 if len(seen["term"]) > FLUSH_TERMS:
@@ -214,6 +255,53 @@ def disclosures(scan: DataFrame, min_docs: int = MIN_DOCS, threshold: float = TH
                         F.when(general, F.lit(GENERALISED)).otherwise(F.lit(REMOVED)).alias("action"))
 
 
+def wide_disclosures(scan: DataFrame, min_docs: int = MIN_DOCS, threshold: float = THRESHOLD,
+                     class_letters: int = CLASS_LETTERS) -> DataFrame:
+    """As ``disclosures``, of values and their groups, from whole documents.
+
+    A term meets entities only if it can reach the threshold at all: beside e it
+    must be in at least df(t) (df(e) / N) ** (1 - threshold) documents, so in no
+    fewer beside any value, with the least df(e) that counts."""
+    docs = scan.where("kind = 'doc'")
+    total = docs.count()
+    docs = docs.where(F.size("held") > 0)
+    entities = docs.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    entities = cut_lineage(entities.where((F.col("df_e") >= min_docs) & (F.col("df_e") < total)), "wide_entities")
+    held = (docs.select("row_key", F.explode("held").alias("entity"))
+            .join(entities.select("entity"), "entity", "left_semi"))
+    words = docs.select("row_key", F.explode("words.term").alias("term"))
+
+    def df(kind: str, wanted: DataFrame) -> DataFrame:
+        return (scan.where(F.col("kind") == kind).select("term", "n").join(wanted.select("term"), "term", "left_semi")
+                .groupBy("term").agg(F.sum("n").alias("df_t")))
+
+    def value(both: DataFrame) -> DataFrame:
+        n = F.lit(float(max(total, 1)))
+        share = F.log2(n * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log2(n / F.col("df_e"))
+        return both.join(entities, "entity").select("entity", "term", share.alias("disclosure"))
+
+    with_any = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_any")).where(F.col("df_any") >= min_docs)
+    least = (min_docs / max(total, min_docs, 1)) ** max(0.0, 1 - threshold) * (1 - 1e-9)
+    with_any = cut_lineage(with_any, "wide_terms")
+    terms_ = cut_lineage(with_any.join(df("term", with_any), "term").where(F.col("df_any") >= F.col("df_t") * least)
+                         .select("term", "df_t"), "wide_candidates")
+    both = (words.join(terms_.select("term"), "term", "left_semi").join(held, "row_key").groupBy("entity", "term")
+            .agg(F.count(F.lit(1)).alias("df_te")).where(F.col("df_te") >= min_docs).join(terms_, "term"))
+    found = cut_lineage(value(both).where(F.col("disclosure") >= threshold)
+                        .withColumn("class", F.substring("term", 1, class_letters)), "wide_found")
+
+    pairs = found.select("entity", F.col("class").alias("term")).distinct()
+    wanted = cut_lineage(pairs, "wide_classes")
+    names = wanted.select("term").distinct()
+    near = words.select("row_key", F.substring("term", 1, class_letters).alias("term")).join(names, "term", "left_semi")
+    both = (near.distinct().join(held, "row_key").join(wanted, ["entity", "term"], "left_semi").groupBy("entity", "term")
+            .agg(F.count(F.lit(1)).alias("df_te")).join(df("class", names), "term"))
+    classes = value(both).select("entity", F.col("term").alias("class"), F.col("disclosure").alias("class_value"))
+    general = (F.col("class_value") < threshold) & (F.length("term") > class_letters)
+    return found.join(classes, ["entity", "class"], "left").select(
+        "entity", "term", "disclosure", F.when(general, F.lit(GENERALISED)).otherwise(F.lit(REMOVED)).alias("action"))
+
+
 def inspect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
             min_docs: int = MIN_DOCS, threshold: float = THRESHOLD, class_letters: int = CLASS_LETTERS) -> DataFrame:
     """One row per document: ``id_col``, ``text_key`` (the text's 64-bit hash),
@@ -231,7 +319,14 @@ def inspect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     held = scan.where("kind = 'doc'")
     placed = (held.select("row_key", F.explode("pairs").alias("p"))
               .select("row_key", "p.entity", "p.term", "p.places").join(found, ["entity", "term"])
-              .select("row_key", F.explode("places").alias("place"), (F.col("action") == REMOVED).alias("gone")))
+              .select("row_key", "places", (F.col("action") == REMOVED).alias("gone")))
+    wide = cut_lineage(wide_disclosures(scan, min_docs, threshold, class_letters), "wide_disclosures")
+    everywhere = (held.select("row_key", F.explode("words").alias("w")).select("row_key", "w.term", "w.places")
+                  .join(wide.select("term", "entity", "action"), "term")
+                  .join(held.select("row_key", F.explode("held").alias("entity")), ["row_key", "entity"])
+                  .groupBy("row_key", "term").agg(F.first("places").alias("places"),
+                                                  F.max(F.col("action") == REMOVED).alias("gone")).drop("term"))
+    placed = placed.unionByName(everywhere).select("row_key", F.explode("places").alias("place"), "gone")
     placed = placed.groupBy("row_key", "place").agg(F.max("gone").alias("gone"))
     more = placed.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.struct("gone", "place.start", "place.end"))).alias("more"))

@@ -132,3 +132,37 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in clean.collect() if r.doc_id not in (1, 3)) == [
         (0, "mail [EMAIL]", 12), (2, "", 0), (4, "same [EMAIL]", 12), (4, "same [EMAIL]", 12), (5, "plain words", 11)]
     assert pii.inspect(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
+
+
+def test_groups_and_whole_documents(spark):
+    """No value is in two documents; the terms stand far from the mention."""
+    far = " and the river ran on" * 4
+    rows = [(i, f"quokka{far} write to p{i}@corp.example now{far} zanzibar") for i in range(5)]
+    rows += [(10 + i, f"wombat{far} host 10.7.3.{i} is up") for i in range(4)]
+    rows += [(20 + i, f"plain prose{far} number {i} zan{i} wom{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.entity, r.term) for r in pii.wide_disclosures(scanned(spark, docs).cache()).collect()}
+    total, texts = len(rows), dict(rows)
+    want, held = set(), {}
+    for d, text in rows:
+        for e in {pii.entity_of(text, s) for s in plain_spans(text)}:
+            for g in {e, *pii.groups_of(e)}:
+                held.setdefault(g, set()).add(d)
+    holds = {}
+    for d, text in rows:
+        for _, _, w in pii.outside(text, plain_spans(text)):
+            holds.setdefault(w, set()).add(d)
+    df_t = Counter(w for _, text in rows for w in pii.terms(text))
+    for g, ds in held.items():
+        for w, ws in holds.items():
+            n = len(ds & ws)
+            if n >= 3 and math.log2(total * n / (df_t[w] * len(ds))) >= 0.8 * math.log2(total / len(ds)):
+                want.add((g, w))
+    assert found == want
+    assert {("domain:corp.example", "quokka"), ("kind:email", "zanzibar"), ("net:10.7.3", "wombat")} <= found
+    assert not {w for _, w in found} & {"river", "prose"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i in range(5):
+        assert "quokka" not in clean[i] and "zanzibar" not in clean[i] and "river" in clean[i]
+    assert all("wombat" not in clean[10 + i] for i in range(4))
+    assert all(clean[d] == texts[d] for d in texts if d >= 20)
