@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import chunks, decontaminate, langid, mixing, mixlm, pii, quality, rangejoin, simhash, warc
+from pagewise.llm import chunks, decontaminate, langid, mixing, mixlm, pii, quality, rangejoin, rules, simhash, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -62,6 +62,12 @@ def op10_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return rules.judge(docs, model).select("doc_id", *rules.COUNTS, "base_failed", "kept", "probability", "verdict")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_chunks": op8_chunks,
     "op9_warc": op9_warc,
     "op10_rangejoin": op10_rangejoin,
+    "op13_rules": op13_rules,
 }
 
 _LOWER_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')"
