@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import chunks, decontaminate, langid, mixing, mixlm, pii, quality, rangejoin, rules, simhash, warc
+from pagewise.llm import align, chunks, decontaminate, langid, mixing, mixlm, pii, quality, rangejoin, rules, simhash, trie, warc
 from pagewise.llm.common import is_held_out, read
 
 
@@ -62,6 +62,17 @@ def op10_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.savings(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                        "ends_sha256")
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = rules.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -79,6 +90,8 @@ QUERIES = {
     "op8_chunks": op8_chunks,
     "op9_warc": op9_warc,
     "op10_rangejoin": op10_rangejoin,
+    "op11_align": op11_align,
+    "op12_trie": op12_trie,
     "op13_rules": op13_rules,
 }
 
@@ -120,8 +133,38 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM c LEFT JOIN n USING (vec_id)
 """
 
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, max(p) AS n FROM t GROUP BY c),
+h AS (SELECT c, n, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+          lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h FROM i),
+f AS (SELECT h.c, t.p AS d, r, x FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.p <= h.h
+      UNION ALL
+      SELECT h.c, t.p - h.h + least(h.h, coalesce(b.n, 0)) AS d, r, x
+      FROM h JOIN t ON t.c = h.c AND t.p > h.h LEFT JOIN i AS b ON b.c = h.c - h.c % 20),
+k AS (SELECT c, 0 AS d, '' AS k, 0 AS w FROM h
+      UNION ALL
+      SELECT c, d, sha256(string_agg(md5(r) || md5(x), '') OVER (PARTITION BY c ORDER BY d)) AS k,
+        len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM f),
+m AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, max(d) OVER (PARTITION BY c) AS l FROM k),
+n AS (SELECT k, min(c) AS conv_id, any_value(d) AS depth, any_value(pk) AS pk, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = l), '')) AS ends_sha256 FROM m GROUP BY k),
+ch AS (SELECT pk AS k, count(*) AS n_children FROM n WHERE pk IS NOT NULL GROUP BY pk),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+s AS (SELECT k.k, sum((u.n_convs - 1) * u.w) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+      FROM u JOIN k ON k.c = u.conv_id AND k.d <= u.depth GROUP BY k.k)
+SELECT u.conv_id, u.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children,
+  s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, u.ends_sha256
+FROM u JOIN s USING (k) LEFT JOIN n AS p ON p.k = u.pk
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": _WARC_SQL,
     "op10_rangejoin": _RANGEJOIN_SQL,
     "op2_decontaminate": _DECONTAMINATE_SQL,
+    "op12_trie": _TRIE_SQL,
 }
