@@ -1,12 +1,25 @@
 """HTML extraction as native column expressions over a page's ``html``.
 
-One "tag stage" strips comments / scripts / styles once; every field is
-then a regex lookup on the cleaned string or an array lookup over the
-extracted tag lists ("first match" = first in document order).
-
-Element text follows the get-text recipe: split on tags, decode entities,
-trim each text piece, drop empty pieces, join (with '' for element text,
-with ' ' for body text).
+A page is cut once into tokens: a token is a tag or the text between two tags.
+``names`` holds, token by token, ``<nav`` for an opening tag, ``</nav`` for a
+closing one and '' for text, so elements are ranges of tokens and "inside"
+means between two places of that array. Depth counts elements of one name:
+an element ends at the closing tag that brings its own depth back to zero.
+
+Every pattern is possessive and accepts whatever it has read, so no place of a
+page is read again from another start: time is linear in the page, and Java's
+possessive loops need no stack. The rules for odd pages:
+
+* a tag ends at its first ``>`` outside of quoted values; quotes count only
+  right after ``=`` and only if they are closed, elsewhere they are characters;
+* a tag that meets ``<`` or the end of the page first ends there;
+* a script, style, comment, title or region that is never closed reaches to the
+  end of the page; an unclosed boilerplate element to the last closing tag of its
+  name (none: it is kept);
+* a heading or paragraph ends where the next one starts.
+
+Element text follows the get-text recipe: decode entities, trim each text
+piece, drop empty pieces, join (with '' for element text, ' ' for body text).
 """
 
 from __future__ import annotations
@@ -19,45 +32,37 @@ from pagewise.functions.text import WS, ws_trim
 # The entity references decoded (``&amp;`` last so it never
 # double-decodes).
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-# The rest of a tag up to its ``>``: a ``>`` inside a quoted value does not end it.
-REST = r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*"
-# An element that is never closed reaches to the end of the text.
+            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 NUMERIC_RES = (r"^[xX]([0-9a-fA-F]{1,6});", r"^([0-9]{1,7});")
+
+# What a tag holds after its name, up to the place where it ends.
+INSIDE = r"(?:[^>\"'=<]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
+TAG = rf"<[a-zA-Z/!?]{INSIDE}>?+"
+TEXT = r"(?:[^<]++|<(?![a-zA-Z/!?]))++"
+TOKEN_RE = rf"{TAG}|{TEXT}"
+NAME_RE = r"^</?[a-zA-Z][^\s/>]*+"
 COMMENT_RE = r"(?s)<!--.*?(?:-->|\z)"
-SCRIPT_RE = rf"(?is)<script\b{REST}>.*?(?:</script\s*>|\z)"
-STYLE_RE = rf"(?is)<style\b{REST}>.*?(?:</style\s*>|\z)"
-TAG_RE = rf"<[a-zA-Z/!?]{REST}>"
-LD_JSON_RE = (rf"(?is)<script\b{REST}\stype\s*=\s*(?:\"application/ld\+json\"|'application/ld\+json'|application/ld\+json)"
-              rf"(?:[\s/]{REST})?>(.*?)</script\s*>")
-META_RE = rf"(?is)<meta\b{REST}>"
-LINK_TAG_RE = rf"(?is)<link\b{REST}>"
-A_TAG_RE = rf"(?is)<a\s{REST}>"
-IMG_TAG_RE = rf"(?is)<img\b{REST}>"
-TIME_TAG_RE = rf"(?is)<time\b{REST}>"
-HTML_TAG_RE = rf"(?is)<html\b{REST}>"
-TITLE_RE = rf"(?is)<title\b{REST}>(.*?)</title\s*>"
-BODY_RE = rf"(?is)<body\b{REST}>(.*?)(?:</body\s*>|\z)"
+SCRIPT_RE = rf"(?is)<script(?=[\s/>]){INSIDE}(?:>(.*?)(?:</script\s*+>|\z))?+"
+STYLE_RE = rf"(?is)<style(?=[\s/>]){INSIDE}(?:>(.*?)(?:</style\s*+>|\z))?+"
+OPENING_RE = rf"(?s)^{TAG}"
+# One attribute: its name and, after =, a quoted or bare value.
+ATTRIBUTE = r"[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
 # Elements dropped before main-text extraction.
 BOILERPLATE = ["nav", "header", "footer", "aside"]
-# Content regions, in priority order (the first that exists wins, even if it is empty).
+# Content regions, in priority order (the first that exists wins, even if it is empty):
+# article, main, role=main, a div with such a class, body.
 CONTENT_CLASS = "(?:content|article|post|entry)"
-ARTICLE_RE = rf"(?is)<article\b{REST}>(.*?)(?:</article\s*>|\z)"
-MAIN_RE = rf"(?is)<main\b{REST}>(.*?)(?:</main\s*>|\z)"
-ROLE_MAIN_RE = rf"(?is)<[a-z][a-z0-9]*{REST}\srole\s*=\s*(?:\"main\"|'main'|main)(?:[\s/]{REST})?>(.*)"
-CONTENT_DIV_RE = (rf"(?is)<div{REST}\sclass\s*=\s*(?:\"[^\"]*{CONTENT_CLASS}[^\"]*\"|'[^']*{CONTENT_CLASS}[^']*'"
-                  rf"|[^\s\"'>]*{CONTENT_CLASS}[^\s\"'>]*){REST}>(.*)")
-P_SPLIT_RE = rf"(?i)<p(?:\s{REST})?>"
-# A paragraph ends at </p> or at the first block-level tag (open or close).
-P_END_RE = (r"(?is)</?(?:p|div|article|section|main|aside|header|footer|nav|ul|ol|li|dl|table|tr|td|th"
-            r"|blockquote|form|h[1-6]|pre|hr|address|fieldset|figure)\b.*$")
+# A paragraph ends at </p> or at the first of these tags (open or close).
+BLOCKS = ["p", "div", "article", "section", "main", "aside", "header", "footer", "nav", "ul", "ol", "li", "dl", "table",
+          "tr", "td", "th", "blockquote", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "address", "fieldset",
+          "figure"]
 
 MAX_IMAGES = 50
 MAX_LINKS = 100
 MAX_H1 = 10
 MAX_H2 = 20
 MAX_SCHEMA_ITEMS = 10
+_RUN = 256  # ranges that a fold appends to one array before it starts another
 
 
 def _numeric(piece: Column) -> Column:
@@ -66,7 +71,7 @@ def _numeric(piece: Column) -> Column:
     hexa, deci = (F.regexp_extract(piece, p, 1) for p in NUMERIC_RES)
     code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).when(deci != "", deci.cast("long"))
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
     rest = F.substring(piece, F.instr(piece, ";") + 1, F.length(piece))
     return F.when(code.isNull(), F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, rest))
 
@@ -77,10 +82,18 @@ def decode_entities(c: Column) -> Column:
         pieces = F.split(x, "&#", -1)
         more = F.transform(F.slice(pieces, 2, F.size(pieces)), _numeric)
         return F.when(x.contains("&#"), F.concat(F.get(pieces, 0), F.array_join(more, ""))).otherwise(x)
-    c = F.get(F.transform(F.array(c), numeric), 0)  # bound once: c may be a costly expression
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+
+    def named(x: Column) -> Column:
+        out = numeric(x)
+        for ent, ch in ENTITIES:
+            out = F.replace(out, F.lit(ent), F.lit(ch))
+        return F.when(x.contains("&"), out).otherwise(x)
+    return _bind(c, named)
+
+
+def _bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c``, which may be a costly expression, evaluated once."""
+    return F.get(F.transform(F.array(c), fn), 0)
 
 
 def strip_comments(html: Column) -> Column:
@@ -92,36 +105,66 @@ def strip_code(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, F.lit(SCRIPT_RE), F.lit("")), F.lit(STYLE_RE), F.lit(""))
 
 
-def strip_elements(html: Column, names: list[str]) -> Column:
-    for n in names:
-        html = F.regexp_replace(html, F.lit(rf"(?is)<{n}\b{REST}>.*?</{n}\s*>"), F.lit(""))
-    return html
+# ---------------------------------------------------------------- tokens
+
+def tokens(clean: Column) -> Column:
+    return F.regexp_extract_all(clean, F.lit(TOKEN_RE), F.lit(0))
+
+
+def token_names(toks: Column) -> Column:
+    return F.transform(toks, lambda t: F.when(t.startswith("<"), F.lower(F.regexp_extract(t, NAME_RE, 0))).otherwise(F.lit("")))
+
+
+def _range(toks: Column, start: Column, stop: Column) -> Column:
+    """Tokens from place ``start`` (from 0) up to, without, ``stop``."""
+    return F.slice(toks, start + 1, F.greatest(stop - start, F.lit(0)))
+
+
+def _first_place(names: Column, name: str) -> Column:
+    """Place of the first such token; NULL where there is none."""
+    place = F.array_position(names, F.lit(name))
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
+def events(names: Column, wanted: list[str]) -> Column:
+    """``(place, name)`` of the tokens with one of ``wanted``, in order."""
+    return F.filter(F.transform(names, lambda n, i: F.when(n.isin(*wanted), F.struct(i.alias("i"), n.alias("n")))),
+                    lambda e: e.isNotNull())
 
 
-def element_text(fragment: Column, sep: str = "") -> Column:
-    """get_text(sep, strip=True) of an HTML fragment."""
-    pieces = F.split(fragment, TAG_RE, -1)
-    texts = F.filter(F.transform(pieces, lambda x: ws_trim(decode_entities(x))), lambda x: x != "")
-    return F.array_join(texts, sep)
+def is_tag(t: Column) -> Column:
+    return t.rlike("^<[a-zA-Z/!?]")
+
+
+def pieces_text(toks: Column, sep: str = "") -> Column:
+    """get_text(sep, strip=True) of a range of tokens."""
+    texts = F.transform(F.filter(toks, lambda t: ~is_tag(t)), lambda t: ws_trim(decode_entities(t)))
+    return F.array_join(F.filter(texts, lambda x: x != ""), sep)
+
+
+def _attr_re(name: str) -> str:
+    own = rf"{name}(?=[\s=/>]|$)"
+    other = rf"(?:[\s/=]*+(?!{own}){ATTRIBUTE})*+"
+    return rf"(?is)^<[^\s/>]++{other}[\s/=]*+{own}(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
 
 
 def attr_present(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)[\s/]{name}(?:\s|=|/|>)")
+    return tag.rlike(_attr_re(name))
 
 
 def attr(tag: Column, name: str) -> Column:
-    """Attribute value (entities decoded); '' for a value-less attribute;
-    NULL when the attribute is absent. One regex extracts the quoted or bare
-    value; the presence check runs only when nothing was extracted."""
-    pat = rf"(?is)[\s/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+)"
-    raw = F.regexp_extract(tag, pat, 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", decode_entities(val)).when(attr_present(tag, name), F.lit(""))
+    """Value of the tag's first attribute of that name (entities decoded); ''
+    for a value-less attribute; NULL when the attribute is absent."""
+    def value(raw: Column) -> Column:
+        quoted = (F.length(raw) > 1) & F.substring(raw, 1, 1).isin('"', "'") & (F.substring(raw, 1, 1) == F.substring(raw, -1, 1))
+        val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(raw != "", decode_entities(val)).when(attr_present(tag, name), F.lit(""))
+    return _bind(F.regexp_extract(tag, _attr_re(name), 1), value)
 
 
-def tags(html: Column, tag_re: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(tag_re), F.lit(0))
+def tags(toks: Column, names: Column, name: str) -> Column:
+    """The opening tags of one name, in document order."""
+    return F.filter(toks, lambda t, i: F.get(names, i) == f"<{name}")
 
 
 def first(arr: Column) -> Column:
@@ -129,8 +172,138 @@ def first(arr: Column) -> Column:
     return F.get(arr, 0)
 
 
-def meta_structs(clean: Column) -> Column:
-    return F.transform(tags(clean, META_RE), lambda m: F.struct(
+# ---------------------------------------------------------------- elements
+
+def outer_elements(names: Column, name: str) -> Column:
+    """``(a, b)``, places of the opening and closing tag, of the outermost
+    elements of one name. One that is never closed ends at the last closing tag
+    after it; without any it is none.
+
+    The fold carries depth and start; finished ranges go to a short array, full
+    ones of which go to an array of arrays, so that appending stays cheap."""
+    pair = "struct<a:int,b:int>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("a"), F.lit(-1).alias("z"),
+                     F.array().cast(f"array<{pair}>").alias("run"), F.array().cast(f"array<array<{pair}>>").alias("done"))
+
+    def step(s: Column, e: Column) -> Column:
+        opens = e["n"] == f"<{name}"
+        depth = F.when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+        ends = ~opens & (s["depth"] == 1)
+        full = ends & (F.size(s["run"]) >= _RUN)
+        item = F.array(F.struct(s["a"].alias("a"), e["i"].alias("b")))
+        run = F.when(full, item).when(ends, F.concat(s["run"], item)).otherwise(s["run"])
+        done = F.when(full, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
+        return F.struct(depth.alias("depth"), F.when(opens & (s["depth"] == 0), e["i"]).otherwise(s["a"]).alias("a"),
+                        F.when(opens, s["z"]).otherwise(e["i"]).alias("z"), run.alias("run"), done.alias("done"))
+
+    def finish(s: Column) -> Column:
+        left = F.when((s["depth"] > 0) & (s["z"] > s["a"]), F.array(F.struct(s["a"].alias("a"), s["z"].alias("b")))) \
+                .otherwise(F.array().cast(f"array<{pair}>"))
+        return F.concat(F.flatten(s["done"]), s["run"], left)
+    return F.aggregate(events(names, [f"<{name}", f"</{name}"]), start, step, finish)
+
+
+def without(arr: Column, elements: Column) -> Column:
+    """``arr`` without the ranges of ``elements`` (ascending, apart)."""
+    before = F.transform(elements, lambda e, k: _range(
+        arr, F.coalesce(F.get(elements, k - 1)["b"] + 1, F.lit(0)), e["a"]))
+    last = F.get(elements, F.size(elements) - 1)["b"] + 1
+    return F.when(F.size(elements) == 0, arr).otherwise(
+        F.flatten(F.concat(before, F.array(_range(arr, last, F.size(arr))))))
+
+
+def element_end(names: Column, start: Column) -> Column:
+    """Place of the tag that closes the element opened at ``start``; the number of tokens if none does."""
+    name = F.substring(F.get(names, start), 2, 1 << 20)
+    state = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("end"))
+
+    def scan(own: Column) -> Column:
+        opens, closes = F.concat(F.lit("<"), own), F.concat(F.lit("</"), own)
+
+        def step(s: Column, n: Column) -> Column:
+            i = s["i"] + 1
+            live = (s["end"] < 0) & (i >= start)
+            depth = (F.when(live & (n == opens), s["depth"] + 1).when(live & (n == closes), s["depth"] - 1)
+                      .otherwise(s["depth"]))
+            end = F.when(live & (n == closes) & (s["depth"] == 1), i).otherwise(s["end"])
+            return F.struct(i.alias("i"), depth.alias("depth"), end.alias("end"))
+        return F.aggregate(names, state, step, lambda s: F.when(s["end"] >= 0, s["end"]).otherwise(F.size(names)))
+    return _bind(name, scan)
+
+
+def title(toks: Column, names: Column) -> Column:
+    """Text of the first <title>, tags inside included; NULL when there is none."""
+    start = _first_place(names, "<title")
+    rest = F.array_position(F.slice(names, start + 2, F.size(names)), F.lit("</title"))
+    inside = F.when(rest > 0, F.slice(toks, start + 2, (rest - 1).cast("int"))).otherwise(
+        F.slice(toks, start + 2, F.size(toks)))
+    return F.when(start.isNotNull(), ws_trim(decode_entities(F.array_join(inside, ""))))
+
+
+def html_lang(toks: Column, names: Column) -> Column:
+    """lang attribute of <html> when present and non-empty."""
+    lang = attr(F.get(toks, _first_place(names, "<html")), "lang")
+    return F.when(lang != "", lang)
+
+
+def _texts_between(toks: Column, marks: Column, opening: str) -> Column:
+    """Element text from each ``opening`` event to the event after it."""
+    texts = F.transform(marks, lambda e, k: F.when(e["n"] == opening, pieces_text(_range(
+        toks, e["i"] + 1, F.coalesce(F.get(marks, k + 1)["i"], F.size(toks))))))
+    return F.filter(texts, lambda t: t.isNotNull())
+
+
+def headings(toks: Column, names: Column, level: int) -> Column:
+    return _bind(events(names, [f"<h{level}", f"</h{level}"]), lambda ev: _texts_between(toks, ev, f"<h{level}"))
+
+
+def body_tokens(toks: Column, names: Column) -> Column:
+    """Tokens of <body>; without one, those after </head>; without either, all."""
+    start = F.coalesce(_first_place(names, "<body"), _first_place(names, "</head"))
+    rest = F.array_position(F.slice(names, start + 2, F.size(names)), F.lit("</body"))
+    return F.when(start.isNull(), toks).when(rest > 0, F.slice(toks, start + 2, (rest - 1).cast("int"))).otherwise(
+        F.slice(toks, start + 2, F.size(toks)))
+
+
+def body_text(toks: Column, names: Column) -> Column:
+    """get_text(' ', strip=True) of <body> (scripts, styles, comments removed)."""
+    return pieces_text(body_tokens(toks, names), " ")
+
+
+def _first_tag(toks: Column, names: Column, pred) -> Column:
+    """Place of the first opening tag with ``pred(token, name)``; NULL where there is none."""
+    return first(F.filter(F.transform(toks, lambda t, i: F.when(pred(t, F.get(names, i)), i)), lambda i: i.isNotNull()))
+
+
+def region_start(toks: Column, names: Column) -> Column:
+    """Place of the tag that opens the content region; NULL for the body."""
+    def role(t: Column, n: Column) -> Column:
+        return n.rlike("^<[a-z]") & t.rlike("(?i)role") & (F.lower(attr(t, "role")) == "main")
+
+    def content(t: Column, n: Column) -> Column:
+        return (n == "<div") & t.rlike(f"(?i){CONTENT_CLASS}") & attr(t, "class").rlike(f"(?i){CONTENT_CLASS}")
+    return F.coalesce(_first_place(names, "<article"), _first_place(names, "<main"), _first_tag(toks, names, role),
+                      _first_tag(toks, names, content))
+
+
+def region_bounds(names: Column, start: Column) -> Column:
+    """``(a, b)``: the region's tokens run from a to before b."""
+    body = _first_place(names, "<body")
+    head = _first_place(names, "</head")
+    close = _first_place(names, "</body")
+    return F.when(start.isNotNull(), F.struct((start + 1).alias("a"), element_end(names, start).alias("b"))).otherwise(
+        F.struct(F.coalesce(body + 1, head + 1, F.lit(0)).alias("a"),
+                 F.when(close > F.coalesce(body, head, F.lit(-1)), close).otherwise(F.size(names)).alias("b")))
+
+
+def paragraphs(toks: Column, names: Column) -> Column:
+    """Texts of the <p> elements of a range (non-empty ones only)."""
+    marks = events(names, [f"{o}{b}" for b in BLOCKS for o in ("<", "</")])
+    return F.filter(_bind(marks, lambda ev: _texts_between(toks, ev, "<p")), lambda t: t != "")
+
+
+def meta_structs(toks: Column, names: Column) -> Column:
+    return F.transform(tags(toks, names, "meta"), lambda m: F.struct(
         attr(m, "name").alias("name"), attr(m, "property").alias("property"),
         attr(m, "content").alias("content"), attr(m, "charset").alias("charset")))
 
@@ -151,84 +324,60 @@ def stripped_or_null(c: Column) -> Column:
     return F.when(t != "", t)
 
 
-def title(clean: Column) -> Column:
-    """Text of the first <title>; NULL when there is none."""
-    has = clean.rlike(TITLE_RE)
-    return F.when(has, ws_trim(decode_entities(F.regexp_extract(clean, TITLE_RE, 1))))
-
-
-def html_lang(clean: Column) -> Column:
-    """lang attribute of <html> when present and non-empty."""
-    lang = attr(F.regexp_extract(clean, HTML_TAG_RE, 0), "lang")
-    return F.when(lang != "", lang)
-
-
-def headings(clean: Column, level: int) -> Column:
-    frags = F.regexp_extract_all(clean, F.lit(rf"(?is)<h{level}\b{REST}>(.*?)</h{level}\s*>"), F.lit(1))
-    return F.transform(frags, lambda f: element_text(f, ""))
-
-
-def body_html(clean: Column) -> Column:
-    has_body = clean.rlike(r"(?is)<body\b")
-    return F.when(has_body, F.regexp_extract(clean, BODY_RE, 1)).otherwise(
-        F.regexp_replace(clean, F.lit(r"(?is)^.*</head\s*>"), F.lit("")))
-
-
-def body_text(clean: Column) -> Column:
-    """get_text(' ', strip=True) of <body> (scripts, styles, comments removed)."""
-    return element_text(body_html(clean), " ")
-
-
-def content_region(reduced: Column) -> Column:
-    """Inner HTML of the first that exists of article, main, [role=main],
-    div.content-like, body; later ones are not searched for."""
-    def grab(pat: str) -> Column:
-        return F.when(reduced.rlike(pat), F.regexp_extract(reduced, pat, 1))
-    return F.coalesce(grab(ARTICLE_RE), grab(MAIN_RE), grab(ROLE_MAIN_RE), grab(CONTENT_DIV_RE), body_html(reduced),
-                      F.lit(""))
-
-
-def paragraphs(region: Column) -> Column:
-    """Texts of the <p> elements of a region (non-empty ones only)."""
-    pieces = F.split(region, P_SPLIT_RE, -1)
-    after_first = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    texts = F.transform(after_first, lambda p: element_text(F.regexp_replace(p, F.lit(P_END_RE), F.lit("")), ""))
-    return F.filter(texts, lambda t: t != "")
-
-
-def markdown(clean: Column) -> Column:
-    """Markdown rendering of the content region: headings, list items, links,
-    images, bold, paragraphs; remaining tags dropped."""
-    region = content_region(strip_elements(clean, BOILERPLATE))
-    md = region
-    for lvl in range(1, 7):
-        md = F.regexp_replace(md, F.lit(rf"(?is)<h{lvl}\b[^>]*>(.*?)</h{lvl}\s*>"),
-                              F.lit("\n\n" + "#" * lvl + " $1\n\n"))
-    md = F.regexp_replace(md, F.lit(r"(?is)<li\b[^>]*>"), F.lit("\n- "))
-    md = F.regexp_replace(md, F.lit(r"(?is)<img\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"'][^>]*>"), F.lit("![]($1)"))
-    md = F.regexp_replace(md, F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"),
-                          F.lit("[$2]($1)"))
-    md = F.regexp_replace(md, F.lit(r"(?is)</?(?:b|strong)\b[^>]*>"), F.lit("**"))
-    md = F.regexp_replace(md, F.lit(r"(?is)<p\b[^>]*>"), F.lit("\n\n"))
-    md = F.regexp_replace(md, F.lit(r"(?is)<br\s*/?>"), F.lit("\n"))
-    md = decode_entities(F.regexp_replace(md, F.lit(TAG_RE), F.lit("")))
-    md = F.regexp_replace(md, F.lit(r"[ \t]+"), F.lit(" "))
-    md = F.regexp_replace(md, F.lit(r"\n[ \t]+"), F.lit("\n"))
-    md = F.regexp_replace(md, F.lit(r"\n{3,}"), F.lit("\n\n"))
-    return ws_trim(md)
-
-
 def ld_json_scripts(no_comments: Column) -> Column:
     """Raw text of each <script type="application/ld+json">, in order."""
-    return F.regexp_extract_all(no_comments, F.lit(LD_JSON_RE), F.lit(1))
+    scripts = F.filter(F.regexp_extract_all(no_comments, F.lit(SCRIPT_RE), F.lit(0)), lambda s: F.lower(
+        attr(F.regexp_extract(s, OPENING_RE, 0), "type")) == "application/ld+json")
+    return F.transform(scripts, lambda s: F.regexp_extract(s, SCRIPT_RE, 1))
 
 
-def canonical(clean: Column) -> Column:
+def canonical(toks: Column, names: Column) -> Column:
     """href of the first <link> whose rel tokens include 'canonical'."""
-    links = F.filter(tags(clean, LINK_TAG_RE),
+    links = F.filter(tags(toks, names, "link"),
                      lambda t: F.coalesce(attr(t, "rel"), F.lit("")).rlike(rf"(?:^|{WS})canonical(?:{WS}|$)"))
     l0 = first(links)
     return F.when(l0.isNotNull(), F.coalesce(attr(l0, "href"), F.lit("")))
 
 
+# ---------------------------------------------------------------- markdown
+
+def _mark(t: Column, n: Column) -> Column:
+    """Markdown of one token, links apart."""
+    src = attr(t, "src")
+    out = F.when(~is_tag(t), t)
+    for level in range(1, 7):
+        out = out.when(n == f"<h{level}", F.lit("\n\n" + "#" * level + " ")).when(n == f"</h{level}", F.lit("\n\n"))
+    return (out.when(n == "<li", F.lit("\n- ")).when((n == "<img") & src.isNotNull(), F.concat(F.lit("![]("), src, F.lit(")")))
+               .when(n.isin("<b", "</b", "<strong", "</strong"), F.lit("**")).when(n == "<p", F.lit("\n\n"))
+               .when(n.isin("<br", "</br"), F.lit("\n")).otherwise(F.lit("")))
+
+
+def markdown(toks: Column, names: Column) -> Column:
+    """Markdown of a range of tokens: headings, list items, links, images, bold
+    and paragraphs; other tags are dropped. A link reaches from ``<a href>`` to
+    the first ``</a`` before the next ``<a``; a link without one is its text."""
+    opens = F.filter(F.transform(names, lambda n, i: F.when(n == "<a", i)), lambda i: i.isNotNull())
+
+    def segment(start: Column, stop: Column) -> Column:
+        def parts(r: Column) -> Column:
+            return F.struct(r["own"].alias("own"), r["kinds"].alias("kinds"), attr(F.get(r["own"], 0), "href").alias("href"),
+                            F.when(F.get(r["kinds"], 0) == "<a", F.array_position(r["kinds"], F.lit("</a"))).alias("close"))
+
+        def written(r: Column) -> Column:
+            link = F.coalesce((r["close"] > 0) & r["href"].isNotNull(), F.lit(False))
+            return F.array_join(F.transform(r["own"], lambda t, i: F.when(link & (i == 0), F.lit("[")).when(
+                link & (i == r["close"] - 1), F.concat(F.lit("]("), r["href"], F.lit(")"))).otherwise(
+                _mark(t, F.get(r["kinds"], i)))), "")
+        cut = F.struct(_range(toks, start, stop).alias("own"), _range(names, start, stop).alias("kinds"))
+        return _bind(_bind(cut, parts), written)
+
+    def render(starts: Column) -> Column:
+        rest = F.transform(starts, lambda s, k: segment(s, F.coalesce(F.get(starts, k + 1), F.size(toks))))
+        return F.concat(segment(F.lit(0), F.coalesce(F.get(starts, 0), F.size(toks))), F.array_join(rest, ""))
+    md = decode_entities(_bind(opens, render))
+    for pattern, to in ((r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
+        md = F.regexp_replace(md, F.lit(pattern), F.lit(to))
+    return ws_trim(md)
+
+
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -27,19 +27,19 @@ def quality_inputs(pages: DataFrame, text_fields: Sequence[Column] = ()) -> Data
     """Inputs of the quality score per page; ``text_fields`` are further columns
     over the main text (``text``), computed in the same pass."""
     ts = P.with_main_text(P.tag_stage(pages))
-    s2 = ts.select("page_id", "url", "clean", "text",
-                   H.meta_structs(F.col("clean")).alias("metas"),
+    s2 = ts.select("page_id", "url", "toks", "names", "text",
+                   H.meta_structs(*P.parsed()).alias("metas"),
                    H.ld_json_scripts(F.col("nc")).alias("ld"),
-                   P.img_tags(F.col("clean")).alias("imgs"))
+                   P.img_tags(*P.parsed()).alias("imgs"))
     metas = F.col("metas")
     desc = H.meta_content(H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)description")))
-    canon = H.canonical(F.col("clean"))
+    canon = H.canonical(*P.parsed())
     og_title = P.open_graph(metas)["og_title"]
     s3 = s2.select(
         "page_id", "url", "text",
         ws_word_count(F.col("text")).alias("word_count"),
-        F.size(F.slice(H.headings(F.col("clean"), 1), 1, H.MAX_H1)).alias("h1_count"),
-        F.size(F.slice(H.headings(F.col("clean"), 2), 1, H.MAX_H2)).alias("h2_count"),
+        F.size(F.slice(H.headings(*P.parsed(), 1), 1, H.MAX_H1)).alias("h1_count"),
+        F.size(F.slice(H.headings(*P.parsed(), 2), 1, H.MAX_H2)).alias("h2_count"),
         F.size("imgs").alias("total_images"),
         F.size(F.filter(F.col("imgs"), lambda t: F.coalesce(H.attr(t, "alt"), F.lit("")) == "")).alias("images_without_alt"),
         (F.coalesce(desc, F.lit("")) != "").alias("has_meta_description"),

@@ -28,26 +28,61 @@ CARD_FIELDS = ["card", "title", "description", "image", "site"]
 
 
 def tag_stage(pages: DataFrame) -> DataFrame:
-    """(page_id, url, nc = html without comments, clean = nc without scripts/styles,
-    base = the page URL parsed once)."""
+    """(page_id, url, nc = html without comments, toks = tokens of nc without
+    scripts/styles, names = their tag names, base = the page URL parsed once)."""
     s1 = pages.select("page_id", "url", H.strip_comments(F.col("html")).alias("nc"))
-    return s1.select("page_id", "url", "nc", H.strip_code(F.col("nc")).alias("clean"),
-                     U.url_parts(F.col("url")).alias("base"))
-
-
-def with_main_text(df: DataFrame, clean: str = "clean", out: str = "text",
-                   limit: int | None = MAX_CONTENT_CHARS, p: str = "_mt_") -> DataFrame:
-    """Add the main-content text of ``clean`` as ``out`` in staged projections:
-    boilerplate removed -> paragraphs of the first content region -> text (else all body text) -> truncation. Every
-    intermediate is an attribute, so no regex is evaluated twice per row."""
-    d = df.withColumn(f"{p}red", H.strip_elements(F.col(clean), H.BOILERPLATE))
-    red = F.col(f"{p}red")
-    d = d.withColumn(f"{p}paras", F.array_join(H.paragraphs(H.content_region(red)), "\n\n"))
+    s2 = s1.select("page_id", "url", "nc", H.tokens(H.strip_code(F.col("nc"))).alias("toks"),
+                   U.url_parts(F.col("url")).alias("base"))
+    return s2.withColumn("names", H.token_names(F.col("toks")))
+
+
+def parsed() -> tuple[Column, Column]:
+    """The columns of the tag stage that the HTML functions take."""
+    return F.col("toks"), F.col("names")
+
+
+def without_boilerplate(df: DataFrame, toks: str, names: str, p: str = "_wb_") -> DataFrame:
+    """``toks`` and ``names`` without the boilerplate elements and what is in them."""
+    for name in H.BOILERPLATE:
+        df = df.withColumn(f"{p}out", H.outer_elements(F.col(names), name))
+        df = df.withColumns({c: H.without(F.col(c), F.col(f"{p}out")) for c in (toks, names)}).drop(f"{p}out")
+    return df
+
+
+def with_region(df: DataFrame, p: str) -> DataFrame:
+    """Add ``{p}toks``, ``{p}names`` (the page without boilerplate) and ``{p}in``,
+    the bounds of its content region, in staged projections: every intermediate is an
+    attribute, so nothing is evaluated twice per row."""
+    d = df.withColumns({f"{p}toks": F.col("toks"), f"{p}names": F.col("names")})
+    d = without_boilerplate(d, f"{p}toks", f"{p}names", p)
+    d = d.withColumn(f"{p}at", H.region_start(F.col(f"{p}toks"), F.col(f"{p}names")))
+    return d.withColumn(f"{p}in", H.region_bounds(F.col(f"{p}names"), F.col(f"{p}at"))).drop(f"{p}at")
+
+
+def in_region(c: str, p: str) -> Column:
+    return F.slice(F.col(f"{p}{c}"), F.col(f"{p}in.a") + 1, F.greatest(F.col(f"{p}in.b") - F.col(f"{p}in.a"), F.lit(0)))
+
+
+def with_main_text(df: DataFrame, out: str = "text", limit: int | None = MAX_CONTENT_CHARS, p: str = "_mt_") -> DataFrame:
+    """Add the main-content text as ``out``: boilerplate removed -> paragraphs of
+    the first content region -> text (else all body text) -> truncation."""
+    d = with_region(df, p)
+    d = d.withColumns({f"{p}rt": in_region("toks", p), f"{p}rn": in_region("names", p)})
+    d = d.withColumn(f"{p}paras", F.array_join(H.paragraphs(F.col(f"{p}rt"), F.col(f"{p}rn")), "\n\n"))
     paras = F.col(f"{p}paras")
-    d = d.withColumn(f"{p}full", F.when(paras != "", paras).otherwise(H.body_text(red)))
+    d = d.withColumn(f"{p}full", F.when(paras != "", paras).otherwise(
+        H.body_text(F.col(f"{p}toks"), F.col(f"{p}names"))))
     full = F.col(f"{p}full")
     d = d.withColumn(out, truncate_text(full, limit) if limit else full)
-    return d.drop(f"{p}red", f"{p}paras", f"{p}full")
+    return d.drop(*[f"{p}{c}" for c in ("toks", "names", "in", "rt", "rn", "paras", "full")])
+
+
+def with_markdown(df: DataFrame, out: str = "markdown", p: str = "_md_") -> DataFrame:
+    """Add the markdown of the content region as ``out``."""
+    d = with_region(df, p)
+    d = d.withColumns({f"{p}rt": in_region("toks", p), f"{p}rn": in_region("names", p)})
+    d = d.withColumn(out, truncate_text(H.markdown(F.col(f"{p}rt"), F.col(f"{p}rn")), MAX_CONTENT_CHARS))
+    return d.drop(*[f"{p}{c}" for c in ("toks", "names", "in", "rt", "rn")])
 
 
 # ---------------------------------------------------------------- metadata
@@ -70,9 +105,9 @@ def author(metas: Column, ld: Column) -> Column:
              .otherwise(from_ld))
 
 
-def published_date(metas: Column, clean: Column) -> Column:
+def published_date(metas: Column, toks: Column, names: Column) -> Column:
     m1 = H.meta_lookup(metas, lambda m: m["property"].rlike(DATE_PROP_RE))
-    times = F.filter(H.tags(clean, H.TIME_TAG_RE), lambda t: H.attr_present(t, "datetime"))
+    times = F.filter(H.tags(toks, names, "time"), lambda t: H.attr_present(t, "datetime"))
     t0 = H.first(times)
     m3 = H.meta_lookup(metas, lambda m: m["name"].rlike(DATE_NAME_RE))
     return (F.when(m1.isNotNull(), H.stripped_or_null(F.coalesce(m1["content"], F.lit(""))))
@@ -122,19 +157,18 @@ def schema_markup(ld: Column) -> Column:
 
 # ---------------------------------------------------------------- links / images
 
-def link_hrefs(clean: Column) -> Column:
-    a_tags = F.filter(H.tags(clean, H.A_TAG_RE), lambda t: H.attr_present(t, "href"))
-    return F.transform(a_tags, lambda t: F.coalesce(H.attr(t, "href"), F.lit("")))
+def link_hrefs(toks: Column, names: Column) -> Column:
+    hrefs = F.transform(H.tags(toks, names, "a"), lambda t: H.attr(t, "href"))
+    return F.filter(hrefs, lambda h: h.isNotNull())
 
 
-def img_tags(clean: Column) -> Column:
-    return H.tags(clean, H.IMG_TAG_RE)
+def img_tags(toks: Column, names: Column) -> Column:
+    return H.tags(toks, names, "img")
 
 
 def image_urls(base: Column, imgs: Column) -> Column:
     """Resolved img[src] URLs, order-preserving de-duplication, first 50."""
-    with_src = F.filter(imgs, lambda t: H.attr_present(t, "src"))
-    srcs = F.transform(with_src, lambda t: F.coalesce(H.attr(t, "src"), F.lit("")))
+    srcs = F.filter(F.transform(imgs, lambda t: H.attr(t, "src")), lambda x: x.isNotNull())
     return F.slice(F.array_distinct(U.join_urls(base, srcs)), 1, H.MAX_IMAGES)
 
 
@@ -165,26 +199,27 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
     NULL under 20 whitespace words). Optional outputs are only computed when
     requested — column pruning drops the work otherwise."""
     ts = with_main_text(tag_stage(pages))
-    s2 = ts.select("page_id", "url", "clean", "nc", "base", "text",
-                   H.meta_structs(F.col("clean")).alias("metas"))
+    if output_format == "markdown":
+        ts = with_markdown(ts)
+    else:
+        ts = ts.withColumn("markdown", F.lit(None).cast("string"))
+    s2 = ts.select("page_id", "url", "toks", "names", "nc", "base", "text", "markdown",
+                   H.meta_structs(*parsed()).alias("metas"))
     cols = [
         "page_id", "url",
-        F.coalesce(H.title(F.col("clean")), F.lit("")).alias("title"),
+        F.coalesce(H.title(*parsed()), F.lit("")).alias("title"),
         author(F.col("metas"), H.ld_json_scripts(F.col("nc"))).alias("author"),
-        published_date(F.col("metas"), F.col("clean")).alias("published_date"),
+        published_date(F.col("metas"), *parsed()).alias("published_date"),
         "text",
         ws_word_count(F.col("text")).alias("word_count"),
         excerpt(F.col("text")).alias("excerpt"),
-        H.html_lang(F.col("clean")).alias("language"),
+        H.html_lang(*parsed()).alias("language"),
+        "markdown",
     ]
-    if output_format == "markdown":
-        cols.append(truncate_text(H.markdown(F.col("clean")), MAX_CONTENT_CHARS).alias("markdown"))
-    else:
-        cols.append(F.lit(None).cast("string").alias("markdown"))
     empty = F.array().cast("array<string>")
-    cols.append(image_urls(F.col("base"), img_tags(F.col("clean"))).alias("images") if include_images
+    cols.append(image_urls(F.col("base"), img_tags(*parsed())).alias("images") if include_images
                 else empty.alias("images"))
-    cols.append(link_urls(F.col("base"), link_hrefs(F.col("clean"))).alias("links") if include_links
+    cols.append(link_urls(F.col("base"), link_hrefs(*parsed())).alias("links") if include_links
                 else empty.alias("links"))
     s3 = s2.select(*cols)
     staged = with_text_stats(s3, "text")
@@ -196,11 +231,11 @@ def content_record(pages: DataFrame, include_images: bool = False, include_links
 def seo_record(pages: DataFrame) -> DataFrame:
     """SEO record per page (nested structs for OG / card / schema)."""
     ts = tag_stage(pages)
-    s2 = ts.select("page_id", "url", "clean", "base",
-                   H.meta_structs(F.col("clean")).alias("metas"),
+    s2 = ts.select("page_id", "url", "toks", "names", "base",
+                   H.meta_structs(*parsed()).alias("metas"),
                    H.ld_json_scripts(F.col("nc")).alias("ld"),
-                   link_netlocs(F.col("base"), link_hrefs(F.col("clean"))).alias("netlocs"),
-                   img_tags(F.col("clean")).alias("imgs"))
+                   link_netlocs(F.col("base"), link_hrefs(*parsed())).alias("netlocs"),
+                   img_tags(*parsed()).alias("imgs"))
     metas = F.col("metas")
     desc = H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)description"))
     robots = H.meta_lookup(metas, lambda m: m["name"].rlike("(?i)robots"))
@@ -210,19 +245,19 @@ def seo_record(pages: DataFrame) -> DataFrame:
     no_alt = F.size(F.filter(F.col("imgs"), lambda t: F.coalesce(H.attr(t, "alt"), F.lit("")) == "")).cast("long")
     return s2.select(
         "page_id", "url",
-        H.title(F.col("clean")).alias("title"),
+        H.title(*parsed()).alias("title"),
         H.meta_content(desc).alias("meta_description"),
-        H.canonical(F.col("clean")).alias("canonical_url"),
-        F.slice(H.headings(F.col("clean"), 1), 1, H.MAX_H1).alias("h1_tags"),
-        F.slice(H.headings(F.col("clean"), 2), 1, H.MAX_H2).alias("h2_tags"),
+        H.canonical(*parsed()).alias("canonical_url"),
+        F.slice(H.headings(*parsed(), 1), 1, H.MAX_H1).alias("h1_tags"),
+        F.slice(H.headings(*parsed(), 2), 1, H.MAX_H2).alias("h2_tags"),
         open_graph(metas).alias("open_graph"),
         twitter_card(metas).alias("twitter_card"),
         schema_markup(F.col("ld")).alias("schema_markup"),
         H.meta_content(robots).alias("robots"),
         H.meta_content(viewport).alias("viewport"),
         F.when(charset.isNotNull(), F.coalesce(charset["charset"], F.lit(""))).alias("charset"),
-        H.html_lang(F.col("clean")).alias("language"),
-        ws_word_count(H.body_text(F.col("clean"))).alias("word_count"),
+        H.html_lang(*parsed()).alias("language"),
+        ws_word_count(H.body_text(*parsed())).alias("word_count"),
         internal.alias("internal_links"), external.alias("external_links"),
         no_alt.alias("images_without_alt"),
         F.size("imgs").cast("long").alias("total_images"),
@@ -234,7 +269,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     resolved a[href] with a web scheme. Partial aggregation runs map-side."""
     ts = tag_stage(pages)
     e = ts.select("page_id", U.hostname(F.col("url")).alias("src_host"),
-                  F.explode(U.join_urls(F.col("base"), link_hrefs(F.col("clean")))).alias("dst"))
+                  F.explode(U.join_urls(F.col("base"), link_hrefs(*parsed()))).alias("dst"))
     e = e.filter(U.scheme(F.col("dst")).isin(*U.ALLOWED_SCHEMES))
     return (e.select("page_id", "src_host", U.hostname(F.col("dst")).alias("dst_host"))
              .groupBy("src_host", "dst_host")

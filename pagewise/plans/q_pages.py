@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import html as H
 from pagewise.functions import urls as U
-from pagewise.functions.text import excerpt, truncate_text, ws_word_count
+from pagewise.functions.text import excerpt, ws_word_count
 from pagewise.operators import pages as P
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.registry import query
@@ -48,13 +48,13 @@ def q_gate_size(spark, sf):
 @query("html_title", group="pages", oracle=f"""WITH {_TS}
 SELECT page_id, coalesce({S.title('clean')}, '') AS title FROM ts""")
 def q_html_title(spark, sf):
-    return _ts(spark, sf).select("page_id", F.coalesce(H.title(F.col("clean")), F.lit("")).alias("title"))
+    return _ts(spark, sf).select("page_id", F.coalesce(H.title(*P.parsed()), F.lit("")).alias("title"))
 
 
 @query("html_lang", group="pages", oracle=f"""WITH {_TS}
 SELECT page_id, {S.html_lang('clean')} AS language FROM ts""")
 def q_html_lang(spark, sf):
-    return _ts(spark, sf).select("page_id", H.html_lang(F.col("clean")).alias("language"))
+    return _ts(spark, sf).select("page_id", H.html_lang(*P.parsed()).alias("language"))
 
 
 _MAIN = f"""WITH {_TS}, mt AS (
@@ -78,8 +78,8 @@ SELECT page_id, array_to_string(list_slice(h1, 1, 10), ' | ') AS h1_tags, len(li
        array_to_string(list_slice(h2, 1, 20), ' | ') AS h2_tags, len(list_slice(h2, 1, 20))::BIGINT AS h2_count
 FROM hd""")
 def q_seo_headings(spark, sf):
-    t = _ts(spark, sf).select("page_id", F.slice(H.headings(F.col("clean"), 1), 1, 10).alias("h1"),
-                              F.slice(H.headings(F.col("clean"), 2), 1, 20).alias("h2"))
+    t = _ts(spark, sf).select("page_id", F.slice(H.headings(*P.parsed(), 1), 1, 10).alias("h1"),
+                              F.slice(H.headings(*P.parsed(), 2), 1, 20).alias("h2"))
     return t.select("page_id", F.array_join("h1", " | ").alias("h1_tags"), F.size("h1").cast("long").alias("h1_count"),
                     F.array_join("h2", " | ").alias("h2_tags"), F.size("h2").cast("long").alias("h2_count"))
 
@@ -87,7 +87,7 @@ def q_seo_headings(spark, sf):
 @query("seo_visible_words", group="pages", oracle=f"""WITH {_TS}
 SELECT page_id, {ws_count(S.body_text('clean'))} AS word_count FROM ts""")
 def q_seo_visible_words(spark, sf):
-    return _ts(spark, sf).select("page_id", ws_word_count(H.body_text(F.col("clean"))).alias("word_count"))
+    return _ts(spark, sf).select("page_id", ws_word_count(H.body_text(*P.parsed())).alias("word_count"))
 
 
 # one row per a[href] with its resolved URL
@@ -101,8 +101,8 @@ _HREFS = f"""WITH {_TS}, hr AS (
 SELECT page_id, pos::BIGINT AS pos, href, joined FROM hj""")
 def q_url_join(spark, sf):
     t = _ts(spark, sf)
-    t = t.select("page_id", F.arrays_zip(P.link_hrefs(F.col("clean")).alias("href"),
-                                         U.join_urls(F.col("base"), P.link_hrefs(F.col("clean"))).alias("joined")).alias("z"))
+    t = t.select("page_id", F.arrays_zip(P.link_hrefs(*P.parsed()).alias("href"),
+                                         U.join_urls(F.col("base"), P.link_hrefs(*P.parsed())).alias("joined")).alias("z"))
     t = t.select("page_id", F.posexplode("z").alias("pos", "hj"))
     return t.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("hj.href").alias("href"),
                     F.col("hj.joined").alias("joined"))
@@ -115,7 +115,7 @@ SELECT page_id,
   (len(hl) - len(list_filter(hl, lambda h: {S.netloc(S.join_url('url', 'h'))} = {S.netloc('url')} OR {S.netloc(S.join_url('url', 'h'))} = '')))::BIGINT AS external_links
 FROM hr""")
 def q_link_counts(spark, sf):
-    t = _ts(spark, sf).select("page_id", "base", P.link_netlocs(F.col("base"), P.link_hrefs(F.col("clean"))).alias("nl"))
+    t = _ts(spark, sf).select("page_id", "base", P.link_netlocs(F.col("base"), P.link_hrefs(*P.parsed())).alias("nl"))
     i, e = P.link_class_counts(F.col("base"), F.col("nl"))
     return t.select("page_id", i.alias("internal_links"), e.alias("external_links"))
 
@@ -126,7 +126,7 @@ def q_link_counts(spark, sf):
 SELECT page_id, array_to_string(list_slice({S.distinct_ordered('lk')}, 1, 100), ' ') AS links,
        len(list_slice({S.distinct_ordered('lk')}, 1, 100))::BIGINT AS n_links FROM hr""")
 def q_html_links(spark, sf):
-    t = _ts(spark, sf).select("page_id", P.link_urls(F.col("base"), P.link_hrefs(F.col("clean"))).alias("lk"))
+    t = _ts(spark, sf).select("page_id", P.link_urls(F.col("base"), P.link_hrefs(*P.parsed())).alias("lk"))
     return t.select("page_id", F.array_join("lk", " ").alias("links"), F.size("lk").cast("long").alias("n_links"))
 
 
@@ -143,7 +143,7 @@ _URLS = f"""{_HREFS}, urls AS (SELECT url FROM pages UNION ALL SELECT joined AS
 
 def _all_urls(spark, sf):
     t = _ts(spark, sf)
-    links = t.select(F.explode(U.join_urls(F.col("base"), P.link_hrefs(F.col("clean")))).alias("url"))
+    links = t.select(F.explode(U.join_urls(F.col("base"), P.link_hrefs(*P.parsed()))).alias("url"))
     return src.pages(spark, sf).select("url").unionByName(links)
 
 
@@ -167,7 +167,7 @@ def q_url_sanitize(spark, sf):
 
 
 @query("seo_meta", group="pages", oracle=f"""WITH {_TS}, mt AS (
-    SELECT page_id, list_transform(regexp_extract_all(clean, {sq(H.META_RE)}, 0),
+    SELECT page_id, list_transform(regexp_extract_all(clean, {sq(S.META_RE)}, 0),
         lambda m: {{'name': {S.attr('m', 'name')}, 'property': {S.attr('m', 'property')},
                    'content': {S.attr('m', 'content')}, 'charset': {S.attr('m', 'charset')}}}) AS metas, clean
     FROM ts), fm AS (
@@ -187,11 +187,13 @@ def q_seo_meta(spark, sf):
     return s.select("page_id", "meta_description", "robots", "viewport", "charset")
 
 
-@query("html_markdown", group="pages")
+@query("html_markdown", group="pages", oracle=f"""WITH {_TS}, md AS (
+    SELECT page_id, {S.markdown(S.strip_boilerplate('clean'))} AS m FROM ts)
+SELECT page_id, CASE WHEN length(m) > 50000 THEN substr(m, 1, 50000) || '...' ELSE m END AS markdown,
+       length(CASE WHEN length(m) > 50000 THEN substr(m, 1, 50000) || '...' ELSE m END)::BIGINT AS markdown_chars FROM md""")
 def q_html_markdown(spark, sf):
-    """Markdown of the content region (rows-only check: the third-party
-    renderer's exact layout is not a spec)."""
-    t = _ts(spark, sf).select("page_id", truncate_text(H.markdown(F.col("clean")), 50000).alias("markdown"))
+    """Markdown of the content region (a layout of our own)."""
+    t = P.with_markdown(_ts(spark, sf)).select("page_id", "markdown")
     return t.select("page_id", "markdown", F.length("markdown").cast("long").alias("markdown_chars"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewise.functions import html as H
 from pagewise.operators import analysis as AN
 from pagewise.operators import pages as P
 from pagewise.plans import sqlhtml as S
@@ -18,7 +17,7 @@ EMPTY = "''"
 _R = pages_rich_sql()
 _TSR = f"""{_R}, ts AS (SELECT page_id, url, nc, {S.strip_code('nc')} AS clean
                FROM (SELECT page_id, url, {S.strip_comments('html')} AS nc FROM pages_rich)),
-  tm AS (SELECT *, {S.meta_list('clean')} AS metas, regexp_extract_all(nc, {sq(H.LD_JSON_RE)}, 1) AS ld FROM ts)"""
+  tm AS (SELECT *, {S.meta_list('clean')} AS metas, regexp_extract_all(nc, {sq(S.LD_JSON_RE)}, 1) AS ld FROM ts)"""
 
 
 def _rich(spark, sf):
@@ -50,7 +49,7 @@ def q_html_author(spark, sf):
 
 @query("html_date", group="rich", oracle=f"""WITH {_TSR}, a AS (
     SELECT page_id, {_first_meta("regexp_matches(m.property, '(?i)article:published_time')")} AS m1,
-           list_filter(regexp_extract_all(clean, {sq(H.TIME_TAG_RE)}, 0), lambda t: {S.attr_present('t', 'datetime')})[1] AS t0,
+           list_filter(regexp_extract_all(clean, {sq(S.TIME_TAG_RE)}, 0), lambda t: {S.attr_present('t', 'datetime')})[1] AS t0,
            {_first_meta("regexp_matches(m.name, '(?i)^date$')")} AS m3 FROM tm)
 SELECT page_id, CASE WHEN m1 IS NOT NULL THEN {_stripped_or_null('m1.content')}
                      WHEN t0 IS NOT NULL THEN {S.attr('t0', 'datetime')}
@@ -118,9 +117,9 @@ def q_seo_meta_rich(spark, sf):
                                                  "viewport", "charset")
 
 
-_IMGS = f"""im AS (SELECT page_id, url, list_transform(list_filter(regexp_extract_all(clean, {sq(H.IMG_TAG_RE)}, 0),
+_IMGS = f"""im AS (SELECT page_id, url, list_transform(list_filter(regexp_extract_all(clean, {sq(S.IMG_TAG_RE)}, 0),
                 lambda t: {S.attr_present('t', 'src')}), lambda t: coalesce({S.attr('t', 'src')}, '')) AS srcs,
-              regexp_extract_all(clean, {sq(H.IMG_TAG_RE)}, 0) AS imgs FROM ts),
+              regexp_extract_all(clean, {sq(S.IMG_TAG_RE)}, 0) AS imgs FROM ts),
   ij AS (SELECT page_id, imgs, list_transform(srcs, lambda h: {S.join_url('url', 'h')}) AS lk FROM im)"""
 
 

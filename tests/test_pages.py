@@ -100,8 +100,8 @@ def test_quoted_angle_brackets_stay_in_their_tag(spark):
     from pagewise.functions import html as H
     page = ('<html><head><meta name="description" content="Home > Shop > Tea"></head><body>'
             '<img src="a.png" alt="a > b"><p title=\'x > y\'>It\'s 5 < 6 here</p></body></html>')
-    r = _html(spark, page, H.meta_structs(F.col("clean")).alias("m"), H.tags(F.col("clean"), H.IMG_TAG_RE).alias("i"),
-              H.body_text(F.col("clean")).alias("b"), "text")
+    r = _html(spark, page, H.meta_structs(*P.parsed()).alias("m"), H.tags(*P.parsed(), "img").alias("i"),
+              H.body_text(*P.parsed()).alias("b"), "text")
     assert r.m[0].content == "Home > Shop > Tea"
     assert r.i == ['<img src="a.png" alt="a > b">']
     assert r.b == "It's 5 < 6 here" and r.text == "It's 5 < 6 here"
@@ -110,7 +110,7 @@ def test_quoted_angle_brackets_stay_in_their_tag(spark):
 def test_numeric_references(spark):
     from pagewise.functions import html as H
     r = _html(spark, "<title>Tom &#38; Jerry &#8212; &#x27;x&#X1F600; &#0; &#xD800; &amp;#39; &#12 &#;</title>",
-              H.title(F.col("clean")).alias("t"))
+              H.title(*P.parsed()).alias("t"))
     assert r.t == "Tom & Jerry — 'x\U0001F600 � � &#39; &#12 &#;"
 
 
