@@ -62,7 +62,7 @@ MAX_LINKS = 100
 MAX_H1 = 10
 MAX_H2 = 20
 MAX_SCHEMA_ITEMS = 10
-_RUN = 256  # ranges that a fold appends to one array before it starts another
+_RUN = 64  # events summed up together
 
 
 def _numeric(piece: Column) -> Column:
@@ -96,6 +96,12 @@ def _bind(c: Column, fn) -> Column:
     return F.get(F.transform(F.array(c), fn), 0)
 
 
+def _bind2(a: Column, b: Column, fn) -> Column:
+    """``fn(a, b)``, both evaluated once. What a lambda reads per element has to be
+    bound: the optimizer may put a column's whole expression in its place."""
+    return _bind(F.struct(a.alias("a"), b.alias("b")), lambda s: fn(s["a"], s["b"]))
+
+
 def strip_comments(html: Column) -> Column:
     return F.regexp_replace(html, F.lit(COMMENT_RE), F.lit(""))
 
@@ -164,7 +170,7 @@ def attr(tag: Column, name: str) -> Column:
 
 def tags(toks: Column, names: Column, name: str) -> Column:
     """The opening tags of one name, in document order."""
-    return F.filter(toks, lambda t, i: F.get(names, i) == f"<{name}")
+    return _bind2(toks, names, lambda ts, ns: F.filter(ts, lambda t, i: F.get(ns, i) == f"<{name}"))
 
 
 def first(arr: Column) -> Column:
@@ -174,61 +180,85 @@ def first(arr: Column) -> Column:
 
 # ---------------------------------------------------------------- elements
 
+def _depths(marks: Column, opening: str) -> Column:
+    """Depth after each event, never below 0. Events are cut into runs: a run is
+    summed up by its sum and least prefix sum, which give the depth at the start of
+    every run; inside a run each event adds up what is before it. (A fold that
+    collects an array copies it at every step.)"""
+    def move(e: Column) -> Column:
+        return F.when(e["n"] == opening, F.lit(1)).otherwise(F.lit(-1))
+
+    def cut(ev: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ev) - 1) / _RUN).cast("int")),
+                           lambda c: F.slice(ev, c * _RUN + 1, F.lit(_RUN)))
+
+    def sums(runs: Column) -> Column:
+        def step(x: Column, e: Column) -> Column:
+            total = x["s"] + move(e)
+            return F.struct(total.alias("s"), F.least(x["m"], total).alias("m"))
+        return F.transform(runs, lambda r: F.aggregate(r, F.struct(F.lit(0).alias("s"), F.lit(0).alias("m")), step))
+
+    def at_start(totals: Column) -> Column:
+        return F.transform(totals, lambda x, k: F.aggregate(
+            F.slice(totals, F.lit(1), k), F.lit(0), lambda d, y: F.greatest(d + y["s"], y["s"] - y["m"])))
+
+    def inside(runs: Column, starts: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda r, k: F.transform(r, lambda e, j: F.aggregate(
+            F.slice(r, F.lit(1), j + 1), F.get(starts, k), lambda d, x: F.greatest(d + move(x), F.lit(0))))))
+
+    def all_of(ev: Column) -> Column:
+        return _bind(cut(ev), lambda runs: _bind2(runs, _bind(sums(runs), at_start), inside))
+    return F.when(F.size(marks) == 0, F.array().cast("array<int>")).otherwise(_bind(marks, all_of))
+
+
 def outer_elements(names: Column, name: str) -> Column:
     """``(a, b)``, places of the opening and closing tag, of the outermost
     elements of one name. One that is never closed ends at the last closing tag
-    after it; without any it is none.
-
-    The fold carries depth and start; finished ranges go to a short array, full
-    ones of which go to an array of arrays, so that appending stays cheap."""
-    pair = "struct<a:int,b:int>"
-    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("a"), F.lit(-1).alias("z"),
-                     F.array().cast(f"array<{pair}>").alias("run"), F.array().cast(f"array<array<{pair}>>").alias("done"))
-
-    def step(s: Column, e: Column) -> Column:
-        opens = e["n"] == f"<{name}"
-        depth = F.when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
-        ends = ~opens & (s["depth"] == 1)
-        full = ends & (F.size(s["run"]) >= _RUN)
-        item = F.array(F.struct(s["a"].alias("a"), e["i"].alias("b")))
-        run = F.when(full, item).when(ends, F.concat(s["run"], item)).otherwise(s["run"])
-        done = F.when(full, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
-        return F.struct(depth.alias("depth"), F.when(opens & (s["depth"] == 0), e["i"]).otherwise(s["a"]).alias("a"),
-                        F.when(opens, s["z"]).otherwise(e["i"]).alias("z"), run.alias("run"), done.alias("done"))
-
-    def finish(s: Column) -> Column:
-        left = F.when((s["depth"] > 0) & (s["z"] > s["a"]), F.array(F.struct(s["a"].alias("a"), s["z"].alias("b")))) \
-                .otherwise(F.array().cast(f"array<{pair}>"))
-        return F.concat(F.flatten(s["done"]), s["run"], left)
-    return F.aggregate(events(names, [f"<{name}", f"</{name}"]), start, step, finish)
+    after it; without any it is none."""
+    opening, closing = f"<{name}", f"</{name}"
+
+    def outer(ev: Column, depths: Column) -> Column:
+        return F.filter(ev, lambda e, k: F.when(e["n"] == opening, F.get(depths, k) == 1).otherwise(
+            (F.get(depths, k) == 0) & (F.coalesce(F.get(depths, k - 1), F.lit(0)) == 1)))
+
+    def pairs(marks: Column, last: Column) -> Column:
+        found = F.transform(marks, lambda e, k: F.when(e["n"] == opening, F.struct(
+            e["i"].alias("a"), F.coalesce(F.get(marks, k + 1)["i"], last).alias("b"))))
+        return F.filter(found, lambda x: x.isNotNull() & (x["b"] > x["a"]))
+
+    def of(ev: Column) -> Column:
+        closes = F.filter(ev, lambda e: e["n"] == closing)
+        return _bind2(_bind2(ev, _depths(ev, opening), outer), F.coalesce(F.get(closes, F.size(closes) - 1)["i"], F.lit(-1)), pairs)
+    return _bind(events(names, [opening, closing]), of)
 
 
 def without(arr: Column, elements: Column) -> Column:
     """``arr`` without the ranges of ``elements`` (ascending, apart)."""
-    before = F.transform(elements, lambda e, k: _range(
-        arr, F.coalesce(F.get(elements, k - 1)["b"] + 1, F.lit(0)), e["a"]))
-    last = F.get(elements, F.size(elements) - 1)["b"] + 1
-    return F.when(F.size(elements) == 0, arr).otherwise(
-        F.flatten(F.concat(before, F.array(_range(arr, last, F.size(arr))))))
+    def cut(a: Column, es: Column) -> Column:
+        before = F.transform(es, lambda e, k: _range(a, F.coalesce(F.get(es, k - 1)["b"] + 1, F.lit(0)), e["a"]))
+        last = F.get(es, F.size(es) - 1)["b"] + 1
+        return F.when(F.size(es) == 0, a).otherwise(F.flatten(F.concat(before, F.array(_range(a, last, F.size(a))))))
+    return _bind2(arr, elements, cut)
 
 
 def element_end(names: Column, start: Column) -> Column:
     """Place of the tag that closes the element opened at ``start``; the number of tokens if none does."""
     name = F.substring(F.get(names, start), 2, 1 << 20)
-    state = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("end"))
+    zero = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("end"))
 
-    def scan(own: Column) -> Column:
-        opens, closes = F.concat(F.lit("<"), own), F.concat(F.lit("</"), own)
+    def scan(tag: Column, at: Column) -> Column:
+        opens, closes = tag["opens"], tag["closes"]
 
         def step(s: Column, n: Column) -> Column:
             i = s["i"] + 1
-            live = (s["end"] < 0) & (i >= start)
+            live = (s["end"] < 0) & (i >= at)
             depth = (F.when(live & (n == opens), s["depth"] + 1).when(live & (n == closes), s["depth"] - 1)
                       .otherwise(s["depth"]))
             end = F.when(live & (n == closes) & (s["depth"] == 1), i).otherwise(s["end"])
             return F.struct(i.alias("i"), depth.alias("depth"), end.alias("end"))
-        return F.aggregate(names, state, step, lambda s: F.when(s["end"] >= 0, s["end"]).otherwise(F.size(names)))
-    return _bind(name, scan)
+        return F.aggregate(names, zero, step, lambda s: F.when(s["end"] >= 0, s["end"]).otherwise(s["i"] + 1))
+    both = F.struct(F.concat(F.lit("<"), name).alias("opens"), F.concat(F.lit("</"), name).alias("closes"))
+    return _bind2(both, start, scan)
 
 
 def title(toks: Column, names: Column) -> Column:
@@ -248,13 +278,14 @@ def html_lang(toks: Column, names: Column) -> Column:
 
 def _texts_between(toks: Column, marks: Column, opening: str) -> Column:
     """Element text from each ``opening`` event to the event after it."""
-    texts = F.transform(marks, lambda e, k: F.when(e["n"] == opening, pieces_text(_range(
-        toks, e["i"] + 1, F.coalesce(F.get(marks, k + 1)["i"], F.size(toks))))))
-    return F.filter(texts, lambda t: t.isNotNull())
+    def texts(ts: Column, ev: Column) -> Column:
+        return F.transform(ev, lambda e, k: F.when(e["n"] == opening, pieces_text(_range(
+            ts, e["i"] + 1, F.coalesce(F.get(ev, k + 1)["i"], F.size(ts))))))
+    return F.filter(_bind2(toks, marks, texts), lambda t: t.isNotNull())
 
 
 def headings(toks: Column, names: Column, level: int) -> Column:
-    return _bind(events(names, [f"<h{level}", f"</h{level}"]), lambda ev: _texts_between(toks, ev, f"<h{level}"))
+    return _texts_between(toks, events(names, [f"<h{level}", f"</h{level}"]), f"<h{level}")
 
 
 def body_tokens(toks: Column, names: Column) -> Column:
@@ -272,7 +303,8 @@ def body_text(toks: Column, names: Column) -> Column:
 
 def _first_tag(toks: Column, names: Column, pred) -> Column:
     """Place of the first opening tag with ``pred(token, name)``; NULL where there is none."""
-    return first(F.filter(F.transform(toks, lambda t, i: F.when(pred(t, F.get(names, i)), i)), lambda i: i.isNotNull()))
+    return first(_bind2(toks, names, lambda ts, ns: F.filter(
+        F.transform(ts, lambda t, i: F.when(pred(t, F.get(ns, i)), i)), lambda i: i.isNotNull())))
 
 
 def region_start(toks: Column, names: Column) -> Column:
@@ -299,7 +331,7 @@ def region_bounds(names: Column, start: Column) -> Column:
 def paragraphs(toks: Column, names: Column) -> Column:
     """Texts of the <p> elements of a range (non-empty ones only)."""
     marks = events(names, [f"{o}{b}" for b in BLOCKS for o in ("<", "</")])
-    return F.filter(_bind(marks, lambda ev: _texts_between(toks, ev, "<p")), lambda t: t != "")
+    return F.filter(_texts_between(toks, marks, "<p"), lambda t: t != "")
 
 
 def meta_structs(toks: Column, names: Column) -> Column:
@@ -358,23 +390,24 @@ def markdown(toks: Column, names: Column) -> Column:
     the first ``</a`` before the next ``<a``; a link without one is its text."""
     opens = F.filter(F.transform(names, lambda n, i: F.when(n == "<a", i)), lambda i: i.isNotNull())
 
-    def segment(start: Column, stop: Column) -> Column:
-        def parts(r: Column) -> Column:
-            return F.struct(r["own"].alias("own"), r["kinds"].alias("kinds"), attr(F.get(r["own"], 0), "href").alias("href"),
-                            F.when(F.get(r["kinds"], 0) == "<a", F.array_position(r["kinds"], F.lit("</a"))).alias("close"))
-
-        def written(r: Column) -> Column:
-            link = F.coalesce((r["close"] > 0) & r["href"].isNotNull(), F.lit(False))
-            return F.array_join(F.transform(r["own"], lambda t, i: F.when(link & (i == 0), F.lit("[")).when(
-                link & (i == r["close"] - 1), F.concat(F.lit("]("), r["href"], F.lit(")"))).otherwise(
-                _mark(t, F.get(r["kinds"], i)))), "")
-        cut = F.struct(_range(toks, start, stop).alias("own"), _range(names, start, stop).alias("kinds"))
-        return _bind(_bind(cut, parts), written)
-
-    def render(starts: Column) -> Column:
-        rest = F.transform(starts, lambda s, k: segment(s, F.coalesce(F.get(starts, k + 1), F.size(toks))))
-        return F.concat(segment(F.lit(0), F.coalesce(F.get(starts, 0), F.size(toks))), F.array_join(rest, ""))
-    md = decode_entities(_bind(opens, render))
+    def parts(r: Column) -> Column:
+        return F.struct(r["own"].alias("own"), r["kinds"].alias("kinds"), attr(F.get(r["own"], 0), "href").alias("href"),
+                        F.when(F.get(r["kinds"], 0) == "<a", F.array_position(r["kinds"], F.lit("</a"))).alias("close"))
+
+    def written(r: Column) -> Column:
+        link = F.coalesce((r["close"] > 0) & r["href"].isNotNull(), F.lit(False))
+        return F.array_join(F.transform(r["own"], lambda t, i: F.when(link & (i == 0), F.lit("[")).when(
+            link & (i == r["close"] - 1), F.concat(F.lit("]("), r["href"], F.lit(")"))).otherwise(
+            _mark(t, F.get(r["kinds"], i)))), "")
+
+    def render(page: Column) -> Column:
+        ts, ns, starts = page["ts"], page["ns"], page["starts"]
+
+        def segment(start: Column, stop: Column) -> Column:
+            return _bind(_bind(F.struct(_range(ts, start, stop).alias("own"), _range(ns, start, stop).alias("kinds")), parts), written)
+        rest = F.transform(starts, lambda s, k: segment(s, F.coalesce(F.get(starts, k + 1), F.size(ts))))
+        return F.concat(segment(F.lit(0), F.coalesce(F.get(starts, 0), F.size(ts))), F.array_join(rest, ""))
+    md = decode_entities(_bind(F.struct(toks.alias("ts"), names.alias("ns"), opens.alias("starts")), render))
     for pattern, to in ((r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
         md = F.regexp_replace(md, F.lit(pattern), F.lit(to))
     return ws_trim(md)

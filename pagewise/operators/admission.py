@@ -138,12 +138,12 @@ def classify_errors(outcomes: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def envelope(rows: DataFrame, data_cols: list[str], error_code: Column, message: Column | None = None,
-             cached: Column | None = None) -> DataFrame:
-    """(success, data STRUCT, error STRUCT, cached, timestamp): a row with an
-    ``error_code`` becomes an error, any other a success."""
+             cached: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(success, data STRUCT, error STRUCT, cached, timestamp) and the columns
+    ``keep``: a row with an ``error_code`` becomes an error, any other a success."""
     failed = error_code.isNotNull()
     error = F.struct(error_code.alias("code"), (message if message is not None else F.lit(None).cast("string")).alias("message"))
     return rows.select(
         (~failed).alias("success"), F.when(~failed, F.struct(*data_cols)).alias("data"), F.when(failed, error).alias("error"),
         (F.coalesce(cached, F.lit(False)) & ~failed if cached is not None else F.lit(False)).alias("cached"),
-        F.current_timestamp().alias("timestamp"))
+        F.current_timestamp().alias("timestamp"), *(keep or []))

@@ -5,16 +5,19 @@ Scale notes: one caller may own a third of the log. Counts and sums use
 partial (map-side) aggregation; the per-caller running count used for quota
 ordinals is computed in two phases (per caller-month-minute ranks plus a prefix
 sum over the small per-minute count table) so no single task sorts a hot
-caller's whole month; exact latency percentiles are taken from a
-(group, latency) histogram whose size is bounded by the distinct latency
-values, not by the row count.
+caller's whole month; exact latency percentiles come from a mergeable sketch
+that brackets each rank and an exact count of what lies in the bracket, a small
+share of the rows; the result cache is scanned in pieces of a digest's requests,
+whose effects on the cache are composed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,17 @@ def key_data(endpoint: Column, url: Column, url2: Column) -> Column:
              .otherwise(url))
 
 
+def text_key_data(endpoint: Column, text: Column, fmt: Column | None = None, max_length: Column | None = None,
+                  language: Column | None = None) -> Column:
+    """Key material of a request that carries its text: the whole text takes the
+    place of the URL (requests that differ anywhere in it have different keys)."""
+    source = F.coalesce(text, F.lit(""))
+    fmt = F.lit(DEFAULT_FORMAT) if fmt is None else fmt
+    max_length = F.lit(str(DEFAULT_MAX_LENGTH)) if max_length is None else max_length.cast("string")
+    language = F.lit(DEFAULT_LANGUAGE) if language is None else language
+    return F.when(endpoint == "summarize", F.concat_ws(":", source, fmt, max_length, language)).otherwise(source)
+
+
 def request_key(endpoint: Column, data: Column) -> Column:
     return F.concat(F.lit(KEY_NAMESPACE + ":"), endpoint, F.lit(":"), F.substring(F.sha2(data, 256), 1, 16))
 
@@ -149,44 +163,51 @@ def request_metrics(req: DataFrame) -> DataFrame:
                   round_half_even(F.avg("latency_ms"), 4).alias("avg_latency_ms")))
 
 
-def latency_percentiles(req: DataFrame, group: str = "endpoint") -> DataFrame:
-    """Exact p50 / p95 / p99 (linear interpolation) per group from a
-    (group, value) histogram: cumulative counts locate the two ranks around
-    each quantile position; no group's rows are ever collected together.
-
-    The cumulative count is two-phase so a hot group is not one window task:
-    running sums within (group, 1-unit value bucket), plus a prefix sum over
-    the per-bucket totals (one row per bucket)."""
-    # The histogram is read by five branches below; materialise it once so the
-    # request log is scanned once (it is bounded by distinct values, not rows).
-    hist = cut_lineage(req.groupBy(group, "latency_ms").agg(F.count(F.lit(1)).alias("cnt")), "latency_hist")
-    hist = hist.withColumn("_bucket", F.floor("latency_ms"))
-    within = Window.partitionBy(group, "_bucket").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum_in", F.sum("cnt").over(within))
-    totals = hist.groupBy(group, "_bucket").agg(F.sum("cnt").alias("_bn"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    hist = (hist.join(offsets, [group, "_bucket"])
-                .withColumn("cum", F.col("_off") + F.col("_cum_in"))
-                .withColumn("cum_before", F.col("cum") - F.col("cnt"))
-                .drop("_bucket", "_cum_in", "_off"))
-    n = hist.groupBy(group).agg(F.sum("cnt").alias("n"))
-    t = n.select(group, "n", F.explode(F.array(*[F.lit(q) for q in QUANTILES])).alias("q"))
-    t = t.select(group, "n", "q", (F.col("q") * (F.col("n") - 1)).alias("pos"))
-    t = t.select(group, "n", "q", "pos", F.floor("pos").cast("long").alias("k_lo"),
-                 F.ceil("pos").cast("long").alias("k_hi"))
-
-    def at(k: str, name: str) -> DataFrame:
-        h = hist.select(F.col(group).alias("_g"), "latency_ms", "cum_before", "cum")
-        j = t.join(h, (t[group] == h["_g"]) & (h["cum_before"] <= t[k]) & (t[k] < h["cum"]))
-        return j.select(group, "q", F.col("latency_ms").alias(name))
-    lo, hi = at("k_lo", "v_lo"), at("k_hi", "v_hi")
-    v = t.join(lo, [group, "q"]).join(hi, [group, "q"])
-    v = v.select(group, "n", "q",
-                 round_half_even(F.col("v_lo") + (F.col("pos") - F.col("k_lo")) * (F.col("v_hi") - F.col("v_lo")), 4)
-                 .alias("v"))
-    return v.groupBy(group, F.col("n").alias("n_requests")).agg(
-        *[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{int(round(q * 100))}_latency_ms") for q in QUANTILES])
+SKETCH_ACCURACY = 20_000  # the sketch's ranks are off by a share of 1 / SKETCH_ACCURACY at most
+
+
+def latency_percentiles(req: DataFrame, group: str = "endpoint", value: str = "latency_ms") -> DataFrame:
+    """Exact p50 / p95 / p99 (linear interpolation) per group, in three shuffles
+    of small tables.
+
+    A quantile sketch per group, merged from the tasks' sketches, gives for each
+    quantile two values that its ranks lie between: the sketch is asked for ranks
+    further away than its error bound. The second pass counts the rows below the
+    bracket and, value by value, those in it (about ``4 / SKETCH_ACCURACY`` of
+    the rows), so every task passes one row on for what lies below. Running
+    counts over the bracket find both neighbours of the quantile's position.
+    Null values are counted as requests and have no rank."""
+    asked = []
+    for q in QUANTILES:
+        asked += [max(0.0, q - 2 / SKETCH_ACCURACY), min(1.0, q + 2 / SKETCH_ACCURACY)]
+    sketch = req.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.count(value).alias("n"),
+        F.percentile_approx(value, asked, SKETCH_ACCURACY).alias("at"), F.min(value).alias("least"), F.max(value).alias("most"))
+    brackets = F.array(*[F.struct(
+        F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("pos"),
+        # with few rows a rank or two is more than the margin
+        F.when(F.col("n") < SKETCH_ACCURACY, F.col("least")).otherwise(F.get("at", 2 * i)).alias("low"),
+        F.when(F.col("n") < SKETCH_ACCURACY, F.col("most")).otherwise(F.get("at", 2 * i + 1)).alias("high"))
+        for i, q in enumerate(QUANTILES)])
+    sketch = sketch.select(F.col(group).alias("_g"), "n_requests", "n", F.explode(brackets).alias("b"))
+    sketch = sketch.select("_g", "n_requests", "n", "b.i", "b.pos", "b.low", "b.high")
+    sketch = cut_lineage(sketch, "quantile_brackets")
+    rows = req.select(F.col(group).alias("_k"), F.col(value).alias("v")).join(sketch, F.col("_k").eqNullSafe(F.col("_g")))
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))  # NULL: below the bracket
+    counted = (rows.where((F.col("v") <= F.col("high")) | (F.col("n") == 0))
+               .groupBy("_g", "n_requests", "i", "pos", inside.alias("v")).agg(F.count("v").alias("cnt")))
+    running = Window.partitionBy("_g", "n_requests", "i").orderBy(F.asc_nulls_first("v")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    ranked = counted.repartition("_g", "n_requests").withColumn("cum", F.sum("cnt").over(running))
+
+    def at(i: int) -> Column:
+        """Value at the quantile's position: between those of the ranks on both sides."""
+        here = (F.col("i") == i) & F.col("v").isNotNull()
+        low, high = (F.min(F.when(here & (F.col("cum") > k), F.col("v"))) for k in (F.floor("pos"), F.ceil("pos")))
+        pos = F.max(F.when(F.col("i") == i, F.col("pos")))
+        return round_half_even(low + (pos - F.floor(pos)) * (high - low), 4)
+    return ranked.groupBy("_g", "n_requests").agg(
+        *[at(i).alias(f"p{int(round(q * 100))}_latency_ms") for i, q in enumerate(QUANTILES)]).withColumnRenamed("_g", group)
 
 
 def incremental_reuse(req: DataFrame, prior: DataFrame) -> DataFrame:
@@ -203,7 +224,68 @@ def prior_results(req: DataFrame) -> DataFrame:
     return req.where(third).groupBy("request_digest", "endpoint").agg(F.min("ts").alias("computed_at"))
 
 
-REUSE_SCHEMA = "request_id long, request_key string, ts timestamp, endpoint string, served_from timestamp, cached boolean"
+SERVED = ["request_id", "request_key", "ts", "endpoint"]
+_PIECE_DDL = ("kind string, request_digest string, part int, entry long, exit long, request_id long, request_key string, "
+              "ts timestamp, endpoint string, served_from timestamp, cached boolean")
+
+
+def _misses(at: np.ndarray, start: int, ttl: int) -> np.ndarray:
+    """Times at which a result is computed: ``start``, then the first request a lifetime or more later, and so on."""
+    out, k = [start], int(np.searchsorted(at, start + ttl))
+    while k < len(at):
+        out.append(int(at[k]))
+        k = int(np.searchsorted(at, out[-1] + ttl))
+    return np.array(out)
+
+
+def _exits(at: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a piece of a digest's requests (ascending times) does to the cache: for
+    every time that can be the first miss in it, the last miss in it. Only
+    requests within a lifetime of the first one, and the next one after, can."""
+    at = np.unique(at)
+    after = np.searchsorted(at, at + ttl)
+    last = np.where(after < len(at), after, np.arange(len(at)))
+    while True:  # pointer doubling
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    entries = min(len(at), int(after[0]) + 1)
+    return at[:entries], at[last[:entries]]
+
+
+def _served(at: np.ndarray, misses: np.ndarray) -> np.ndarray:
+    """Time of the result that serves each request (masked: the request is a miss itself)."""
+    k = np.searchsorted(misses, at, "right") - 1
+    from_ = misses[np.maximum(k, 0)]
+    return np.ma.masked_array(from_, (k < 0) | (from_ >= at))
+
+
+def _with_served(rows: pa.Table, served: np.ndarray, kind: str, part: int) -> pa.RecordBatch:
+    n = rows.num_rows
+    from_ = pa.array(served.data.astype(np.int64), mask=np.ma.getmaskarray(served))
+    columns = [pa.array([kind] * n), rows["request_digest"], pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.int64()),
+               pa.nulls(n, pa.int64()), *[rows[c] for c in SERVED], from_.cast(rows.schema.field("ts").type), from_.is_valid()]
+    names = ["kind", "request_digest", "part", "entry", "exit", *SERVED, "served_from", "cached"]
+    return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches(max_chunksize=n or 1)
+
+
+def _digests(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with one ``key``, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column(key)
+        if not len(keys):
+            continue
+        codes = keys.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(keys)]
+        for x, y in zip(cuts, cuts[1:]):
+            if held and held[-1].column(key)[0] != keys[x]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def ttl_reuse(req: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
@@ -212,25 +294,78 @@ def ttl_reuse(req: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     ``ttl_seconds`` ago (``served_from`` is when); else it is computed and its
     result is stored.
 
-    Which request computes depends on the one that computed before it, so each
-    digest is scanned in time order: partitioned by digest and sorted, one pass
-    that holds one row (a digest with very many requests is a long scan, not a
-    large group)."""
-    cols = ["request_digest", "request_id", "request_key", "ts", "endpoint"]
-    rows = req.select(*cols).repartition("request_digest").sortWithinPartitions("request_digest", "ts", "request_id")
+    Which request computes depends on the one that computed before it. Requests
+    are range-partitioned by digest and time, so a digest with very many of them
+    lies in pieces in many tasks. A task finishes the digests that it holds from
+    their first request on; of the piece that it begins with, which may go on
+    from the partition before, it tells what the piece does to the cache for
+    every possible first miss. These functions are composed along each digest;
+    that gives the first miss of every piece, from which its requests are served."""
+    ttl = ttl_seconds * 1_000_000
+    cols = ["request_digest", *SERVED]
+    order = ["request_digest", "ts", "request_id"]
+    rows = req.select(*cols).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, stored = None, None
-        for b in batches:
-            stamps = b.column("ts").cast(pa.int64()).to_pylist()
-            served = []
-            for d, ts in zip(b.column("request_digest").to_pylist(), stamps):
-                fresh = d == digest and ts - stored < ttl_seconds * 1_000_000
-                served.append(stored if fresh and stored < ts else None)
-                if not fresh:
-                    digest, stored = d, ts
-            from_ = pa.array(served, pa.int64())
+        part = TaskContext.get().partitionId()
+        for k, t in enumerate(_digests(batches, "request_digest")):
+            at = t["ts"].cast(pa.int64()).to_numpy()
+            misses = _misses(at, int(at[0]), ttl)
+            if k:
+                yield from _with_served(t, _served(at, misses), "row", part)
+                entries, exits = at[:1], misses[-1:]  # it may go on in the next partition
+            else:
+                yield from _with_served(t, np.ma.masked_all(len(at), np.int64), "pending", part)
+                entries, exits = _exits(at, ttl)
+            n = len(entries)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in cols[1:]), from_.cast(b.column("ts").type), from_.is_valid()],
-                names=[*cols[1:], "served_from", "cached"])
-    return rows.mapInArrow(scan, REUSE_SCHEMA)
+                [pa.array(["piece"] * n), pa.array([t["request_digest"][0].as_py()] * n, pa.string()),
+                 pa.array(np.full(n, part, np.int32)), pa.array(entries), pa.array(exits), pa.nulls(n, pa.int64()),
+                 pa.nulls(n, pa.string()), pa.nulls(n, t.schema.field("ts").type), pa.nulls(n, pa.string()),
+                 pa.nulls(n, t.schema.field("ts").type), pa.nulls(n, pa.bool_())],
+                ["kind", "request_digest", "part", "entry", "exit", *SERVED, "served_from", "cached"])
+
+    done = cut_lineage(rows.mapInArrow(scan, _PIECE_DDL), "reuse", partition_by=("kind",))
+    open_ = done.where("kind = 'pending'").select("request_digest", "part").distinct()  # no more rows than partitions
+    pieces = done.where("kind = 'piece'").select("request_digest", "part", "entry", "exit")
+    pieces = pieces.join(F.broadcast(open_.select("request_digest").distinct()), "request_digest", "left_semi")
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, part, free, chosen = None, None, None, True
+        for b in batches:
+            out = []
+            for d, p, entry, exit_ in zip(*[b.column(c).to_pylist() for c in ("request_digest", "part", "entry", "exit")],
+                                          strict=True):
+                if d != digest:
+                    digest, part, free = d, None, None  # free: from when on a request is a miss
+                if p != part:
+                    part, chosen = p, False
+                if not chosen and (free is None or entry >= free):
+                    chosen = True
+                    out.append((d, p, entry))
+                    free = exit_ + ttl
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()),
+                     pa.array([x[2] for x in out], pa.int64())], ["request_digest", "part", "start"])
+    starts = (pieces.repartition("request_digest").sortWithinPartitions("request_digest", "part", "entry")
+              .mapInArrow(compose, "request_digest string, part int, start long"))
+    # where a piece holds no miss, its requests are served from the last miss before it
+    state = starts.join(pieces.select("request_digest", "part", F.col("entry").alias("start"), "exit"),
+                        ["request_digest", "part", "start"])
+    before = Window.partitionBy("request_digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    state = open_.join(state, ["request_digest", "part"], "full").withColumn("held", F.max("exit").over(before))
+    # one row for each piece that a partition begins or ends with
+    pending = done.where("kind = 'pending'").join(F.broadcast(state.drop("exit", "entry")), ["request_digest", "part"], "left")
+    pending = pending.select("part", *cols, "start", "held").repartition("part").sortWithinPartitions("part", "ts", "request_id")
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _digests(batches, "part"):
+            at = t["ts"].cast(pa.int64()).to_numpy()
+            start, held = t["start"][0].as_py(), t["held"][0].as_py()
+            misses = _misses(at, start, ttl) if start is not None else np.zeros(0, np.int64)
+            if held is not None:
+                misses = np.append(np.int64(held), misses)
+            yield from _with_served(t, _served(at, misses), "row", t["part"][0].as_py())
+    keep = [*SERVED, "served_from", "cached"]
+    return done.where("kind = 'row'").select(*keep).unionByName(pending.mapInArrow(serve, _PIECE_DDL).select(*keep))

@@ -9,10 +9,11 @@ from pagewise.functions import urls as U
 from pagewise.functions.text import ws_word_count
 from pagewise.operators import admission as A
 from pagewise.operators import pages as P
+from pagewise.operators import store as ST
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import NONWS, sq, ws_count
-from pagewise.session import spread
+from pagewise.session import shared_path, spread
 from pagewise.sources import fixtures as fx
 from pagewise.sources import requests as RQ
 from pagewise.sources import tables as src
@@ -25,7 +26,7 @@ _V4 = (r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1
 
 def _urls(spark, sf):
     ts = P.tag_stage(spread(src.pages(spark, sf)))
-    links = ts.select(F.explode(U.join_urls(F.col("base"), P.link_hrefs(F.col("clean")))).alias("url"))
+    links = ts.select(F.explode(U.join_urls(F.col("base"), P.link_hrefs(*P.parsed()))).alias("url"))
     return src.pages(spark, sf).select("url").unionByName(links)
 
 
@@ -255,3 +256,27 @@ def q_envelope(spark, sf):
                                        A.no_content(F.col("text")).alias("blank"))
     e = A.envelope(rows, ["request_id", "text_chars"], F.when(F.col("blank"), F.lit("NO_CONTENT")))
     return e.select("success", "data.request_id", "data.text_chars", F.col("error.code").alias("error_code"), "cached")
+
+
+@query("envelope_sink", group="admission", oracle=f"""{_RESOLVED_SQL}, e AS (
+    SELECT CASE WHEN length(text) % 2 = 0 THEN 'summarize' ELSE 'sentiment' END AS endpoint,
+           DATE '2024-01-01' + (length(text) % 3)::INTEGER AS day, regexp_matches(text, {NONWS}) AS success, length(text) AS n FROM res)
+SELECT f.fmt, strftime(day, '%Y-%m-%d') AS day, endpoint, success, count(*)::BIGINT AS n_envelopes,
+       sum(CASE WHEN success THEN n END)::BIGINT AS text_chars, count(*) FILTER (NOT success)::BIGINT AS n_errors
+FROM e, (VALUES ('parquet'), ('json')) AS f(fmt) GROUP BY ALL""")
+def q_envelope_sink(spark, sf):
+    """Envelopes written twice by (day, endpoint) and read back, in both formats."""
+    rows = _resolved(spark, sf).select(
+        "request_id", F.length("text").cast("long").alias("text_chars"), A.no_content(F.col("text")).alias("blank"),
+        F.when(F.length("text") % 2 == 0, F.lit("summarize")).otherwise(F.lit("sentiment")).alias("endpoint"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.length("text") % 3).cast("int")).alias("day"))
+    sent = A.envelope(rows, ["request_id", "text_chars"], F.when(F.col("blank"), F.lit("NO_CONTENT")), keep=["day", "endpoint"])
+    out = []
+    for fmt in ("parquet", "json"):
+        path = shared_path(spark, f"envelopes-{fmt}")
+        for _ in range(2):  # the second run replaces the first
+            ST.write_envelopes(sent, path, "daily", fmt=fmt)
+        out.append(ST.read_envelopes(spark, path, sent, fmt).groupBy(F.col("day").cast("string").alias("day"), "endpoint", "success").agg(
+            F.count(F.lit(1)).alias("n_envelopes"), F.sum("data.text_chars").alias("text_chars"),
+            F.count("error.code").alias("n_errors")).withColumn("fmt", F.lit(fmt)))
+    return out[0].unionByName(out[1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewise.operators import simjoin
 from pagewise.operators import terms as tm
 from pagewise.operators.compare import compare_records, content_gap
 from pagewise.plans.registry import query
@@ -170,3 +171,17 @@ def q_copy_clusters(spark, sf):
     """Exact-copy detection over the whole corpus (the cosine = 1 slice of a
     similarity join, without emitting pairs)."""
     return tm.copy_clusters(_tf(spark, sf))
+
+
+# Brute force over all pairs; texts with the same term frequencies are one class.
+@query("similarity_join", group="terms", oracle=f"""{_BASE}, {norms_cte()},
+  fp AS (SELECT text_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS f FROM tf GROUP BY text_id),
+  cl AS (SELECT f, min(text_id) AS class_id, count(*)::BIGINT AS class_size FROM fp GROUP BY f),
+  d AS (SELECT a.text_id AS l, b.text_id AS r, sum(a.tf * b.tf) AS dot FROM tf a JOIN tf b USING (term)
+        WHERE a.text_id <> b.text_id GROUP BY a.text_id, b.text_id),
+  k AS (SELECT l AS text_id, count(*)::BIGINT AS n FROM d JOIN norms x ON x.text_id = l JOIN norms y ON y.text_id = r
+        WHERE dot >= 0.95::DOUBLE * sqrt(x.sum_sq::DOUBLE) * sqrt(y.sum_sq::DOUBLE) GROUP BY l)
+SELECT fp.text_id, class_id, class_size, coalesce(n, 0) AS n_links FROM fp JOIN cl USING (f) LEFT JOIN k USING (text_id)""")
+def q_similarity_join(spark, sf):
+    """All texts of the corpus with the number of texts at a cosine of 0.95 or more."""
+    return simjoin.similarity_join(_tf(spark, sf))

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewise.operators import metering as M
+from pagewise.operators import store as ST
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import r
+from pagewise.session import shared_path
 from pagewise.sources import requests as RQ
 from pagewise.sources import tables as src
 
@@ -176,6 +178,56 @@ def q_incremental_reuse(spark, sf):
     return served.groupBy("endpoint", "cached").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
+_TEXT_ENDPOINTS = ["summarize", "sentiment", "keywords"]
+
+
+@query("text_request_key", group="usage", oracle="""
+WITH t AS (SELECT doc_id, unnest(['summarize', 'sentiment', 'keywords']) AS endpoint, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, endpoint, 'pw:' || endpoint || ':' || substr(sha256(
+         CASE WHEN endpoint = 'summarize' THEN text || ':tldr:200:en' ELSE text END), 1, 16) AS request_key FROM t""")
+def q_text_request_key(spark, sf):
+    """Keys of requests that carry a text instead of a URL."""
+    docs = src.documents(spark, sf).select("doc_id", "text", F.explode(F.array(*map(F.lit, _TEXT_ENDPOINTS))).alias("endpoint"))
+    data = M.text_key_data(F.col("endpoint"), F.col("text"))
+    return docs.select("doc_id", "endpoint", M.request_key(F.col("endpoint"), data).alias("request_key"))
+
+
+# Two batches over overlapping times: the first three quarters of the log's span, then its last half.
+_SPAN = "(SELECT min(ts) AS t0, max(ts) - min(ts) AS span FROM reqk)"
+STORE_TTL = 6 * 3600
+
+
+@query("result_store", group="usage", oracle=f"""WITH {_DENSE},
+  sl AS (SELECT *, floor(epoch_us(ts) / {STORE_TTL * 1_000_000}) AS slice FROM reqk),
+  b1 AS (SELECT q.* FROM sl q, {_SPAN} s WHERE ts <= t0 + to_microseconds((epoch_us(t0 + span) - epoch_us(t0)) * 3 // 4)),
+  b2 AS (SELECT q.* FROM sl q, {_SPAN} s WHERE ts >= t0 + to_microseconds((epoch_us(t0 + span) - epoch_us(t0)) // 2)),
+  c1 AS (SELECT request_digest, slice, min(ts) AS made FROM b1 GROUP BY ALL),
+  s1 AS (SELECT 'first' AS batch, b1.request_id, b1.endpoint, made AS computed_at, ts > made AS cached FROM b1 JOIN c1 USING (request_digest, slice)),
+  h2 AS (SELECT b2.request_id, b2.request_digest, b2.endpoint, b2.slice, b2.ts,
+           (SELECT max(made) FROM c1 WHERE c1.request_digest = b2.request_digest AND made <= b2.ts
+            AND made + INTERVAL {STORE_TTL} SECOND > b2.ts) AS hit FROM b2),
+  c2 AS (SELECT request_digest, slice, min(ts) AS made FROM h2 WHERE hit IS NULL GROUP BY ALL),
+  s2 AS (SELECT 'second' AS batch, request_id, endpoint, coalesce(hit, made) AS computed_at,
+           hit IS NOT NULL OR ts > made AS cached FROM h2 LEFT JOIN c2 USING (request_digest, slice))
+SELECT batch, request_id, endpoint, computed_at, cached FROM s1 UNION ALL SELECT * FROM s2""")
+def q_result_store(spark, sf):
+    """Two overlapping batches of the request log against one store; the second
+    is run twice, which must not change it."""
+    req = M.with_request_key(_req(spark, sf, dense=True)).select("request_id", "request_digest", "endpoint", "ts")
+    first, last = req.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    at = F.unix_micros("ts")
+    parts = [("first", req.where(at <= first + (last - first) * 3 // 4)), ("second", req.where(at >= first + (last - first) // 2))]
+    path = shared_path(spark, "results")
+
+    def compute(rows):
+        return rows.withColumn("result", F.md5("request_digest"))
+    out = {}
+    for name, rows in [*parts, parts[1]]:
+        out[name] = ST.serve(rows, path, name, compute, STORE_TTL).select(
+            F.lit(name).alias("batch"), "request_id", "endpoint", "computed_at", "cached")
+    return out["first"].unionByName(out["second"])
+
+
 # The times at which each digest is computed: the first request, then the first one a lifetime or more later.
 _MISSES = f"""WITH RECURSIVE {_DENSE},
   miss AS (SELECT request_digest, min(ts) AS t FROM reqk GROUP BY request_digest

@@ -106,7 +106,17 @@ HOSTILE = {
 }
 
 
+@pytest.fixture(scope="module")
+def warm(spark):
+    """Both plans once before, so that the times below are of the pages."""
+    for _ in range(2):
+        stage = _stage(spark, "<body><nav>n</nav><p>a <a href=b>c</a></p></body>")
+        P.with_main_text(stage).select("text").collect()
+        stage.select(F.size(P.link_hrefs(*P.parsed()))).collect()
+
+
 @pytest.mark.parametrize("name", HOSTILE)
+@pytest.mark.usefixtures("warm")
 def test_hostile_pages_take_linear_time(spark, name):
     df = spark.createDataFrame([(1, URL, HOSTILE[name])], "page_id long, url string, html string")
     t0 = time.time()
@@ -114,7 +124,7 @@ def test_hostile_pages_take_linear_time(spark, name):
     t1 = time.time()
     links = P.tag_stage(df).select(F.size(P.link_hrefs(*P.parsed())).alias("n")).first().n
     t2 = time.time()
-    assert t1 - t0 < 6 and t2 - t1 < 6, (t1 - t0, t2 - t1)
+    assert t1 - t0 < 20 and t2 - t1 < 10, (t1 - t0, t2 - t1)  # seconds of a busy machine; quadratic work takes minutes
     if name == "stray quote before many links":
         assert links == 20_000
     if name == "one tag of many attributes":
