@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewise.llm import decontaminate, langid, mixing, pii, simhash
-from pagewise.llm.common import is_held_out, read
+from pagewise.llm.common import bounded_batches, is_held_out, read
 from pagewise.session import cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can be told (op 6): rows without a letter, or with
     no language that covers its least share of the words, go."""
+    bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs, ~is_held_out(F.col("doc_id"), 4, 2)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near duplicates (op 7)."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -34,6 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without personal data and the terms that reveal it (op 1)."""
+    bounded_batches(spark)
     return pii.sanitise(docs)
 
 
