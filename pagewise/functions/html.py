@@ -88,18 +88,18 @@ def decode_entities(c: Column) -> Column:
         for ent, ch in ENTITIES:
             out = F.replace(out, F.lit(ent), F.lit(ch))
         return F.when(x.contains("&"), out).otherwise(x)
-    return _bind(c, named)
+    return bind(c, named)
 
 
-def _bind(c: Column, fn) -> Column:
+def bind(c: Column, fn) -> Column:
     """``fn(c)`` with ``c``, which may be a costly expression, evaluated once."""
     return F.get(F.transform(F.array(c), fn), 0)
 
 
-def _bind2(a: Column, b: Column, fn) -> Column:
+def bind2(a: Column, b: Column, fn) -> Column:
     """``fn(a, b)``, both evaluated once. What a lambda reads per element has to be
     bound: the optimizer may put a column's whole expression in its place."""
-    return _bind(F.struct(a.alias("a"), b.alias("b")), lambda s: fn(s["a"], s["b"]))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: fn(s["a"], s["b"]))
 
 
 def strip_comments(html: Column) -> Column:
@@ -165,12 +165,12 @@ def attr(tag: Column, name: str) -> Column:
         quoted = (F.length(raw) > 1) & F.substring(raw, 1, 1).isin('"', "'") & (F.substring(raw, 1, 1) == F.substring(raw, -1, 1))
         val = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
         return F.when(raw != "", decode_entities(val)).when(attr_present(tag, name), F.lit(""))
-    return _bind(F.regexp_extract(tag, _attr_re(name), 1), value)
+    return bind(F.regexp_extract(tag, _attr_re(name), 1), value)
 
 
 def tags(toks: Column, names: Column, name: str) -> Column:
     """The opening tags of one name, in document order."""
-    return _bind2(toks, names, lambda ts, ns: F.filter(ts, lambda t, i: F.get(ns, i) == f"<{name}"))
+    return bind2(toks, names, lambda ts, ns: F.filter(ts, lambda t, i: F.get(ns, i) == f"<{name}"))
 
 
 def first(arr: Column) -> Column:
@@ -207,8 +207,8 @@ def _depths(marks: Column, opening: str) -> Column:
             F.slice(r, F.lit(1), j + 1), F.get(starts, k), lambda d, x: F.greatest(d + move(x), F.lit(0))))))
 
     def all_of(ev: Column) -> Column:
-        return _bind(cut(ev), lambda runs: _bind2(runs, _bind(sums(runs), at_start), inside))
-    return F.when(F.size(marks) == 0, F.array().cast("array<int>")).otherwise(_bind(marks, all_of))
+        return bind(cut(ev), lambda runs: bind2(runs, bind(sums(runs), at_start), inside))
+    return F.when(F.size(marks) == 0, F.array().cast("array<int>")).otherwise(bind(marks, all_of))
 
 
 def outer_elements(names: Column, name: str) -> Column:
@@ -228,8 +228,8 @@ def outer_elements(names: Column, name: str) -> Column:
 
     def of(ev: Column) -> Column:
         closes = F.filter(ev, lambda e: e["n"] == closing)
-        return _bind2(_bind2(ev, _depths(ev, opening), outer), F.coalesce(F.get(closes, F.size(closes) - 1)["i"], F.lit(-1)), pairs)
-    return _bind(events(names, [opening, closing]), of)
+        return bind2(bind2(ev, _depths(ev, opening), outer), F.coalesce(F.get(closes, F.size(closes) - 1)["i"], F.lit(-1)), pairs)
+    return bind(events(names, [opening, closing]), of)
 
 
 def without(arr: Column, elements: Column) -> Column:
@@ -238,7 +238,7 @@ def without(arr: Column, elements: Column) -> Column:
         before = F.transform(es, lambda e, k: _range(a, F.coalesce(F.get(es, k - 1)["b"] + 1, F.lit(0)), e["a"]))
         last = F.get(es, F.size(es) - 1)["b"] + 1
         return F.when(F.size(es) == 0, a).otherwise(F.flatten(F.concat(before, F.array(_range(a, last, F.size(a))))))
-    return _bind2(arr, elements, cut)
+    return bind2(arr, elements, cut)
 
 
 def element_end(names: Column, start: Column) -> Column:
@@ -258,7 +258,7 @@ def element_end(names: Column, start: Column) -> Column:
             return F.struct(i.alias("i"), depth.alias("depth"), end.alias("end"))
         return F.aggregate(names, zero, step, lambda s: F.when(s["end"] >= 0, s["end"]).otherwise(s["i"] + 1))
     both = F.struct(F.concat(F.lit("<"), name).alias("opens"), F.concat(F.lit("</"), name).alias("closes"))
-    return _bind2(both, start, scan)
+    return bind2(both, start, scan)
 
 
 def title(toks: Column, names: Column) -> Column:
@@ -281,7 +281,7 @@ def _texts_between(toks: Column, marks: Column, opening: str) -> Column:
     def texts(ts: Column, ev: Column) -> Column:
         return F.transform(ev, lambda e, k: F.when(e["n"] == opening, pieces_text(_range(
             ts, e["i"] + 1, F.coalesce(F.get(ev, k + 1)["i"], F.size(ts))))))
-    return F.filter(_bind2(toks, marks, texts), lambda t: t.isNotNull())
+    return F.filter(bind2(toks, marks, texts), lambda t: t.isNotNull())
 
 
 def headings(toks: Column, names: Column, level: int) -> Column:
@@ -303,7 +303,7 @@ def body_text(toks: Column, names: Column) -> Column:
 
 def _first_tag(toks: Column, names: Column, pred) -> Column:
     """Place of the first opening tag with ``pred(token, name)``; NULL where there is none."""
-    return first(_bind2(toks, names, lambda ts, ns: F.filter(
+    return first(bind2(toks, names, lambda ts, ns: F.filter(
         F.transform(ts, lambda t, i: F.when(pred(t, F.get(ns, i)), i)), lambda i: i.isNotNull())))
 
 
@@ -404,10 +404,10 @@ def markdown(toks: Column, names: Column) -> Column:
         ts, ns, starts = page["ts"], page["ns"], page["starts"]
 
         def segment(start: Column, stop: Column) -> Column:
-            return _bind(_bind(F.struct(_range(ts, start, stop).alias("own"), _range(ns, start, stop).alias("kinds")), parts), written)
+            return bind(bind(F.struct(_range(ts, start, stop).alias("own"), _range(ns, start, stop).alias("kinds")), parts), written)
         rest = F.transform(starts, lambda s, k: segment(s, F.coalesce(F.get(starts, k + 1), F.size(ts))))
         return F.concat(segment(F.lit(0), F.coalesce(F.get(starts, 0), F.size(ts))), F.array_join(rest, ""))
-    md = decode_entities(_bind(F.struct(toks.alias("ts"), names.alias("ns"), opens.alias("starts")), render))
+    md = decode_entities(bind(F.struct(toks.alias("ts"), names.alias("ns"), opens.alias("starts")), render))
     for pattern, to in ((r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
         md = F.regexp_replace(md, F.lit(pattern), F.lit(to))
     return ws_trim(md)

@@ -21,6 +21,7 @@ from pagewise.operators import pages as P
 
 DEFAULT_SENTENCES = 1       # used when readability is not computed (< 20 words)
 DEFAULT_FLESCH = 50.0
+NO_LANGUAGE = "und"         # pages that name no language
 
 
 def quality_inputs(pages: DataFrame, text_fields: Sequence[Column] = ()) -> DataFrame:
@@ -46,6 +47,7 @@ def quality_inputs(pages: DataFrame, text_fields: Sequence[Column] = ()) -> Data
         (F.coalesce(canon, F.lit("")) != "").alias("has_canonical"),
         (F.coalesce(og_title, F.lit("")) != "").alias("has_open_graph"),
         (F.size(P.schema_items(F.col("ld"))) > 0).alias("has_schema_markup"),
+        F.coalesce(H.html_lang(*P.parsed()), F.lit(NO_LANGUAGE)).alias("language"),
         *text_fields,
     )
     staged = with_text_stats(s3, "text")
@@ -75,3 +77,17 @@ def quality_rollup(pages: DataFrame) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_pages"),
                    round_half_even(F.avg("total_score"), 4).alias("avg_score"),
                    F.min("total_score").alias("min_score"), F.max("total_score").alias("max_score")))
+
+
+def quality_by_language(pages: DataFrame) -> DataFrame:
+    """Grade distribution per host and language, with totals per host, per
+    language and over all (grouping sets: one partial and one final aggregation).
+    NULL in ``host``, ``language`` or ``grade`` stands for all of them; ``level``
+    tells which of them are (Spark's grouping id)."""
+    pq = page_quality(pages).select(F.coalesce(U.hostname(F.col("url")), F.lit("")).alias("host"), "language", "grade", "total_score")
+    sets = [["host", "language", "grade"], ["host", "language"], ["host", "grade"], ["language", "grade"], ["host"], ["language"],
+            ["grade"], []]
+    return pq.groupingSets([[F.col(c) for c in x] for x in sets], "host", "language", "grade").agg(
+        F.grouping_id("host", "language", "grade").alias("level"), F.count(F.lit(1)).alias("n_pages"),
+        round_half_even(F.avg("total_score"), 4).alias("avg_score"),
+        F.min("total_score").alias("min_score"), F.max("total_score").alias("max_score"))

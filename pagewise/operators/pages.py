@@ -30,6 +30,8 @@ CARD_FIELDS = ["card", "title", "description", "image", "site"]
 def tag_stage(pages: DataFrame) -> DataFrame:
     """(page_id, url, nc = html without comments, toks = tokens of nc without
     scripts/styles, names = their tag names, base = the page URL parsed once)."""
+    # a JSON-LD object with a repeated key is read as JSON readers do: the last value counts
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     s1 = pages.select("page_id", "url", H.strip_comments(F.col("html")).alias("nc"))
     s2 = s1.select("page_id", "url", "nc", H.tokens(H.strip_code(F.col("nc"))).alias("toks"),
                    U.url_parts(F.col("url")).alias("base"))
@@ -266,11 +268,14 @@ def seo_record(pages: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """Host-level link graph: (src_host, dst_host, n_links, n_pages) over every
-    resolved a[href] with a web scheme. Partial aggregation runs map-side."""
+    resolved a[href] with a web scheme. A page's target hosts are sorted within its
+    row, so that the first link to each of them is known and both counts are sums:
+    one shuffle, combined map-side."""
     ts = tag_stage(pages)
-    e = ts.select("page_id", U.hostname(F.col("url")).alias("src_host"),
-                  F.explode(U.join_urls(F.col("base"), link_hrefs(*parsed()))).alias("dst"))
-    e = e.filter(U.scheme(F.col("dst")).isin(*U.ALLOWED_SCHEMES))
-    return (e.select("page_id", "src_host", U.hostname(F.col("dst")).alias("dst_host"))
-             .groupBy("src_host", "dst_host")
-             .agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("page_id").alias("n_pages")))
+    web = F.filter(U.join_urls(F.col("base"), link_hrefs(*parsed())), lambda u: U.scheme(u).isin(*U.ALLOWED_SCHEMES))
+    e = ts.select(U.hostname(F.col("url")).alias("src_host"), web.alias("web"))
+    e = e.select("src_host", F.array_sort(F.transform("web", U.hostname)).alias("hosts"))
+    told = H.bind(F.col("hosts"), lambda hs: F.transform(hs, lambda h, i: F.struct(
+        h.alias("dst_host"), (~F.coalesce(F.get(hs, i - 1) == h, F.lit(False))).cast("long").alias("first"))))
+    return (e.select("src_host", F.inline(told)).groupBy("src_host", "dst_host")
+             .agg(F.count(F.lit(1)).alias("n_links"), F.sum("first").alias("n_pages")))

@@ -18,14 +18,16 @@ from pagewise.session import cut_lineage
 
 # The stop-word set used for keywords (lower-case, compared
 # case-sensitively).
-STOPWORDS = sorted("""
-a about above after again all also an and are as at be been before being below
-between both but by can could did do does during each every few for from further
-had has have he her his how if in into is it its just may might more most my no
-not of off on once only or other our out over shall she should so some such than
-that the their them then these they this those through to too under up very was
-well were what when where which who will with would your
-""".split())
+STOPWORDS = frozenset({
+    "a", "about", "above", "after", "again", "all", "also", "an", "and", "are", "as", "at", "be", "been",
+    "before", "being", "below", "between", "both", "but", "by", "can", "could", "did", "do", "does", "during",
+    "each", "every", "few", "for", "from", "further", "had", "has", "have", "he", "her", "his", "how", "if",
+    "in", "into", "is", "it", "its", "just", "may", "might", "more", "most", "my", "no", "not", "of", "off",
+    "on", "once", "only", "or", "other", "our", "out", "over", "shall", "she", "should", "so", "some", "such",
+    "than", "that", "the", "their", "them", "then", "these", "they", "this", "those", "through", "to", "too",
+    "under", "up", "very", "was", "well", "were", "what", "when", "where", "which", "who", "will", "with",
+    "would", "your",
+})
 
 TOP_CANDIDATES = 60   # most frequent terms considered before filtering
 TOP_KEYWORDS = 20     # keywords kept per text
@@ -99,7 +101,7 @@ def top_keywords(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
     by_freq = Window.partitionBy(id_col).orderBy(F.col("tf").desc(), F.col("first_pos").asc())
     cand = (tf.withColumn("freq_rank", F.row_number().over(by_freq))
               .filter(F.col("freq_rank") <= TOP_CANDIDATES))
-    kept = cand.filter(~F.col("term").isin(STOPWORDS) & (F.length("term") >= MIN_KEYWORD_LEN))
+    kept = cand.filter(~F.col("term").isin(*sorted(STOPWORDS)) & (F.length("term") >= MIN_KEYWORD_LEN))
     by_rank = Window.partitionBy(id_col).orderBy("freq_rank")
     return (kept.withColumn("kw_rank", F.row_number().over(by_rank))
                 .filter(F.col("kw_rank") <= TOP_KEYWORDS)

@@ -223,17 +223,31 @@ _PAGE_PAIRS = """pairs AS (SELECT concat_ws(':', 'pages', a.page_id, b.page_id)
                        FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0)"""
 
 
+_COMPARED = ["similarity_score", "shared_keywords", "unique_to_text1", "unique_to_text2", "word_count_diff",
+             "flesch_reading_ease_diff", "grade_level_diff", "text1_reading_level", "text2_reading_level"]
+
+
 def _compare_oracle() -> str:
     from pagewise.plans import q_terms  # noqa: F401 — registers compare_record
     base = REGISTRY["compare_record"].oracle
     head = f"WITH {CORPUS}, {PAIRS},"
     assert base.startswith(head)
-    return f"WITH {_PAGE_CORPUS}, {_PAGE_PAIRS}," + base[len(head):]
+    compared = f"WITH {_PAGE_CORPUS}, {_PAGE_PAIRS}," + base[len(head):]
+    kept = ", ".join(f"CASE WHEN a.error_code IS NULL AND b.error_code IS NULL THEN c.{x} END AS {x}" for x in _COMPARED)
+    return f"""{_VERDICT_SQL}, c AS ({compared})
+SELECT c.pair_id, c.left_id, c.right_id, coalesce(a.error_code, b.error_code, c.error_code) AS error_code, {kept}
+FROM c JOIN gated a ON a.page_id = c.left_id JOIN gated b ON b.page_id = c.right_id"""
 
 
 @query("endpoint_compare", group="endpoints", oracle=_compare_oracle())
 def q_endpoint_compare(spark, sf):
+    """The gates of both pages come first (the first page's before the second's);
+    a pair that does not pass has no result."""
     c = compare_records(_page_pairs(spark, sf), _page_texts(spark, sf))
-    return c.select(*[F.array_join(x, ",").alias(x) if x in ("shared_keywords", "unique_to_text1", "unique_to_text2")
-                      else F.col(x) for x in c.columns])
-
+    gates = _page_gates(spark, sf)
+    c = c.join(gates.select(F.col("page_id").alias("left_id"), F.col("gate").alias("gate_1")), "left_id")
+    c = c.join(gates.select(F.col("page_id").alias("right_id"), F.col("gate").alias("gate_2")), "right_id")
+    lists = ("shared_keywords", "unique_to_text1", "unique_to_text2")
+    open_ = F.col("gate_1").isNull() & F.col("gate_2").isNull()
+    return c.select("pair_id", "left_id", "right_id", F.coalesce("gate_1", "gate_2", "error_code").alias("error_code"),
+                    *[F.when(open_, F.array_join(x, ",") if x in lists else F.col(x)).alias(x) for x in _COMPARED])

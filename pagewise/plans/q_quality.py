@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewise.functions import quality as Q
-from pagewise.operators.analysis import page_quality, quality_inputs, quality_rollup
+from pagewise.operators.analysis import page_quality, quality_by_language, quality_inputs, quality_rollup
 from pagewise.plans.registry import query
-from pagewise.plans.sqlhtml import hostname, quality_inputs_sql, quality_sql
+from pagewise.plans.sqlhtml import hostname, html_lang, quality_inputs_sql, quality_sql
 from pagewise.plans.sqlfrag import r
 from pagewise.session import spread
 from pagewise.sources import tables as src
@@ -100,3 +100,14 @@ SELECT host, grade, count(*)::BIGINT AS n_pages, {r('avg(total_score)', 4)} AS a
 FROM g GROUP BY ROLLUP (host, grade)""")
 def q_quality_rollup(spark, sf):
     return quality_rollup(spread(src.pages(spark, sf)))
+
+
+@query("quality_by_language", group="quality", oracle=f"""{_QI}, lg AS (
+    SELECT page_id, coalesce({html_lang('clean')}, 'und') AS language FROM ts), g AS (
+    SELECT coalesce({hostname('url')}, '') AS host, language, {_Q['grade']} AS grade, ({_Q['total']})::BIGINT AS total_score
+    FROM qi JOIN lg USING (page_id))
+SELECT host, language, grade, grouping_id(host, language, grade)::BIGINT AS level, count(*)::BIGINT AS n_pages,
+       {r('avg(total_score)', 4)} AS avg_score, min(total_score)::BIGINT AS min_score, max(total_score)::BIGINT AS max_score
+FROM g GROUP BY CUBE (host, language, grade)""")
+def q_quality_by_language(spark, sf):
+    return quality_by_language(spread(src.pages(spark, sf)))

@@ -62,7 +62,7 @@ SELECT text_id,
 FROM tf GROUP BY text_id""")
 def q_stopword_filter(spark, sf):
     tf = _tf(spark, sf)
-    is_stop = F.col("term").isin(tm.STOPWORDS)
+    is_stop = F.col("term").isin(*sorted(tm.STOPWORDS))
     return tf.groupBy("text_id").agg(
         F.sum(F.when(is_stop, F.col("tf")).otherwise(0)).cast("long").alias("stopword_tokens"),
         F.sum(F.when(is_stop, 0).otherwise(F.col("tf"))).cast("long").alias("other_tokens"),

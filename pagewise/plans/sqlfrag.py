@@ -99,7 +99,7 @@ def readability_sql(src: str, key: str, text: str, extra: str = "") -> str:
 
 def stopword_list() -> str:
     from pagewise.operators.terms import STOPWORDS
-    return ", ".join(sq(w) for w in STOPWORDS)
+    return ", ".join(sq(w) for w in sorted(STOPWORDS))
 
 
 def tf_ctes(texts: str, id_col: str = "text_id", text_col: str = "text") -> str:

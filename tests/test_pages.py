@@ -137,3 +137,13 @@ def test_unclosed_scripts_and_long_runs_take_linear_time(spark):
                     F.length(T.ws_trim(F.col("text"))).alias("k")).collect()
     assert time.time() - t < 5
     assert [r.n for r in got] == [1, 300_000, 0] and [r.k for r in got] == [1, 600_000, 0]
+
+
+def test_repeated_json_keys_and_link_counts(spark):
+    page = ('<script type="application/ld+json">{"@type":"A","@type":"B","author":"x","author":"y"}</script><body>'
+            '<a href="http://z.example/1">a</a><a href="//z.example/2">b</a><a href="/in">c</a><a href="mailto:q">d</a></body>')
+    df = spark.createDataFrame([(1, URL, page), (2, URL, page)], "page_id long, url string, html string")
+    r = P.seo_record(df).first()
+    assert r.schema_markup.types == ["B"] and P.content_record(df).first().author == "y"
+    got = sorted(tuple(x) for x in P.link_edges(df).collect())
+    assert got == [("example.org", "example.org", 2, 2), ("example.org", "z.example", 4, 2)]
