@@ -19,15 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 ARROW_BYTES = 4 << 20
-_ARROW_LIMITS = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
-    """Let no Arrow batch that goes to or comes from Python hold more than about
-    ``most`` bytes (by default 10,000 whole texts make one): what a worker needs at
-    once then does not grow with the texts. It stays set in the session."""
-    for key in _ARROW_LIMITS:
-        spark.conf.set(key, str(most))
+    """Let no Arrow batch that goes to Python hold more than about ``most`` bytes
+    (by default 10,000 whole texts make one): what a worker needs at once then does
+    not grow with the texts. It stays set in the session."""
+    spark.conf.set(_ARROW_LIMIT, str(most))
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
