@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewise.functions import urls as U
 from pagewise.functions.text import ws_word_count
 from pagewise.operators import admission as A
+from pagewise.operators import networks as N
 from pagewise.operators import pages as P
 from pagewise.operators import store as ST
 from pagewise.plans import sqlhtml as S
@@ -280,3 +281,38 @@ def q_envelope_sink(spark, sf):
             F.count(F.lit(1)).alias("n_envelopes"), F.sum("data.text_chars").alias("text_chars"),
             F.count("error.code").alias("n_errors")).withColumn("fmt", F.lit(fmt)))
     return out[0].unionByName(out[1])
+
+
+# Networks from data: those of the fixed list, one of 20 bits around every eighth IPv4 address
+# that a host resolves to, and one of 120 bits around every other IPv6 address.
+_BLOCKED_V6 = ["::1/128", "fc00::/7", "fe80::/10"]
+_NET_SQL = f"""nets AS (
+    SELECT unnest([{', '.join(sq(c) for c in [*U.BLOCKED_V4, *_BLOCKED_V6])}]) AS cidr
+    UNION SELECT ip || '/20' FROM addrs WHERE regexp_matches(ip, {sq(_V4)}) AND substr(md5(ip), 1, 1) IN ('0', '8')
+    UNION SELECT ip || '/120' FROM addrs WHERE contains(ip, ':') AND substr(md5(ip), 1, 1) < '8')"""
+# 128 bits as two numbers of 64; the addresses of these tables are of the form a::b or ::b
+_HALF = "(('0x' || rpad(lpad(split_part({x}, '::', 1), 4, '0'), 16, '0'))::UBIGINT)"
+_LOW = "(('0x' || lpad(split_part({x}, '::', 2), 16, '0'))::UBIGINT)"
+
+
+@query("network_hits", group="urls", oracle=f"""{_URL_CTES}, {_NET_SQL},
+  n4 AS (SELECT cidr, split_part(cidr, '/', 2)::INTEGER AS l, {_sql_ip_num("split_part(cidr, '/', 1)")} AS v FROM nets),
+  a4 AS (SELECT DISTINCT ip, {_sql_ip_num('ip')} AS v FROM addrs),
+  n6 AS (SELECT cidr, split_part(cidr, '/', 2)::INTEGER AS l, split_part(cidr, '/', 1) AS s FROM nets WHERE contains(cidr, ':')),
+  b6 AS (SELECT cidr, l, {_HALF.format(x='s')} AS hi, {_LOW.format(x="(CASE WHEN s LIKE '%::' THEN s || '0' ELSE s END)")} AS lo FROM n6),
+  a6 AS (SELECT DISTINCT ip, {_HALF.format(x='ip')} AS hi, {_LOW.format(x='ip')} AS lo FROM addrs WHERE contains(ip, ':'))
+SELECT a4.ip, n4.cidr FROM a4 JOIN n4 ON a4.v >> (32 - l) = n4.v >> (32 - l)
+UNION ALL
+SELECT a6.ip, b6.cidr FROM a6 JOIN b6
+  ON CASE WHEN l <= 64 THEN a6.hi >> (64 - l) = b6.hi >> (64 - l)
+          ELSE a6.hi = b6.hi AND a6.lo >> (128 - l) = b6.lo >> (128 - l) END""")
+def q_network_hits(spark, sf):
+    """Every address that a host resolves to against a table of networks of both families."""
+    urls = _urls(spark, sf)
+    hosts = urls.select(U.hostname(F.col("url")).alias("host")).filter(F.col("host") != "").distinct()
+    addresses = A.host_addresses(hosts, _dns(urls)).select("ip").distinct()
+    mark, six = F.substring(F.md5("ip"), 1, 1), F.col("ip").contains(":")
+    own = addresses.select(F.when(~six & mark.isin("0", "8"), F.concat("ip", F.lit("/20"))).when(
+        six & (mark < "8"), F.concat("ip", F.lit("/120"))).alias("cidr")).where("cidr IS NOT NULL")
+    fixed = spark.createDataFrame([(c,) for c in [*U.BLOCKED_V4, *_BLOCKED_V6]], "cidr string")
+    return N.network_hits(addresses, fixed.unionByName(own))
