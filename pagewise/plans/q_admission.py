@@ -10,6 +10,7 @@ from pagewise.functions.text import ws_word_count
 from pagewise.operators import admission as A
 from pagewise.operators import networks as N
 from pagewise.operators import pages as P
+from pagewise.operators import patterns as PT
 from pagewise.operators import store as ST
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.registry import query
@@ -316,3 +317,24 @@ def q_network_hits(spark, sf):
         six & (mark < "8"), F.concat("ip", F.lit("/120"))).alias("cidr")).where("cidr IS NOT NULL")
     fixed = spark.createDataFrame([(c,) for c in [*U.BLOCKED_V4, *_BLOCKED_V6]], "cidr string")
     return N.network_hits(addresses, fixed.unionByName(own))
+
+
+# A pattern table from data: the fixed patterns, and the names and paths of some page URLs.
+_TABLE_PATTERNS = [*BLOCK_PATTERNS, "/[0-9]+$", "https?://h", "(blog|news)/", "page-?[0-9]{1,3}\\b", "[?&]ref=", "no-such-literal"]
+_PATTERN_SQL = f"""pt AS (
+    SELECT unnest([{', '.join(sq(p.strip()) for p in _TABLE_PATTERNS if p.strip())}]) AS pattern
+    UNION SELECT replace({S.hostname('url')}, '.', '\\.') || '/' FROM pages WHERE page_id % 5 = 0
+    UNION SELECT {S.part('url', U.G_PATH)} || '$' FROM pages WHERE page_id % 7 = 0 AND {S.part('url', U.G_PATH)} <> '')"""
+
+
+@query("url_pattern_table", group="urls", oracle=f"""{_URL_CTES}, {_PATTERN_SQL}
+SELECT pattern, count(DISTINCT url)::BIGINT AS n_urls, min(url) AS first_url
+FROM pt JOIN u ON regexp_matches(url, '(?i)' || pattern) GROUP BY pattern""")
+def q_url_pattern_table(spark, sf):
+    """All URLs against a pattern table of any size."""
+    pages = src.pages(spark, sf)
+    own = pages.where("page_id % 5 = 0").select(F.concat(F.replace(U.hostname(F.col("url")), F.lit("."), F.lit("\\.")), F.lit("/")).alias("pattern"))
+    paths = pages.where("page_id % 7 = 0").select(U.path(F.col("url")).alias("p")).where("p <> ''").select(F.concat("p", F.lit("$")).alias("pattern"))
+    fixed = spark.createDataFrame([(p,) for p in _TABLE_PATTERNS], "pattern string")
+    hits = PT.pattern_hits(_urls(spark, sf), fixed.unionByName(own).unionByName(paths))
+    return hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_urls"), F.min("url").alias("first_url"))
