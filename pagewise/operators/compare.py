@@ -28,13 +28,8 @@ def compare_records(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
     """One compare record per pair: similarity, keyword lists, whitespace word
     count difference and — when both sides have >= 20 words — readability
     differences. Pairs with a blank side get error_code NO_CONTENT."""
-    sim = tm.pair_similarity(pairs, texts, id_col, text_col)
-    # one row per text, read by both sides of every pair: materialise once
-    prof = cut_lineage(text_profile(texts, id_col, text_col), "text_profile")
-    pl = prof.select(*[F.col(c).alias(f"{c}_1") for c in prof.columns])
-    pr = prof.select(*[F.col(c).alias(f"{c}_2") for c in prof.columns])
-    j = (sim.join(pl, sim.left_id == pl[f"{id_col}_1"], "left")
-            .join(pr, sim.right_id == pr[f"{id_col}_2"], "left"))
+    # one row per text (norm, keywords, profile), joined to both sides of every pair
+    j = tm.pair_similarity(pairs, texts, id_col, text_col, profile=text_profile(texts, id_col, text_col))
     both = (F.col("ws_words_1") >= READABILITY_GATE) & (F.col("ws_words_2") >= READABILITY_GATE)
     no_content = F.coalesce(F.col("blank_1"), F.lit(True)) | F.coalesce(F.col("blank_2"), F.lit(True))
     return j.select(

@@ -138,15 +138,23 @@ def text_stats(tf: DataFrame, id_col: str = "text_id") -> DataFrame:
 
 
 def pair_similarity(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", profile: DataFrame | None = None) -> DataFrame:
     """Similarity record per pair: cosine + shared / unique keyword lists.
-    A side without words gives score 0 and empty lists."""
+    A side without words gives score 0 and empty lists. ``profile`` has further
+    columns per text (``id_col`` and others); they come with the text's one row,
+    as ``<column>_1`` and ``<column>_2``, in the same two joins."""
     tf = cut_lineage(term_freq(texts, id_col, text_col), "term_freq")
     # one row per text, joined to both sides of every pair: materialise once so
     # the (large) TF table is read by this job and the dot product only
-    stats = cut_lineage(text_stats(tf, id_col), "text_stats")
-    sl = stats.select(F.col(id_col).alias("left_id"), F.col("sum_sq").alias("sq_l"), F.col("keywords").alias("kw_l"))
-    sr = stats.select(F.col(id_col).alias("right_id"), F.col("sum_sq").alias("sq_r"), F.col("keywords").alias("kw_r"))
+    stats = text_stats(tf, id_col)
+    more = [c for c in profile.columns if c != id_col] if profile is not None else []
+    if profile is not None:
+        stats = profile.join(stats, id_col, "left")
+    stats = cut_lineage(stats, "text_stats")
+    sl = stats.select(F.col(id_col).alias("left_id"), F.col("sum_sq").alias("sq_l"), F.col("keywords").alias("kw_l"),
+                      *[F.col(c).alias(f"{c}_1") for c in more])
+    sr = stats.select(F.col(id_col).alias("right_id"), F.col("sum_sq").alias("sq_r"), F.col("keywords").alias("kw_r"),
+                      *[F.col(c).alias(f"{c}_2") for c in more])
     dots = pair_dot(pairs.filter(F.col("left_id") != F.col("right_id")), tf, id_col)
     j = (pairs.select("pair_id", "left_id", "right_id").join(dots, "pair_id", "left")
               .join(sl, "left_id", "left").join(sr, "right_id", "left"))
@@ -163,7 +171,8 @@ def pair_similarity(pairs: DataFrame, texts: DataFrame, id_col: str = "text_id",
         cosine(dot, F.col("sq_l"), F.col("sq_r")).alias("similarity_score"),
         listed(F.array_intersect(l_, r_)).alias("shared_keywords"),
         listed(F.array_except(l_, r_)).alias("unique_to_text1"),
-        listed(F.array_except(r_, l_)).alias("unique_to_text2"))
+        listed(F.array_except(r_, l_)).alias("unique_to_text2"),
+        *[f"{c}_{k}" for k in (1, 2) for c in more])
 
 
 def copy_clusters(tf: DataFrame, id_col: str = "text_id") -> DataFrame:

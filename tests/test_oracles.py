@@ -12,7 +12,8 @@ SUBSET = ["readability", "sentence_count", "pair_similarity", "compare_record",
           "usage_monthly", "quota_ordinal", "latency_percentiles", "ttl_reuse", "sentiment_record",
           "keyword_record", "url_verdict", "err_validation", "classify_errors", "stream_minute_metering",
           "content_record", "seo_record", "html_author", "seo_jsonld", "quality_rich", "copy_clusters",
-          "endpoint_extract", "endpoint_summarize", "endpoint_compare", "stream_sessions", "gate_content_type"]
+          "endpoint_extract", "endpoint_summarize", "endpoint_compare", "stream_sessions", "gate_content_type", "html_markdown", "similarity_join", "result_store",
+          "envelope_sink", "quality_by_language", "network_hits", "url_pattern_table", "text_request_key", "link_edges"]
 
 
 @pytest.fixture(scope="module")
