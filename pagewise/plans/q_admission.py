@@ -15,7 +15,7 @@ from pagewise.operators import store as ST
 from pagewise.plans import sqlhtml as S
 from pagewise.plans.registry import query
 from pagewise.plans.sqlfrag import NONWS, sq, ws_count
-from pagewise.session import shared_path, spread
+from pagewise.session import cut_lineage, shared_path, spread
 from pagewise.sources import fixtures as fx
 from pagewise.sources import requests as RQ
 from pagewise.sources import tables as src
@@ -311,7 +311,8 @@ def q_network_hits(spark, sf):
     """Every address that a host resolves to against a table of networks of both families."""
     urls = _urls(spark, sf)
     hosts = urls.select(U.hostname(F.col("url")).alias("host")).filter(F.col("host") != "").distinct()
-    addresses = A.host_addresses(hosts, _dns(urls)).select("ip").distinct()
+    # read by the networks made of them, their lengths and the join
+    addresses = cut_lineage(A.host_addresses(hosts, _dns(urls)).select("ip").distinct(), "addresses")
     mark, six = F.substring(F.md5("ip"), 1, 1), F.col("ip").contains(":")
     own = addresses.select(F.when(~six & mark.isin("0", "8"), F.concat("ip", F.lit("/20"))).when(
         six & (mark < "8"), F.concat("ip", F.lit("/120"))).alias("cidr")).where("cidr IS NOT NULL")
