@@ -105,7 +105,8 @@ def test_odd_rows(spark):
     # repeated rows are turns of their own, and the result does not depend on the layout
     twice = odd.unionByName(odd.where("conv_id IN (1, 20)"))
     a, b = listed(trie.savings(twice)), listed(trie.savings(twice.repartition(7), block_turns=4, shard_places=9))
-    assert a == b and max(r[1] for r in a) == 41
+    # conversation 0, whose turns 8 would start with, is absent: the first turns of its 41 go
+    assert a == b and max(r[1] for r in a) == 41 - zlib.crc32(b"8") % 4
     # all conversations turnless: only the root
     none = spark.createDataFrame([(c, 0, "u", "x") for c in range(1, 40) if c % 20 and zlib.crc32(str(c).encode()) % 4], SCHEMA)
     root = listed(trie.savings(none))
