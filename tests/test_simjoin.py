@@ -46,3 +46,21 @@ def test_links_against_all_pairs(spark, threshold):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "text_id long, term string, tf long")
     assert simjoin.similarity_join(none).count() == 0
+
+
+def test_many_cells_and_no_row_per_pair(spark, monkeypatch):
+    """Small groups: each pair meets in one of many cells; all texts share a frequent term."""
+    for name, value in (("GROUP_ROWS", 9), ("STRIP", 4), ("CHECKED_TERMS", 12), ("OWN_TERMS", 3), ("SHARED", 5)):
+        monkeypatch.setattr(simjoin, name, value)
+    vectors = {i: {"the": 40 + i % 7, f"t{i % 11}": 1 + i % 5, f"u{i}": 1} for i in range(60)}
+    tf = spark.createDataFrame([(i, t, n) for i, v in vectors.items() for t, n in v.items()], "text_id long, term string, tf long")
+
+    def linked(a, b):
+        dot = sum(n * vectors[b].get(t, 0) for t, n in vectors[a].items())
+        square = [sum(n * n for n in vectors[x].values()) for x in (a, b)]
+        return dot >= 0.995 * math.sqrt(square[0]) * math.sqrt(square[1])
+    want = {(a, b) for a in vectors for b in vectors if a < b and linked(a, b)}
+    assert 0 < len(want) < 1770
+    assert {(r.a, r.b) for r in simjoin.links(tf, 0.995).collect()} == want
+    got = {r.text_id: r.n_links for r in simjoin.similarity_join(tf, 0.995).collect()}
+    assert got == {i: sum(i in p for p in want) for i in vectors}
