@@ -72,3 +72,30 @@ def test_copy_clusters(spark):
     assert {out[i].cluster_id for i in (1, 2, 4)} == {1} and out[1].cluster_size == 3
     assert out[3].cluster_id == 3 and out[3].cluster_size == 1
     assert 5 not in out
+
+
+def test_partitions_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(tm, "TASK_TEXT_BYTES", 50)
+    texts = _texts(spark, [(i, "alpha beta gamma alpha " * 5) for i in range(40)] + [(3, "beta"), (99, None)])
+    tf = tm.term_freq(texts)
+    assert tm.text_partitions(texts) == -(-(40 * 115 + 4) // 50)
+    assert tf.rdd.getNumPartitions() == tm.text_partitions(texts)
+    rows = {(r.text_id, r.term): (r.tf, r.first_pos) for r in tf.collect()}
+    assert rows[3, "beta"] == (6, 0) and rows[4, "beta"] == (5, 1) and len(rows) == 120
+    assert tm.term_freq(texts.limit(0)).count() == 0
+
+
+def test_dot_one_row_per_pair(spark, monkeypatch):
+    """The vectors meet in the row of the pair, some terms at a time."""
+    monkeypatch.setattr(tm, "DOT_TERMS", 3)
+    texts = _texts(spark, [(1, T1), (2, T2), (3, "x"), (5, None)] + [(10 + i, "the cat " * i + "b" * i) for i in range(1, 9)])
+    both = [(a, b) for a in (1, 2, 3, 5, *range(11, 19)) for b in (1, 2, 3, *range(11, 19))]
+    pairs = _pairs(spark, both + [(1, 2)])
+    tf = tm.term_freq(texts)
+    dots = tm.pair_dot(pairs, tf)
+    v = {}
+    for r in tf.collect():
+        v.setdefault(r.text_id, {})[r.term] = r.tf
+    want = {f"{a}:{b}": sum(n * v[b].get(t, 0) for t, n in v.get(a, {}).items()) for a, b in both}
+    want["1:2"] *= 2  # the pair comes twice
+    assert {r.pair_id: r.dot for r in dots.collect()} == {k: n for k, n in want.items() if n}
