@@ -15,8 +15,9 @@ READABILITY_GATE = 20  # whitespace words needed before readability is reported
 
 def text_profile(texts: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
     """Per text: whitespace word count, blank flag and the readability fields
-    used by comparisons (computed once per text, not once per pair)."""
-    base = spread(texts).select(id_col, text_col,
+    used by comparisons (computed once per text, not once per pair). The texts
+    are dealt out by their bytes: a scan may have fewer splits than there are cores."""
+    base = spread(texts, tm.text_partitions(texts, text_col)).select(id_col, text_col,
                         ws_word_count(F.col(text_col)).alias("ws_words"),
                         is_blank(F.col(text_col)).alias("blank"))
     rd = with_readability(base, text_col, keep=[id_col, "ws_words", "blank"])
