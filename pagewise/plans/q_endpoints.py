@@ -18,7 +18,7 @@ from pagewise.plans.q_scoring import _CONF_SQL, _LABEL_SQL
 from pagewise.plans.registry import REGISTRY, query
 from pagewise.plans.sqlfix import CORPUS, PAIRS
 from pagewise.plans.sqlfrag import NONWS, readability_sql, sq, ws_count, ws_trim
-from pagewise.session import spread
+from pagewise.session import cut_lineage, spread
 from pagewise.sources import tables as src
 from pagewise.sources.rich import pages_rich
 
@@ -243,7 +243,9 @@ FROM c JOIN gated a ON a.page_id = c.left_id JOIN gated b ON b.page_id = c.right
 def q_endpoint_compare(spark, sf):
     """The gates of both pages come first (the first page's before the second's);
     a pair that does not pass has no result."""
-    c = compare_records(_page_pairs(spark, sf), _page_texts(spark, sf))
+    # the main texts are read by the measure of their size, the terms and the profile
+    texts = cut_lineage(_page_texts(spark, sf), "page_texts")
+    c = compare_records(_page_pairs(spark, sf), texts)
     gates = _page_gates(spark, sf)
     c = c.join(gates.select(F.col("page_id").alias("left_id"), F.col("gate").alias("gate_1")), "left_id")
     c = c.join(gates.select(F.col("page_id").alias("right_id"), F.col("gate").alias("gate_2")), "right_id")
